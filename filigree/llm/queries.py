@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import near_duplicates, neighbours, packing, ranking, splitting, tokens
+from filigree.llm import near_duplicates, neighbours, packing, personal, ranking, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,7 +71,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", 2048)
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p6_nearest": p6_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct mention of a document."""
+    found = personal.recognize(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", F.explode("mentions").alias("m"))
+    return found.select("doc_id", F.col("m.kind").alias("pii_kind"), F.col("m.mention").alias("mention")).distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.recognize(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "redacted", F.size("mentions").alias("mentions"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p6_nearest": p6_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _UNITS = "(length({0}) + length(regexp_replace({0}, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')))"
 ORACLE = {

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from filigree.session import checkpoint
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 60, 1e-9
+DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-5
 #: An item's share is divided by this power of the weight it carries: a missing score says nothing against it.
 NULL_RELIEF = 0.75
 #: Lists with more entries than this are ranked by the distributed chain, others by one task for many lists.

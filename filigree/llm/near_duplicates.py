@@ -3,37 +3,34 @@
 similarity(x, y) = words shared, with multiplicity / words of the longer text; as sets of (word, occurrence) tokens the
 texts then differ in a bounded Hamming distance. Texts with equal multisets are one class and compared once.
 
-1. Candidates by the pigeonhole over boxes. A text's tokens, rarest first, fill boxes by frequency class and hash; a
-   box of class k with c tokens survives c - k missing ones with k shared, so boxes that together absorb one more
-   than the allowed misses must share a k-subset with any partner. A signature is such a subset: one rare token, or
-   two or three commoner ones, so that no signature is frequent merely because its words are.
-2. The pigeonring over RING hashed segments: of the segments' count differences, some chain of consecutive segments
-   must stay within the proportional budget at each of its prefixes. Chains grow to the full ring, pairs without
+1. Boxes of single tokens: of a text's rarest tokens, one more than a partner may lack, one at least is shared.
+   Texts meet by these tokens in one shuffle, and only pairs whose lengths and whose ring of segment counts fit are made.
+2. The pigeonring: over a finer ring of hashed segments, some chain of consecutive segments must keep its
+   differences within the proportional budget at each of its prefixes. Chains grow to the full ring; pairs without
    a viable start drop out.
 3. The full Hamming check on the tokens of the rest.
+
+No step loses a pair: segment counts bound the distance from below, whatever the hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.session import checkpoint
+from filigree.session import checkpoint, shared_path
 
 SIMILARITY, MIN_WORDS = 0.8, 40
-#: Shorter texts cannot fill enough boxes.
-_LEAST_WORDS = 20
 #: Counters of the word frequency sketch, a fixed size that does not grow with the corpus.
 SKETCH = 1 << 20
-#: Texts that share a signature by chance, as the frequency classes are set.
-CHANCE = 2.0
-RING = 32
-_MASK = (1 << 64) - 1
+#: Classes with several texts are excluded from the single ones by broadcast up to so many, beyond that by a shuffle.
+BROADCAST_CLASSES = 100_000
+#: Segments of the ring that travels with the tokens, four bits each, and of the finer one of the chain filter.
+COARSE, RING = 32, 64
 
 
 def words(text: Column) -> Column:
@@ -63,44 +60,30 @@ def misses(n: int, similarity: float = SIMILARITY) -> int:
     return n - int(np.ceil(similarity * n - 1e-9))
 
 
-def _length_class(n: int) -> int:
-    return max(0, int(np.floor(np.log2(max(n, MIN_WORDS) / MIN_WORDS))))
+def rarest(keys: np.ndarray, frequency: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The rarest tokens of a text, one more than any partner may lack. The order is the same for all texts, so of two
+    partners' rarest tokens, where the first list ends, one is shared."""
+    return keys[np.lexsort((keys, frequency))[: misses(len(keys), similarity) + 1]]
 
 
-def signatures(keys: np.ndarray, frequency: np.ndarray, limits: tuple[float, float], similarity: float = SIMILARITY) -> set[int]:
-    """The signatures of a text, equal in kind for both texts of a pair.
+def ring(keys: np.ndarray, segments: int = RING, most: int = 255) -> np.ndarray:
+    """Tokens in each segment of the ring, counted up to ``most``."""
+    return np.minimum(np.bincount(((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64), minlength=segments), most).astype(np.uint8)
 
-    frequency orders the tokens (any order shared by all texts is exact); limits are the largest frequencies of the
-    first two classes. The number of boxes follows the length class, and a text whose partners may be of the next class
-    signs for that as well.
-    """
-    n = len(keys)
-    order = np.lexsort((keys, frequency))
-    keys, kind = [int(k) for k in keys[order]], (1 + (frequency[order] > limits[0]) + (frequency[order] > limits[1])).tolist()
-    need, out = misses(n, similarity) + 1, set()
-    first = _length_class(n)
-    for length in range(first, _length_class(int(n / similarity) + 1) + 1):
-        boxes: dict[tuple[int, int], list[int]] = {}
-        many, absorbed = 4 << length, 0
-        for key, k in zip(keys, kind):
-            if k == 1:
-                out.add(key)
-                absorbed += 1
-            else:
-                box = boxes.setdefault((k, (key >> 7) % many), [])
-                box.append(key)
-                absorbed += len(box) >= k
-            if absorbed >= need:
-                break
-        for (k, b), box in boxes.items():
-            salt = (length * 1_000_003 + b * 7 + k) * 0x9E3779B97F4A7C15
-            out.update((sum(c) * 0xD6E8FEB86659FD93 + salt) & _MASK for c in combinations(box, k))
-    return out
+
+def _coarse(keys: np.ndarray) -> tuple[int, int]:
+    """The coarse ring in two longs."""
+    nibbles = ring(keys, COARSE, 15)
+    return tuple((nibbles[0::2] | (nibbles[1::2] << 4)).view(np.int64).tolist())
 
 
-def ring(keys: np.ndarray) -> np.ndarray:
-    """Tokens in each segment of the ring, counted up to 255."""
-    return np.minimum(np.bincount(((keys >> np.uint64(40)) % np.uint64(RING)).astype(np.int64), minlength=RING), 255).astype(np.uint8)
+def _apart(a: str, b: str) -> Column:
+    """The sum of differences of the sixteen four-bit counts of two longs."""
+    part = lambda c, i: F.shiftrightunsigned(F.col(c), 4 * i).bitwiseAND(F.lit(15).cast("long"))
+    total = F.abs(part(a, 0) - part(b, 0))
+    for i in range(1, 16):
+        total = total + F.abs(part(a, i) - part(b, i))
+    return total
 
 
 def chain_filter(a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -146,72 +129,82 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, keep: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(class representatives, membership) of the texts of at least min_words words.
 
-    Texts with the same multiset of words are a class, named by its smallest id: (rep, hashes) and (id, rep). Rows that
-    share an id are repeats and count once; null and shorter texts belong to no class.
+    Texts with the same multiset of words are a class, named by its smallest id: (rep, hashes) and (id, rep, and the
+    columns of ``keep`` under their new names). Rows that share an id are repeats and count once; null and shorter
+    texts and null ids belong to no class. The words are hashed once and written to the shared folder.
     """
-    if min_words < _LEAST_WORDS:
-        raise ValueError(f"texts of fewer than {_LEAST_WORDS} words cannot be compared")
+    keep = keep or {}
     hashed = F.array_sort(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hashes", hashed)
-    rows = rows.filter((F.size("hashes") >= min_words) & F.col("id").isNotNull()).select("id", "hashes", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"))
-    # Equal multisets meet by two 64-bit digests; the texts' words travel once, reduced map-side to one per class.
-    reps = checkpoint(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("hashes").alias("hashes")))
-    members = rows.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct()
-    return reps.select("rep", "hashes"), members
+    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(name) for name, c in keep.items()), F.col(text_col).cast("string").alias("text")).withColumn("hashes", hashed)
+    rows = rows.filter((F.size("hashes") >= max(min_words, 1)) & F.col("id").isNotNull()).select("id", *keep, "hashes", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"))
+    path = shared_path(df.sparkSession, "words")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    # Equal multisets meet by two 64-bit digests; only classes of several rows are regrouped, reduced map-side.
+    several = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    several = checkpoint(several)
+    n = several.count()
+    if not n:
+        return rows.select(F.col("id").alias("rep"), "hashes"), rows.select("id", F.col("id").alias("rep"), *keep)
+    keys = F.broadcast(several) if n <= BROADCAST_CLASSES else several
+    single, shared = rows.join(keys, ["h1", "h2"], "left_anti"), rows.join(keys, ["h1", "h2"], "left_semi")
+    heads = shared.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("hashes").alias("hashes"))
+    reps = single.select(F.col("id").alias("rep"), "hashes").unionByName(heads.select("rep", "hashes"))
+    if n > BROADCAST_CLASSES:
+        written = shared_path(df.sparkSession, "classes")
+        reps.write.option("compression", "zstd").parquet(written)
+        reps = df.sparkSession.read.parquet(written)
+    named = shared.select("id", "h1", "h2", *keep).dropDuplicates(["id"]).join(heads.select("h1", "h2", "rep"), ["h1", "h2"])
+    members = single.select("id", F.col("id").alias("rep"), *keep).unionByName(named.select("id", "rep", *keep))
+    return reps, members
 
 
 def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) with a < b: every pair of class representatives of at least this similarity."""
-    count = reps.count()
     frequency = reps.sparkSession.sparkContext.broadcast(_frequencies(reps))
-    limits = (max(CHANCE, 1.0) * 2, max((CHANCE * count) ** 0.5, 8.0))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequency.value
         for batch in batches:
-            ids, signs, owner, sizes, rings = batch.column(0), [], [], [], []
+            signs, owner, sizes, rings = [], [], [], []
             for i, row in enumerate(_rows(batch.column(1))):
                 keys, hashes = tokens(row)
-                found = signatures(keys, table[(hashes % np.uint64(SKETCH)).astype(np.int64)], limits, similarity)
-                signs.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
-                owner.append(np.full(len(found), i))
+                signs.append(rarest(keys, table[(hashes % np.uint64(SKETCH)).astype(np.int64)], similarity))
+                owner.append(np.full(len(signs[-1]), i))
                 sizes.append(len(keys))
-                rings.append(ring(keys).tobytes())
+                rings.append(_coarse(keys))
             at = pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))
-            columns = [ids.take(at), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)), pa.array(sizes, pa.int32()).take(at), pa.array(rings, pa.binary()).take(at)]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "sign", "n", "ring"])
+            both = np.array(rings, np.int64).reshape(-1, 2)
+            columns = [batch.column(0).take(at), pa.array(np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)), *(pa.array(x).take(at) for x in (np.array(sizes, np.int32), both[:, 0], both[:, 1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "sign", "n", "r", "s"])
 
-    signed = reps.select("rep", "hashes").mapInArrow(sign, "rep long, sign long, n int, ring binary")
-    # A signature held by one text alone pairs with nothing; the shuffle by signature serves both sides of the join.
+    signed = reps.select("rep", "hashes").mapInArrow(sign, "rep long, sign long, n int, r long, s long")
     x, y = signed.alias("x"), signed.alias("y")
     ordered = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
-    near = F.col("y.n") >= F.col("x.n") * F.lit(similarity) - 1e-9
-    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & ordered & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.ring").alias("ra"), F.col("y.ring").alias("rb"))
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
-            budget = n + m - 2 * np.ceil(similarity * n - 1e-9).astype(np.int64)
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RING) for c in ("ra", "rb"))
-            keep = pa.array(chain_filter(ra, rb, budget))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    pruned = met.mapInArrow(prune, "a long, b long").distinct()
+    # The longer text is x: at least ceil(similarity * n) shared words leave this many differences.
+    least = F.ceil(F.col("x.n") * F.lit(similarity) - 1e-9)
+    budget = F.col("x.n") + F.col("y.n") - 2 * least
+    first = _apart("x.r", "y.r")
+    fits = ordered & (F.col("y.n") >= least) & (first <= budget) & (first + _apart("x.s", "y.s") <= budget)
+    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for i, (x, y) in enumerate(zip(_rows(batch.column("ha")), _rows(batch.column("hb")))):
-                score[i] = len(np.intersect1d(tokens(x)[0], tokens(y)[0], assume_unique=True)) / max(len(x), len(y))
+            pairs = [(tokens(x)[0], tokens(y)[0]) for x, y in zip(_rows(batch.column("ha")), _rows(batch.column("hb")))]
+            n, m = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
+            longer = np.maximum(n, m)
+            budget = n + m - 2 * np.ceil(similarity * longer - 1e-9).astype(np.int64)
+            ra, rb = (np.array([ring(p[i]) for p in pairs], np.uint8).reshape(-1, RING) for i in (0, 1))
+            score = np.zeros(len(pairs))
+            for i in np.flatnonzero(chain_filter(ra, rb, budget)):
+                score[i] = len(np.intersect1d(*pairs[i], assume_unique=True)) / longer[i]
             keep = pa.array(score >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(score).filter(keep)], ["a", "b", "similarity"])
 
-    full = pruned.join(reps.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(reps.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
+    full = met.join(reps.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(reps.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
     checked = full.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, similarity double")
     return checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
@@ -254,9 +247,7 @@ def pairs_across(df: DataFrame, id_col: str, text_col: str, source_col: str, sim
 
     A null source differs from every other source but not from itself.
     """
-    reps, members = classes(df, id_col, text_col, min_words)
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source")).dropDuplicates(["id"])
-    members = checkpoint(members.join(source, "id"))
+    reps, members = classes(df, id_col, text_col, min_words, {"source": source_col})
     pairs = similar_pairs(reps, similarity).select("a", "b")
     # A class pairs with itself where several sources hold it.
     several = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from filigree.plans import data_quality
+from filigree.plans import data_quality, graph_queries, search_queries
+from filigree.plans.graph_queries import flagship
 
-_MODULES = [data_quality]
+_MODULES = [data_quality, graph_queries, search_queries]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 
-
-def flagship(spark, d):
-    return data_quality.p4_report(spark, d)
+__all__ = ["ORACLE", "QUERIES", "flagship"]

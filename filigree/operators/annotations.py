@@ -50,7 +50,7 @@ def _loop(g: PropertyGraph, source: int, start, step, better, limits: Limits, ac
     steps = checkpoint(hops(g, direction, edge_type, weight).select("from", "to", "w"))
     if steps.limit(limits.edges + 1).count() > limits.edges:
         return Annotation(None, "edge_limit", False, 0)
-    total = spark.createDataFrame([(source, start)], "id long, value double" if isinstance(start, float) else "id long, value decimal(38,0)")
+    total = spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(start).cast("double" if isinstance(start, float) else "decimal(38,0)").alias("value"))
     frontier, relaxed, updated, vertices = total, 0, 0, None
     for k in range(1, 1_000_000):
         moved = frontier.join(steps, F.col("id") == F.col("from")).select(F.col("to").alias("id"), step(F.col("value"), F.col("w")).alias("value"))

@@ -219,8 +219,8 @@ def h0_barcode(points: DataFrame, id_col: str, vector_col: str, k: int | None =
     rows = points.select(id_col, vector_col).orderBy(id_col).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the selection exceeds {most} points")
-    x = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-    n = len(x)
+    n = len(rows)
+    x = np.array([r[1] for r in rows], float).reshape(n, len(rows[0][1]) if n else 0)
     edges = np.zeros((0, 3))
     for at in range(0, n, 512):
         gaps = np.sqrt(np.maximum(((x[at : at + 512, None, :] - x[None, :, :]) ** 2).sum(-1), 0)) if n * x.shape[1] < 2_000_000 else np.stack([np.linalg.norm(x - row, axis=1) for row in x[at : at + 512]])

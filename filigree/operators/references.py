@@ -30,9 +30,8 @@ def member_references(df: DataFrame, table: str, owner: str, at: str, members: s
 
 def _hot_keys(refs: DataFrame) -> DataFrame:
     """Keys with many references, counted map-side first. No more than HOT_SHARE rows, so they may be broadcast."""
-    counts = refs.groupBy("key").agg(F.count("*").alias("n"))
-    total = refs.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total), (F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= F.col("total"))).select("key")
+    least = max(HOT_LEAST, -(-refs.count() // HOT_SHARE))
+    return refs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key")
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:

@@ -139,5 +139,6 @@ def apply_dyadic(df: DataFrame, id_col: str, key: str, operand: list[float], op:
             return pd.Series(op(np.array(v.tolist(), float), fixed)) if len(v) else pd.Series([], dtype=float)
 
         score = scored(left.cast("array<double>"))
-    checked = F.when(F.isnan("score"), F.raise_error(F.lit("the operator returned NaN"))).otherwise(F.col("score"))
+    # Arrow hands a NaN of a function back as null.
+    checked = F.when(F.isnan("score") | F.col("score").isNull(), F.raise_error(F.lit("the operator returned NaN"))).otherwise(F.col("score"))
     return rows.select(id_col, score.alias("score")).withColumn("score", checked).orderBy(F.desc("score"), id_col).limit(_k(k))

@@ -3,11 +3,14 @@
 similarity(x, y) = words shared, with multiplicity / words of the longer text; as sets of (word, occurrence) tokens the
 texts then differ in a bounded Hamming distance. Texts with equal multisets are one class and compared once.
 
-1. Boxes of single tokens: of a text's rarest tokens, one more than a partner may lack, one at least is shared.
-   Texts meet by these tokens in one shuffle, and only pairs whose lengths and whose ring of segment counts fit are made.
-2. The pigeonring: over a finer ring of hashed segments, some chain of consecutive segments must keep its
-   differences within the proportional budget at each of its prefixes. Chains grow to the full ring; pairs without
-   a viable start drop out.
+1. Candidates by the pigeonhole over boxes. A text's rare tokens are boxes of their own: with more of them than a
+   partner may lack, one is shared. If a text has fewer and none is shared, the rare ones have used up most of the
+   allowed differences, and the common tokens of both differ in few: divided into as many hashed segments as differences
+   are left on the larger side, one segment at least is equal in both but for one token. Texts meet by their rare
+   tokens and by their segments, whole and with each token left out.
+2. The pigeonring: over a ring of hashed segments, some chain of consecutive segments must keep its differences
+   within the proportional budget at each of its prefixes. Chains grow to the full ring; pairs without a viable start
+   drop out. Texts that meet by a rare token carry a coarse ring, held against the whole budget inside the join.
 3. The full Hamming check on the tokens of the rest.
 
 No step loses a pair: segment counts bound the distance from below, whatever the hash.
@@ -31,6 +34,17 @@ SKETCH = 1 << 20
 BROADCAST_CLASSES = 100_000
 #: Segments of the ring that travels with the tokens, four bits each, and of the finer one of the chain filter.
 COARSE, RING = 32, 64
+#: A word is rare in at most this share of the texts, and in at most so many. It decides only how texts meet.
+RARE_SHARE, RARE_MOST = 0.003, 256
+#: Segments for texts of up to 79 words, doubled for each doubling of the length: the fewest that a text's left-over
+#: differences allow are its own; the last number suffices for a text without rare words.
+LEVELS = (4, 6, 8, 11, 17)
+#: From this level on segments are so short that texts meet by chance, and carry their coarse ring as well.
+RINGED = 3
+#: Bits of the filter by which a text leaves out segments that no other text can meet; a fixed size. As it fills with
+#: the corpus it leaves out less, never too much.
+ASKED_BITS = 1 << 25
+_BUCKET = 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -60,10 +74,83 @@ def misses(n: int, similarity: float = SIMILARITY) -> int:
     return n - int(np.ceil(similarity * n - 1e-9))
 
 
-def rarest(keys: np.ndarray, frequency: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The rarest tokens of a text, one more than any partner may lack. The order is the same for all texts, so of two
-    partners' rarest tokens, where the first list ends, one is shared."""
-    return keys[np.lexsort((keys, frequency))[: misses(len(keys), similarity) + 1]]
+def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limit: float, similarity: float = SIMILARITY, asked: np.ndarray | None = None, asking: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, key, kind) of a batch of texts: their sorted word hashes one after another, and words by text.
+
+    kind adds ASKS and STORED, the sides on which a text meets another by the key, RARE for a rare token and RING where
+    the coarse ring is to be held against the budget. Own whole segments ask for whole ones and for those without one
+    token, own lessened ones for whole ones; segments of higher levels than the own are stored only. With ``asking`` the
+    keys of what others can meet come out instead: own whole segments, and above the first level, mixed once more, own
+    lessened ones; ``asked`` is the filter made of these, and leaves out segments that meet none of them.
+    """
+    doc = np.repeat(np.arange(len(counts)), counts)
+    flat, place = flat.astype(np.uint64), np.arange(len(flat))
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+    nth = place - np.maximum.accumulate(np.where(new, place, 0)) if len(flat) else place
+    keys = _mix(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    often = frequency[(flat % np.uint64(SKETCH)).astype(np.int64)]
+    rare = often <= limit
+    allowed = counts - np.ceil(similarity * counts - 1e-9).astype(np.int64)
+    left = allowed - np.bincount(doc[rare], minlength=len(counts))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if not asking:
+        at = np.flatnonzero(rare)
+        at = at[np.lexsort((keys[at], often[at], doc[at]))]
+        nth = np.arange(len(at)) - np.searchsorted(doc[at], doc[at])
+        at = at[nth <= allowed[doc[at]]]
+        out.append((doc[at], keys[at], np.full(len(at), ASKS + STORED + RARE + RING)))
+    mixed = _mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+    length = np.maximum(0, np.floor(np.log2(np.maximum(counts, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
+    most = np.maximum(0, np.floor(np.log2(np.maximum(counts / similarity + 1, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
+    for span in range(int(most.max(initial=-1)) + 1):
+        here = (left >= 0) & (length <= span) & (span <= most)
+        sizes = np.array(LEVELS) << span
+        own = np.searchsorted(sizes, left + 1)
+        for level, m in enumerate(sizes.tolist()):
+            texts = np.flatnonzero(here & (own == level if asking else own <= level))
+            if not len(texts):
+                continue
+            number = np.full(len(counts), -1)
+            number[texts] = np.arange(len(texts))
+            at = np.flatnonzero(~rare & (number[doc] >= 0))
+            segment = number[doc[at]] * m + ((keys[at] >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+            sums = np.zeros(len(texts) * m, np.uint64)
+            np.add.at(sums, segment, mixed[at])
+            salt = np.uint64((span * 64 + level) * 4096)
+            whole = _mix(sums + _mix(np.tile(np.arange(m, dtype=np.uint64), len(texts)) + salt))
+            less = _mix(sums[segment] - mixed[at] + _mix((segment % m).astype(np.uint64) + salt))
+            owner, who, part = own[texts] == level, np.repeat(texts, m), number[doc[at]]
+            mine, mine_less = np.repeat(owner, m), owner[part]
+            if asking:
+                out.append((who, whole, np.zeros(len(who), np.int64)))
+                if level > 0:
+                    out.append((doc[at], _mix(less), np.zeros(len(at), np.int64)))
+                continue
+            if asked is None:
+                met, met_less = np.ones(len(who), bool), np.ones(len(at), bool)
+            else:
+                # At the first level all are own; above it an own lessened segment may meet a guest's and stays.
+                met, met_less = mine | _set(asked, whole) | _set(asked, _mix(whole)), _set(asked, less)
+                met_less = met_less | mine_less if level > 0 else met_less
+            ring_too = RING if level >= RINGED else 0
+            apart = lambda k: _mix(k ^ np.uint64(0x2545F4914F6CDD1D))
+            for which, texts_of, key, kind in (
+                (met, who, whole, STORED + ASKS * mine), (mine, who, apart(whole), np.full(len(who), ASKS)),
+                (met_less, doc[at], apart(less), np.full(len(at), STORED)), (met_less & mine_less, doc[at], less, np.full(len(at), ASKS)),
+            ):
+                out.append((texts_of[which], key[which], kind[which] + ring_too))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+ASKS, STORED, RARE, RING = 1, 2, 4, 8
+
+
+def _set(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    bit = (key % np.uint64(ASKED_BITS)).astype(np.int64)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
 def ring(keys: np.ndarray, segments: int = RING, most: int = 255) -> np.ndarray:
@@ -162,34 +249,64 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     return reps, members
 
 
+def _asked(reps: DataFrame, frequency, limit: float, similarity: float) -> np.ndarray:
+    """The filter of segments that can be met: a bitmap of fixed size, joined by or."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(ASKED_BITS >> 3, np.uint8)
+        for batch in batches:
+            column = batch.column(0)
+            flat, counts = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+            _, key, _ = signatures(flat, counts, frequency.value, limit, similarity, asking=True)
+            bit = np.unique((key % np.uint64(ASKED_BITS)).astype(np.int64))
+            np.bitwise_or.at(bits, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
+        parts = bits.reshape(-1, _BUCKET >> 3)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["bucket", "bits"])
+
+    merged = reps.select("hashes").mapInArrow(run, "bucket int, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    out = np.zeros((ASKED_BITS // _BUCKET, _BUCKET >> 3), np.uint8)
+    for r in merged.collect():  # at most ASKED_BITS
+        out[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
 def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) with a < b: every pair of class representatives of at least this similarity."""
-    frequency = reps.sparkSession.sparkContext.broadcast(_frequencies(reps))
+    spark = reps.sparkSession
+    limit = min(max(RARE_SHARE * reps.count(), 4), RARE_MOST)
+    frequency = spark.sparkContext.broadcast(_frequencies(reps))
+    asked = spark.sparkContext.broadcast(_asked(reps, frequency, limit, similarity))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequency.value
-        for batch in batches:
-            signs, owner, sizes, rings = [], [], [], []
-            for i, row in enumerate(_rows(batch.column(1))):
-                keys, hashes = tokens(row)
-                signs.append(rarest(keys, table[(hashes % np.uint64(SKETCH)).astype(np.int64)], similarity))
-                owner.append(np.full(len(signs[-1]), i))
-                sizes.append(len(keys))
-                rings.append(_coarse(keys))
-            at = pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))
-            both = np.array(rings, np.int64).reshape(-1, 2)
-            columns = [batch.column(0).take(at), pa.array(np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)), *(pa.array(x).take(at) for x in (np.array(sizes, np.int32), both[:, 0], both[:, 1]))]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "sign", "n", "r", "s"])
-
-    signed = reps.select("rep", "hashes").mapInArrow(sign, "rep long, sign long, n int, r long, s long")
-    x, y = signed.alias("x"), signed.alias("y")
-    ordered = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
-    # The longer text is x: at least ceil(similarity * n) shared words leave this many differences.
-    least = F.ceil(F.col("x.n") * F.lit(similarity) - 1e-9)
-    budget = F.col("x.n") + F.col("y.n") - 2 * least
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows = _rows(batch.column(1))
+                counts = np.fromiter(map(len, rows), np.int64, len(rows))
+                flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+                who, key, kind = signatures(flat, counts, frequency.value, limit, similarity, asked.value)
+                rings = np.array([_coarse(tokens(r)[0]) for r in rows], np.int64).reshape(-1, 2)
+                pair = [np.where(kind >= RING, rings[who, i], 0) for i in (0, 1)]
+                columns = [batch.column(0).take(pa.array(who)), pa.array(key.view(np.int64)), pa.array((counts[who] * 16 + kind).astype(np.int32)), *map(pa.array, pair)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "sign", "info", "r", "s"])
+
+    signed = reps.select("rep", "hashes").mapInArrow(sign, "rep long, sign long, info int, r long, s long")
+    # Both sides read the one shuffle by signature.
+    side = lambda role: signed.filter(F.col("info").bitwiseAND(F.lit(role)) > 0)
+    n = lambda t: F.shiftright(F.col(f"{t}.info"), 4)
+    has = lambda bit: F.col("x.info").bitwiseAND(F.lit(bit)) > 0
+    x, y = side(ASKS).alias("x"), side(STORED).alias("y")
+    longer, shorter = F.greatest(n("x"), n("y")), F.least(n("x"), n("y"))
+    # Of the longer text at least ceil(similarity * n) words are shared, which leaves this many differences.
+    least = F.ceil(longer * F.lit(similarity) - 1e-9)
+    budget = longer + shorter - 2 * least
     first = _apart("x.r", "y.r")
-    fits = ordered & (F.col("y.n") >= least) & (first <= budget) & (first + _apart("x.s", "y.s") <= budget)
-    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    ring_fits = (first <= budget) & (first + _apart("x.s", "y.s") <= budget)
+    # A pair meets by a rare token from both sides; one is enough.
+    once = (F.col("x.rep") < F.col("y.rep")) | (~has(RARE) & (F.col("x.rep") != F.col("y.rep")))
+    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & once & (shorter >= least) & (~has(RING) | ring_fits))
+    met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.session import shared_path
+
 #: Labels whose value is a list of records; a lone record there counts as a list of one.
 GRAPH_LISTS = ("vertices", "edges", "nexuses", "members", "properties")
 
@@ -164,6 +166,11 @@ def list_items(df: DataFrame, id_col: str = "export_id", json_col: str = "payloa
     scalars = F.col("kind").isin("string", "int", "double", "bool")
     is_item = path.isin(list(items)) & (F.col("kind") == "object")
     is_child = path.isin(wanted) & scalars
+    is_owner_id = path.isin([f"{r}.id" for r in parts.values()]) & scalars
+    # The documents are parsed once: what both sides of the join below need is stored, and read by columns.
+    stored = shared_path(df.sparkSession, "nodes")
+    nodes.filter(is_item | is_child | is_owner_id).drop("parent").write.option("compression", "zstd").parquet(stored)
+    nodes = df.sparkSession.read.schema(nodes.drop("parent").schema).parquet(stored)
     # Item nodes meet their scalar children; the item row alone knows its owner and place.
     joined = (
         nodes.filter(is_item | is_child)
@@ -176,7 +183,7 @@ def list_items(df: DataFrame, id_col: str = "export_id", json_col: str = "payloa
         )
         .filter(F.col("path").isNotNull())
     )
-    owners = nodes.filter(path.isin([f"{r}.id" for r in parts.values()]) & scalars).select(id_col, "owner", F.expr("try_cast(scalar as bigint)").alias("owner_id"))
+    owners = nodes.filter(is_owner_id).select(id_col, "owner", F.expr("try_cast(scalar as bigint)").alias("owner_id"))
     named = lambda of: F.coalesce(*(F.when(F.col("path") == p, F.lit(of(v))) for p, v in items.items()))
     return joined.join(owners, [id_col, "owner"], "left").select(
         id_col,

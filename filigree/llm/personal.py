@@ -9,7 +9,9 @@ ever scored, whole text by whole text, without a shuffle.
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm.boosting import Boosted
-from filigree.llm.personal_training import GIVEN, labelled
+from filigree.llm.personal_training import GIVEN, Maker, labelled
 
 KINDS = ("email", "phone", "idno", "address", "name")
 #: Rule-made texts the models are trained on, and the part of them held out for calibration.
-TRAINING_TEXTS, HELD_OUT, SEED = 4_000, 0.25, 11
+TRAINING_TEXTS, HELD_OUT, SEED = 6_000, 0.25, 11
 #: Context read on either side of a span.
 _BEFORE, _AFTER = 44, 22
 
@@ -40,7 +42,7 @@ _CUES = {
     "address": r"address|office|stands at|disk to|lives at|anschrift|adresse|gerat steht|lieferung|serveur se trouve|livrer|direccion|enviar|equipo esta|住所|\bat\b|\bto\b|\bin der\b|\ban\b|\bau\b|\ba\b|\ben\b",
     "title": r"\b(?:mr|mrs|ms|dr|prof|herrn?|frau|m|mme|mlle|sr|sra|srta|don|dona)\.? *$",
     "label": r"(?:assignee|author|autor|auteur|owner|cc|bcc|responsable|bearbeiter|kontakt|contact|name|reported by|gemeldet von|signale par|informado por|signed off by|approved by|thanks to|ask|spoke with|according to|selon|segun|laut|gruss|gru.|cordialement|saludos|regards|until|both|seit|depuis que|desde que|reads|--|von|par|por|with|by) *[:=,\"“«]? *[\"“«]?$",
-    "name_after": r"^(?:['’]s\b|[,\"”»]? *(?:returns|confirmed|wrote|approved|said|and the|hat |ist |im urlaub|a valide|est |esta|ya esta|tout est|the merge|about|for the|on (?:mon|tues|wednes|thurs|fri)|fragen|,? *it is))",
+    "name_after": r"^(?:['’]s\b|[,\"”»]? *(?:returns|confirmed|wrote|approved|said|and the|hat |ist |aprobo |confirmo |escribio |a approuve |a confirme |im urlaub|a valide|est |esta|ya esta|tout est|the merge|about|for the|on (?:mon|tues|wednes|thurs|fri)|fragen|,? *it is))",
 }
 _CUES = {k: regex.compile(v) for k, v in _CUES.items()}
 
@@ -83,6 +85,9 @@ _NAME_FORMS = [
     regex.compile(rf"(?<![\p{{L}}\p{{N}}@+._-]){_T}{_GAP}{_T}{_GAP}{_T}(?![\p{{L}}\p{{N}}@_]|-\p{{L}})"),
 ]
 _TOKEN = regex.compile(r"[\p{L}\p{M}'’�]+")
+_DETERMINER = regex.compile(r"\b(?:the|an?|each|every|this|that|one|no|all|d(?:er|ie|as|e[nms])|k?ein(?:e[nmrs]?)?|jede[nmrs]?|diese[nmrs]?|alle[nmrs]?|viele|mehrere|einzelne|les?|la|une?|chaque|cette|ce|aucune?|nos|des|el|los|las|una|cada|est[ae]|dicha) +$")
+_BEGINS = regex.compile(r"(?:\A|[.!?…\r\n][\s\"'>#*-]*)$")
+_LOWER_NEXT = regex.compile(r"[ \u00a0]{1,2}\p{Ll}")
 
 #: Full-width digits and signs to their ASCII form, for the features; spans keep the text as it is.
 _NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2013: 0x2D}
@@ -150,15 +155,10 @@ def _addresses(text: str) -> Iterator[Span]:
 
 
 def _names(text: str) -> Iterator[Span]:
-    """Capitalized words in the shape of a name, if one is a known given name or a cue stands at either side."""
+    """Every run of capitalized words in the shape of a name; known given names and cues are features only."""
     for form in _NAME_FORMS:
         for m in form.finditer(text, overlapped=True):
-            if any(fold(w) in _GIVEN for w in _TOKEN.findall(m.group())):
-                yield m.start(), m.end(), "name"
-                continue
-            before, after = fold(text[max(0, m.start() - _BEFORE) : m.start()]), fold(text[m.end() : m.end() + _AFTER])
-            if _CUES["title"].search(before) or _CUES["label"].search(before) or _CUES["name_after"].search(after):
-                yield m.start(), m.end(), "name"
+            yield m.start(), m.end(), "name"
 
 
 def candidates(text: str) -> list[Span]:
@@ -182,6 +182,28 @@ def _near(name: str, before: str) -> float:
     return 0.0 if last is None else 1.0 / (1 + len(before) - last.end())
 
 
+@lru_cache(maxsize=1)
+def _letters() -> tuple[dict[str, int], dict[str, int], frozenset[str]]:
+    """Groups of two and three letters in the known given names and in other words, and these words."""
+    maker = Maker(SEED)
+    words = frozenset(fold(w) for _ in range(1000) for w in _TOKEN.findall(" ".join((maker.filler(), maker.lookalike(), maker.prose())))) - _GIVEN
+    return Counter(g for w in _GIVEN for g in _groups(w)), Counter(g for w in words for g in _groups(w)), words
+
+
+def _groups(word: str) -> list[str]:
+    word = f"^{word}$"
+    return [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
+
+
+@lru_cache(maxsize=100_000)
+def _named(word: str) -> float:
+    """How much the letters of a folded word are those of a given name, the word itself not counted: mean log odds."""
+    names, words, held = _letters()
+    name, other = float(word in _GIVEN), float(word in held)
+    groups = _groups(word)
+    return sum(math.log((max(0.0, names.get(g, 0) - name) + 0.5) / (max(0.0, words.get(g, 0) - other) + 0.5)) for g in groups) / len(groups)
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a span as numbers; the same list for spans of all kinds but names, which have their own."""
     start, end, kind = span
@@ -193,8 +215,8 @@ def features(text: str, span: Span) -> list[float]:
         tokens = _TOKEN.findall(s)
         known = [fold(w) in _GIVEN for w in tokens]
         full = [len(w) > 1 for w in tokens]
-        after_token = regex.match(r"[ \u00a0]{1,2}(\p{Lu}[\p{L}'’]+)", text[end : end + 30])
-        before_token = regex.search(r"(\p{Lu}[\p{L}'’]+)[ \u00a0]{1,2}$", text[max(0, start - 30) : start])
+        after_token = regex.match(r"[ \u00a0]{1,2}(\p{Lu}[\p{L}'’�]+)", text[end : end + 30])
+        before_token = regex.search(r"(\p{Lu}[\p{L}'’�]+)[ \u00a0]{1,2}$", text[max(0, start - 30) : start])
         return [
             len(tokens), sum(known), float(known[0]), float(known[-1]), float("," in s), float("-" in s), float("." in s), float(s.isupper()), sum(full),
             min(map(len, tokens)), len(tokens[-1]), len(tokens[0]), float(bool(_CUES["title"].search(line))), float(bool(_CUES["label"].search(line))), float(bool(_CUES["name_after"].search(after))),
@@ -202,7 +224,9 @@ def features(text: str, span: Span) -> list[float]:
             float(left in "\n\r"), float(right in "\n\r.,'’\""), float(regex.search(r",[ \u00a0]{1,2}$", text[max(0, start - 3) : start]) is not None), float(regex.match(r",[ \u00a0]{1,2}\p{Lu}", text[end : end + 4]) is not None),
             float(regex.match(r"[ \u00a0]{1,2}\p{Lu}\.", text[end : end + 5]) is not None), float(regex.search(r"\p{Lu}\.[ \u00a0]{1,2}$", text[max(0, start - 5) : start]) is not None),
             float(known[0] and not known[-1] and "," not in s), float(known[-1] and not known[0] and "," in s), float(any(known[1:]) and "," in s), float(bool(regex.search(r"(?:\bthe|\bder|\bdie|\bdas|\ble|\bla|\bel|\blos|\bproject) *$", before))),
-            float(fold(tokens[0]) in _COMMON), float(fold(tokens[-1]) in _COMMON), float(sum(fold(w) in _COMMON for w in tokens)),
+            float(_common(tokens[0])), float(_common(tokens[-1])), float(sum(_common(w) for w in tokens)),
+            _named(fold(tokens[0])), _named(fold(tokens[-1])), max(_named(fold(w)) for w in tokens), float(_BEGINS.search(text, max(0, start - 30), start) is not None), float(_LOWER_NEXT.match(text, end) is not None),
+            float(sum(map(str.isupper, around := text[max(0, start - 30) : start] + text[end : end + 30])) > sum(map(str.islower, around))), float(before_token is not None and _common(before_token[1])), float(after_token is not None and _common(after_token[1])), float(_DETERMINER.search(before) is not None),
         ]
     letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
     groups = [len(g) for g in _PART.findall(s)]
@@ -230,9 +254,19 @@ _COMMON = frozenset("""
 the a an of and or for until both according reported please we block main street map section lane routing order vertex route build range ticket office postal phone call
 der die das ein eine und oder seit laut bitte gruss frau herr herrn kontakt anschrift nach vor zwischen ohne bei unter le la les un une et ou selon depuis signale cordialement voir avec responsable avant sans
 el los las una y o segun desde saludos consultar informado sin bajo tras mr mrs ms dr mme sr sra author autor auteur assignee bearbeiter contact contacto courriel correo returns confirmed wrote
+so but if while when then each every all no not with from to in on at by as is are was under behind during after before this that one two into over only our your their its his her my
+aber denn weil dass den dem des im am zum zur von mit auf aus fur ist sind jede jeder keine viele einzelne mehrere trotz nahe wahrend innerhalb ausserhalb unser unsere ihr ihre sein seine
+mais car donc des du au aux dans par pour chaque est sont cette ce pendant apres hors sous chez nos notre votre leur leurs ses mes pero pues porque del al en con por para cada es son esta este durante dentro fuera su sus nuestro nuestra
 """.split())
 
 
+@lru_cache(maxsize=100_000)
+def _common(word: str) -> bool:
+    """Whether a word is common; damaged characters stand for any."""
+    word = fold(word)
+    return word in _COMMON or "�" in word and any(len(c) == len(word) and all(x in ("�", y) for x, y in zip(word, c)) for c in _COMMON)
+
+
 @lru_cache(maxsize=2)
 def models(texts: int = TRAINING_TEXTS, seed: int = SEED) -> dict[str, Boosted]:
     """One calibrated model per kind, trained on rule-made texts; the last part of them calibrates."""

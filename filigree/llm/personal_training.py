@@ -22,6 +22,36 @@ michael miriam monika nadia nicolas niklas nina nora olga oliver olivia oskar pa
 philip pierre rafael renate robert rosa ruben ruth sabine samuel sara sergio simon sofia sofie stefan susan teresa thomas
 tomas ulrich ursula vera victor walter yvonne zoe
 """.split()
+# Given names the recognizer does not list, so that it learns names from their letters and surroundings.
+UNLISTED = """
+abigail achim adriana agatha aidan aisha albrecht alejandra alessandro alfonso alina alois amanda amara ambroise anders
+aniela anselm apolline arnaud arne arturo aurelie axel balthasar bartosz beate bertrand birgit bjorn bogdan brigitte caleb
+candela casper cedric celeste cesar clement colette conrad corinna cornelia cyril dagmar damien darius delphine derek detlef
+dieter dimitri dolores donata doris edgar edwin elodie elvira emanuel emiliano enrique erika ernst esteban etienne eugenia
+evelyn ewald fatou felicitas fernanda fiona francesca franziska freya friederike gaston geraldine gerhard gilbert giovanni
+gloria gonzalo gottfried guillaume gunther gustavo hakan harald hector heike hendrik herbert hermine hortense hubert ignacio
+ilse imogen irina isidor jacqueline jarek jasmin javier jerome joachim joaquin joel johanna josephine juliette jurgen kamil
+karolina kaspar kerstin khalid konrad kristina leandro leonie leopold liam lorenzo lothar louise lucien ludwig luise
+madeleine malik manfred marcel marianne mathilde matilda matteo mauricio maxime melanie mercedes miguel milan mirjam morgan
+moritz nadine natalia nathan nestor nicole nikolai noemi norbert octavio odile olaf olivier ophelia otto pascale pauline
+philippa pilar quentin raimund ramona raquel raul regina reinhard ricardo rodrigo roland rosalie rowan rudolf sabrina
+salome samira sandra santiago sebastian severin sibylle siegfried silvia solene sonja stella sven sylvain tamara tatiana
+theodor thibault tiago tilman ulrike ursina valentin vanessa veronika vincent viola vivian waltraud wilhelm wolfgang xavier
+ximena yannick yasmin yolanda yves zacharias
+""".split()
+# Family names, beside the invented ones.
+FAMILIES = """
+abbott aguilar andersen bauer becker bianchi blanc bonnet brandt brooks castro chen collins costa diaz dubois eriksson evans farah fischer
+fletcher fontaine fuchs garnier gomez graham gupta haas haddad hansen hartmann hayes hoffmann ibrahim ivanov jansen jimenez johansson
+kaya kowalski kraus kumar lambert larsen lefevre lehmann lombardi lopez macdonald mahlangu martinez mbeki mercier meyer molina moreno
+murphy nakamura navarro nguyen nowak nunez olsen ortega park patel perrin popescu quinn ramos reyes ricci romero rousseau sato schmitt
+schneider serrano shah silva singh suarez tanaka torres vargas vasquez virtanen wagner walsh weber williams wright yamada yilmaz ziegler
+""".split()
+# Words that make names of places and products.
+_NAMED = (["Amber", "Azure", "Bright", "Broken", "Bronze", "Cedar", "Cold", "Crystal", "Eastern", "Golden", "Granite", "Green", "High", "Iron", "Lower", "Old", "Quiet", "Red", "Rapid", "Southern", "Steel", "Upper", "Western", "White"], ["Anchor", "Arrow", "Basin", "Beacon", "Bridge", "Canyon", "Castle", "Cluster", "Falcon", "Forge", "Garden", "Island", "Market", "Meadow", "Mirror", "Mountain", "Orchard", "Park", "River", "Station", "Summit", "Tower", "Valley", "Window"])
+# German nouns and words in front of them, which look like names in prose, and words for shouted prose.
+_GERMAN = (["jede", "mehrere", "den", "das", "diese", "keine", "eine", "viele", "zweite"], ["Auswahl", "Menge", "Spalte", "Zeile", "Kennung", "Rolle", "Merkmal", "Treffer", "Antwort", "Schwelle", "Sperre", "Seite", "Ordnung", "Prüfung", "Meldung", "Ebene", "Strecke", "Quelle", "Fassung", "Aufgabe", "Leitung", "Warnung"])
+_PLAIN = "shard replica column filter cursor ledger bucket tuple schema token page cache node leaf stream buffer record field journal table colonne filtre page noeud champ fichier ligne valeur copie fila columna nodo campo valor copia archivo each cold remote sorted stale dense shared idle every signed vieux chaque chacune lento cada toda fria sorts joins reads writes skips merges splits drops counts trie compare ignore copie lit ordena copia omite lee une junta".split()
 # Syllables for invented family names, places and things.
 _FAMILY = (["ber", "cal", "dor", "fen", "gar", "hol", "kel", "lam", "mor", "nar", "ost", "pel", "quar", "ros", "sten", "tor", "ver", "wes", "zan"], ["", "a", "de", "i", "lo", "mo", "ra", "te", "vi"], ["ard", "berg", "ez", "elle", "er", "ini", "ling", "mann", "more", "o", "quist", "sen", "son", "stad", "wick", "ault"])
 _PLACE = (["alder", "brook", "crow", "elm", "fern", "glen", "hazel", "kings", "marsh", "oak", "ridge", "stone", "thorn", "wood"], ["bury", "combe", "field", "ford", "gate", "ham", "holm", "ley", "moor", "stead", "ton", "wick"])
@@ -46,12 +76,12 @@ class Maker:
 
     def name(self) -> str:
         r = self.r
-        given = r.choice(GIVEN).capitalize() if r.random() < 0.9 else self.word(_THING).capitalize()
+        given = r.choice(r.choice([GIVEN, UNLISTED])).capitalize() if r.random() < 0.95 else self.word(_THING).capitalize()
         if r.random() < 0.2:
             given += "-" + r.choice(GIVEN).capitalize()
         elif r.random() < 0.25:
             given += f" {r.choice('ABCDEFGHJKLMNPRSTW')}."
-        family = self.word(_FAMILY).capitalize()
+        family = (self.word(_FAMILY) if r.random() < 0.6 else r.choice(FAMILIES)).capitalize()
         if r.random() < 0.05:
             family += "-" + self.word(_FAMILY).capitalize()
         full = f"{family}, {given}" if r.random() < 0.25 else f"{given} {family}"
@@ -125,6 +155,22 @@ class Maker:
             f"The role binding by {cap()} locks the query plan {cap()} for every tenant.", f"{d('2025-09-19T19:59:39Z')} {r.choice(['INFO', 'WARN', 'ERROR'])} [{t()}] The {t()} reader {cap()} waits.",
         ])
 
+    def prose(self) -> str:
+        """Sentences with capitalized or shouted words that are no names."""
+        r, t = self.r, lambda: self.word(_THING)
+        cap = lambda: t().capitalize()
+        return r.choice([
+            f"{' '.join(r.choice(p) for p in _NAMED)} {r.choice(['keeps', 'holds', 'is the name of', 'has', 'waits for', 'enthält', 'contient', 'tiene'])} {r.randrange(99)} of them.", f"{r.choice(['Reach', 'We call it', 'Nach', 'Vers', 'Hacia', 'The product', 'A cluster like'])} {' '.join(r.choice(p) for p in _NAMED)}{r.choice(['.', ' first.', ', then stop.'])}",
+            f"{r.choice(['Der', 'Die', 'Das'])} {r.choice(_GERMAN[1])} {cap()} {r.choice(['prüft', 'sperrt', 'kopiert', 'liest'])} {r.choice(_GERMAN[0])} {r.choice(_GERMAN[1])} {cap()}, {r.choice(['denn', 'aber', 'und', 'bis'])} {r.choice(['der', 'die', 'das'])} {r.choice(_GERMAN[1])} {cap()} {r.choice(['wartet', 'öffnet', 'verwirft'])} {r.choice(_GERMAN[0])} {r.choice(_GERMAN[1])}.",
+            " ".join(r.choice(_PLAIN) if r.random() < 0.8 else t() for _ in range(r.randrange(5, 14))).capitalize() + ".", f"{r.choice(['Ohne', 'Trotz', 'Under', 'Behind', 'Sans', 'Avant', 'Tras', 'Bajo', 'Nahe', 'Laut'])} {r.choice([r.choice(_GERMAN[1]), cap()])} {r.choice(['trennt', 'reads', 'trie', 'omite'])} {r.choice(['der', 'the', 'le', 'el'])} {r.choice(_PLAIN)} {cap()} {r.choice(_PLAIN)}.",
+            f"{r.choice(['Laut', 'Selon', 'Según', 'According to', 'Von', 'Par', 'Por', 'With', 'By', 'Each', 'Until', 'Both'])} {r.choice([r.choice(_GERMAN[1]), r.choice(_PLAIN)])} {r.choice(_PLAIN)} {t()} {r.choice(_PLAIN)}, {r.choice(['and the', 'and the', 'denn', 'car', 'pues'])} {r.choice(_PLAIN)}-{r.choice(_PLAIN)} {r.choice(_PLAIN)} {t()}.",
+            f"The {r.choice(_PLAIN)} {r.choice(_PLAIN)} {r.choice(_PLAIN)} {r.choice(['each', 'its', 'one', 'the'])} {t()} {r.choice(_PLAIN)} {r.choice(_PLAIN)}, {r.choice(['and the', 'but the', 'so the'])} {r.choice(_PLAIN)} {r.choice(_PLAIN)} {r.choice(_PLAIN)} its {t()}. Because {r.choice(_PLAIN)} {r.choice(_PLAIN)}, the {r.choice(_PLAIN)} {t()} {r.choice(_PLAIN)}.",
+            f"{r.choice(['El', 'La', 'Le', 'Der'])} {r.choice(_PLAIN)} {t()} {r.choice(_PLAIN)} {r.choice(['esta', 'cette', 'den', 'chaque'])} {r.choice(_PLAIN)} {t()} ({r.randrange(9999)} ms).",
+        ])
+
+    def damaged(self, text: str) -> str:
+        return text.replace(self.r.choice("aeinr"), "\ufffd")
+
     def lookalike(self) -> str:
         r, t, d = self.r, lambda: self.word(_THING), self.digits
         name = t()
@@ -154,8 +200,11 @@ class Maker:
     def text(self) -> list:
         """The parts of a text of a few sentences, possibly upper-cased, widely spaced or decomposed as a whole."""
         r, parts = self.r, []
+        if r.random() < 0.15:
+            prose = " ".join(self.prose() for _ in range(r.randrange(3, 9)))
+            return [prose.upper() if r.random() < 0.6 else self.damaged(prose) if r.random() < 0.25 else prose]
         for _ in range(r.randrange(2, 7)):
-            parts += self.case() if r.random() < 0.55 else [self.lookalike() if r.random() < 0.55 else self.filler()]
+            parts += self.case() if r.random() < 0.52 else [r.choice([self.lookalike, self.lookalike, self.filler, self.filler, self.prose])()]
             parts.append(r.choice([" ", " ", "\n", "\n\n", "\r\n"]))
         how = r.random()
         change = (lambda s: s.upper()) if how < 0.12 else (lambda s: s.replace(" ", "  ")) if how < 0.19 else (lambda s: unicodedata.normalize("NFD", s)) if how < 0.22 else (lambda s: s)

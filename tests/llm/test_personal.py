@@ -58,6 +58,20 @@ def test_examples(text, expected, trained):
     assert mentions(text, trained) == expected
 
 
+# Given names that neither the recognizer nor its training knows.
+@pytest.mark.parametrize("given", ["Damian", "Ottilie", "Gwendolyn", "Anatole"])
+def test_unlisted_given_names(given, trained):
+    assert given.lower() not in personal.GIVEN
+    assert (0, len(given) + 11, "name") in personal.candidates(f"{given} Dornvimark wartet.")
+    for text in (f"{given} Dornvimark aprobó la carga.", f"Nachtrag. {given} Dornvimark aprobó la carga.", f"Bearbeiter: {given} Dornvimark"):
+        assert mentions(text, trained) == [("name", f"{given} Dornvimark")]
+
+
+def test_capitalized_words_are_no_names(trained):
+    for text in ("Silver Harbor keeps 3 of them.", "Der Verteiler Thuulist vergleicht jede Rolle Arzo.", "LAUT MESSUNG LÄDT DIE ROLLE GARKAMI DIE BEWERTUNG."):
+        assert mentions(text, trained) == []
+
+
 def test_redaction_keeps_the_rest(spark):
     text = "Kontakt: vera.dornstad@kelan.example\r\n  Tél. 01 99 00 32 58 – Ende"
     rows = [(1, text, "x"), (1, text, "x"), (2, None, "y"), (3, "", "z"), (4, "a 1 " * 20_000, "w")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.graph import PropertyGraph
-from filigree.session import checkpoint
+from filigree.session import checkpoint, rounds
 
 
 def _arcs(g: PropertyGraph, nexus_type: str | None, tail: str, head: str) -> tuple[DataFrame, DataFrame]:
@@ -21,15 +21,15 @@ def _arcs(g: PropertyGraph, nexus_type: str | None, tail: str, head: str) -> tup
     return checkpoint(tails.join(arity, "nexus_id")), checkpoint(i.filter(F.col("role") == head).select("nexus_id", "vertex_id").distinct())
 
 
-def reach(g: PropertyGraph, sources: DataFrame, nexus_type: str | None = None, tail: str = "tail", head: str = "head", max_rounds: int = 1_000) -> DataFrame:
+def reach(g: PropertyGraph, sources: DataFrame, nexus_type: str | None = None, tail: str = "tail", head: str = "head", max_rounds: int | None = None) -> DataFrame:
     """(vertex_id): the sources and every head of a nexus all of whose tails are reached, to the fixed point.
 
-    Each round counts only tails newly reached, and adds them to what each nexus has.
+    Each round counts only tails newly reached, and adds them to what each nexus has. With ``max_rounds``, needing more is an error.
     """
     tails, heads = _arcs(g, nexus_type, tail, head)
     reached = new = checkpoint(sources.select("vertex_id").distinct())
     have = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         hit = tails.join(new, "vertex_id").groupBy("nexus_id", "arity").agg(F.count("*").alias("n"))
         have = hit if have is None else have.unionByName(hit).groupBy("nexus_id", "arity").agg(F.sum("n").alias("n"))
         have = checkpoint(have)
@@ -49,10 +49,10 @@ class Derivation:
     tree: list[tuple[int, int, int | None, float]]
 
 
-def derivations(g: PropertyGraph, sources: DataFrame, cost: str | None = None, mode: str = "additive", nexus_type: str | None = None, tail: str = "tail", head: str = "head", max_rounds: int = 1_000) -> DataFrame:
+def derivations(g: PropertyGraph, sources: DataFrame, cost: str | None = None, mode: str = "additive", nexus_type: str | None = None, tail: str = "tail", head: str = "head", max_rounds: int | None = None) -> DataFrame:
     """(vertex_id, cost, nexus_id): least costs of deriving each vertex, by relaxation; ties take the smaller nexus.
 
-    additive adds the costs of all tails to the nexus's own; bottleneck takes the greatest of them.
+    additive adds the costs of all tails to the nexus's own; bottleneck takes the greatest of them. With ``max_rounds``, needing more is an error.
     """
     tails, heads = _arcs(g, nexus_type, tail, head)
     price = F.lit(1.0) if cost is None else F.coalesce(F.col(cost).cast("double"), F.lit(0.0))
@@ -61,7 +61,7 @@ def derivations(g: PropertyGraph, sources: DataFrame, cost: str | None = None, m
         raise ValueError("costs must not be negative")
     start = checkpoint(sources.select("vertex_id").distinct().select("vertex_id", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("nexus_id")))
     best = start
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         known = tails.join(best.select("vertex_id", "cost"), "vertex_id").groupBy("nexus_id", "arity").agg(F.count("*").alias("n"), (F.sum if mode == "additive" else F.max)("cost").alias("c"))
         value = F.col("c") + F.col("price") if mode == "additive" else F.greatest("c", "price")
         offers = known.filter("n = arity").join(prices, "nexus_id").select("nexus_id", value.alias("cost")).join(heads, "nexus_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.graph import PropertyGraph
-from filigree.session import checkpoint
+from filigree.session import checkpoint, rounds
 
 EARTH_RADIUS_M = 6_371_000.0
 
@@ -59,12 +59,13 @@ def shortest_paths(g: PropertyGraph, pairs: DataFrame, max_depth: int, direction
     return met.groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("distance")).filter(F.col("distance") <= max_depth)
 
 
-def weighted_paths(g: PropertyGraph, sources: DataFrame, weight: str, direction: str = "out", edge_type: str | None = None, max_distance: float | None = None, targets: DataFrame | None = None, max_rounds: int = 10_000, potential: DataFrame | None = None) -> DataFrame:
+def weighted_paths(g: PropertyGraph, sources: DataFrame, weight: str, direction: str = "out", edge_type: str | None = None, max_distance: float | None = None, targets: DataFrame | None = None, max_rounds: int | None = None, potential: DataFrame | None = None) -> DataFrame:
     """(source, target, distance, via_edge, previous): least sums of weights, with the last step of a least path.
 
     Relaxation to the fixed point: only vertices whose distance fell go on. Negative weights are errors. Candidates
     above max_distance are cut; with ``potential`` (target, bound), a lower bound of what is left, those whose sum
     exceeds max_distance are cut as well, which is all an admissible heuristic changes. Ties go to the smaller edge.
+    With ``max_rounds``, a search that needs more is an error.
     """
     steps = hops(g, direction, edge_type, weight)
     if steps.filter("w < 0").limit(1).count():
@@ -72,7 +73,7 @@ def weighted_paths(g: PropertyGraph, sources: DataFrame, weight: str, direction:
     steps = checkpoint(steps)
     best = checkpoint(sources.select("source", F.col("source").alias("target"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("via_edge"), F.lit(None).cast("long").alias("previous")).distinct())
     frontier = best
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         moved = frontier.select("source", F.col("target").alias("from"), F.col("distance").alias("d")).join(steps, "from")
         moved = moved.select("source", F.col("to").alias("target"), (F.col("d") + F.col("w")).alias("distance"), F.col("edge").alias("via_edge"), F.col("from").alias("previous"))
         if max_distance is not None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +64,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def rounds(most: int | None = None) -> Iterator[int]:
+    """The numbers of a loop's rounds, without an end; a loop that needs more than ``most`` is an error."""
+    for i in itertools.count():
+        if most is not None and i >= most:
+            raise RuntimeError(f"the fixed point is not reached within {most} rounds")
+        yield i

@@ -8,6 +8,7 @@ from filigree.graph import PropertyGraph
 from filigree.operators import annotations as A
 from filigree.operators import combinatorial as C
 from filigree.operators import directed_nexus as D
+from filigree.operators import paths
 
 
 def graph(spark, edges):
@@ -65,6 +66,22 @@ def test_derivations(spark):
     assert D.derivation_tree(g, add, 99, "Rule").cost is None
 
 
+def test_rounds_used_up_are_an_error(spark):
+    g = rules(spark, [((v,), (v + 1,), 1) for v in range(1, 4)])
+    start = spark.createDataFrame([(1,)], "vertex_id long")
+    assert D.reach(g, start, "Rule").count() == D.derivations(g, start, "cost", "additive", "Rule").count() == 4
+    with pytest.raises(RuntimeError):
+        D.reach(g, start, "Rule", max_rounds=2)
+    with pytest.raises(RuntimeError):
+        D.derivations(g, start, "cost", "additive", "Rule", max_rounds=2)
+    line = PropertyGraph.of(spark.createDataFrame([(v, "V") for v in range(1, 5)], "id long, label string"), spark.createDataFrame([(v, v, v + 1, "E", 1.0) for v in range(1, 4)], "id long, src long, dst long, type string, w double"))
+    source = spark.createDataFrame([(1,)], "source long")
+    assert paths.weighted_paths(line, source, "w").count() == 4
+    with pytest.raises(RuntimeError):
+        paths.weighted_paths(line, source, "w", max_rounds=2)
+    assert all(f.__defaults__[-1] is None for f in (D.reach, D.derivations))
+
+
 def test_hitting_sets_match_brute_force():
     rng = random.Random(1)
     for _ in range(60):

@@ -53,6 +53,11 @@ def cut(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         i = int(np.searchsorted(bounds, high, side="right")) - 1
         return int(bounds[i]) if i >= 0 and bounds[i] > low else -1
 
+    def following(at: int) -> int:
+        """The next boundary, or the end."""
+        i = int(np.searchsorted(every, at, side="right"))
+        return int(every[i]) if i < len(every) else total
+
     pieces, start = [], 0
     while True:
         if total - start <= limit:
@@ -67,6 +72,9 @@ def cut(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
                 break
         if stop < 0 and (stop := last(every, max(previous_end, start + overlap), start + limit)) > 0:
             kind = "word"
+        if stop < 0 and (near := last(every, max(previous_end, start), start + limit)) > 0 and following(near) - near <= limit:
+            # A boundary near the start, if the run behind it then fits as a whole.
+            stop, kind = near, "word"
         if stop < 0:
             # Hard cut: the last code point that still fits as a whole.
             stop = int(units[int(np.searchsorted(units, start + limit, side="right")) - 1])
@@ -75,6 +83,9 @@ def cut(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         begin = int(every[back]) if back < len(every) and every[back] <= stop else -1
         if begin < 0:
             begin = int(units[int(np.searchsorted(units, stop - overlap))])
+        if kind != "hard" and following(stop) - stop <= limit < following(stop) - begin:
+            # A shorter step back where the next run would not fit as a whole.
+            begin = int(every[int(np.searchsorted(every, following(stop) - limit))])
         # Without overlap where a step back would leave no room for the next code point.
         fits = int(units[point(stop) + 1]) - begin <= limit
         start = begin if start < begin < stop and fits else stop

@@ -50,3 +50,13 @@ def test_frame(spark):
     assert len(by[5]) == 1 and by[5][0].text_units == 800
     assert sum(r.char_end - r.char_start for r in by[6]) >= 60_000 and len({r.text_units for r in by[6]}) == 1
     assert split_texts(df.limit(0), "body", ["id"]).count() == 0
+
+
+def test_runs_that_fit_stay_whole():
+    for head in ("word ", "a b word ", "w " * 350, "w " * 440):
+        text = head + "x" * 797 + " tail"
+        pieces = cut(text)
+        assert all(kind != "hard" for _, _, kind, _ in pieces)
+        assert any("x" * 797 in piece for *_, piece in pieces)
+        assert all(e - s <= 800 and text[s:e] == piece for s, e, _, piece in pieces) and pieces[-1][1] == len(text)
+        assert all(a[1] - 100 <= b[0] <= a[1] < b[1] for a, b in zip(pieces, pieces[1:]))

@@ -29,6 +29,14 @@ def _not_json(token: str) -> None:
     raise ValueError(f"{token} is no JSON value")
 
 
+class _Digits(str):
+    """An integer of more digits than Python converts, as it is written."""
+
+
+def _integer(text: str) -> int | _Digits:
+    return int(text) if len(text) <= 4_000 else _Digits(text)
+
+
 def _clean(text: str) -> str:
     """text without lone surrogates, which a \\u escape may make and UTF-8 cannot hold."""
     try:
@@ -43,6 +51,8 @@ def _scalar(value: object) -> tuple[str, str | None]:
         return "null", None
     if isinstance(value, bool):
         return "bool", "true" if value else "false"
+    if isinstance(value, _Digits):
+        return "int", str(value)
     if isinstance(value, str):
         return "string", _clean(value)
     return ("int" if isinstance(value, int) else "double"), str(value)
@@ -56,7 +66,7 @@ def walk_json(text: str | None, lists: Iterable[str] = GRAPH_LISTS, under: Itera
     if not text or not text.strip():
         return []
     try:
-        root = json.loads(text, parse_constant=_not_json)
+        root = json.loads(text, parse_int=_integer, parse_constant=_not_json)
     except (ValueError, RecursionError):
         return []
     lists, only, rows = set(lists), None if under is None else set(under), []
@@ -115,20 +125,20 @@ def shred_json(df: DataFrame, id_col: str, json_col: str, lists: Sequence[str] =
 
 
 def pivot_objects(nodes: DataFrame, id_col: str, path: str, labels: dict[str, Sequence[str]], keep: dict[str, Column] | None = None) -> DataFrame:
-    """One row per object node at a path: its node, owner, ordinal and a column for each label's scalar child.
+    """One row per node at a path, a null or scalar list item included: its node, owner, ordinal and a column for each label's scalar child.
 
-    ``labels`` maps an output column to the labels that may hold it, the first present one counting. An object without
-    scalar children stays, with nulls. Object nodes meet their children in one shuffle keyed by (document, node), which
+    ``labels`` maps an output column to the labels that may hold it, the first present one counting. A node without
+    scalar children stays, with nulls. Nodes meet their children in one shuffle keyed by (document, node), which
     spreads even one huge document.
     """
     scalars = F.col("kind").isin("string", "int", "double", "bool")
     at = F.col("path") == path
     child = F.col("path").isin([f"{path}.{x}" for some in labels.values() for x in some]) & scalars
-    rows = nodes.filter((at & (F.col("kind") == "object")) | child).withColumn("_at", F.when(at, F.col("node")).otherwise(F.col("owner")))
+    rows = nodes.filter(at | child).withColumn("_at", F.when(at, F.col("node")).otherwise(F.col("owner")))
     picked = [F.coalesce(*(F.max(F.when(child & (F.col("label") == x), F.col("scalar"))) for x in some)).alias(name) for name, some in labels.items()]
     own = [F.max(F.when(at, F.col(c))).alias(c) for c in ("owner", "ordinal")]
-    out = rows.groupBy(id_col, F.col("_at").alias("node")).agg(*own, *picked, F.max(at.cast("int")).alias("_object"))
-    return out.filter("_object = 1").drop("_object").withColumns(keep or {})
+    out = rows.groupBy(id_col, F.col("_at").alias("node")).agg(*own, *picked, F.max(at.cast("int")).alias("_item"))
+    return out.filter("_item = 1").drop("_item").withColumns(keep or {})
 
 
 def graph_entities(df: DataFrame, id_col: str = "export_id", json_col: str = "payload") -> dict[str, DataFrame]:
@@ -155,7 +165,7 @@ def list_items(df: DataFrame, id_col: str = "export_id", json_col: str = "payloa
     """One row per item of every member and property list of vertices and nexuses, with its parent's id.
 
     Columns: id_col, owner_kind, owner_id, child_list, item_pos, item_name (role or key) and vertex_id (the member's
-    vertex, -1 for a property). Documents that share an id are exact repeats and count once.
+    vertex, -1 for a property); an item that is no object has no name. Documents that share an id are exact repeats and count once.
     """
     nodes = shred_json(df.select(id_col, json_col).dropDuplicates([id_col]), id_col, json_col, under=("vertices", "nexuses"))
     path, parts = F.col("path"), {"vertex": "vertices[]", "nexus": "nexuses[]"}
@@ -164,7 +174,7 @@ def list_items(df: DataFrame, id_col: str = "export_id", json_col: str = "payloa
     fields = {"item_name": ("role", "key"), "vertex": ("vertex", "vertexId")}
     wanted = [f"{p}.{x}" for p in items for some in fields.values() for x in some]
     scalars = F.col("kind").isin("string", "int", "double", "bool")
-    is_item = path.isin(list(items)) & (F.col("kind") == "object")
+    is_item = path.isin(list(items))
     is_child = path.isin(wanted) & scalars
     is_owner_id = path.isin([f"{r}.id" for r in parts.values()]) & scalars
     # The documents are parsed once: what both sides of the join below need is stored, and read by columns.

@@ -60,3 +60,14 @@ def test_hostile_json(spark):
     got = shred_json(frame(spark, [(1, wide, "", "")]), "export_id", "payload", rows_a_batch=500)
     assert got.count() == 2 + 2 * 3000 and got.select("node").distinct().count() == got.count()
     assert list_items(frame(spark, [])).count() == 0
+
+
+def test_items_of_any_kind_and_long_integers(spark):
+    long = "9" * 5_000
+    text = '{"vertices": [null, {"id": 1, "big": %s, "properties": [null, 5, {"key": "k"}]}], "nexuses": [{"id": 2, "members": ["x", {"role": "r", "vertex": 1}]}]}' % long
+    df = frame(spark, [(1, text, "", "")])
+    assert sorted((r.owner_kind, r.owner_id, r.item_pos, r.item_name or "", r.vertex_id) for r in list_items(df).collect()) == [
+        ("nexus", 2, 0, "", None), ("nexus", 2, 1, "r", 1), ("vertex", 1, 0, "", -1), ("vertex", 1, 1, "", -1), ("vertex", 1, 2, "k", -1)
+    ]
+    assert sorted((r.item_pos, r.id) for r in graph_entities(df)["vertices"].collect()) == [(0, None), (1, 1)]
+    assert [r[5:7] for r in walk_json(text) if r[3] == "big"] == [("int", long)]

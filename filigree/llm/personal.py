@@ -41,7 +41,7 @@ _CUES = {
     "code_after": r"^[\W_]{0,3}(?:left|passed|is sealed|is private|is open|was rewritten|is a sample|matches|is paid|is a test|ms\b|rows|has no owner|closed|bytes)",
     "address": r"address|office|stands at|disk to|lives at|anschrift|adresse|gerat steht|lieferung|serveur se trouve|livrer|direccion|enviar|equipo esta|住所|\bat\b|\bto\b|\bin der\b|\ban\b|\bau\b|\ba\b|\ben\b",
     "title": r"\b(?:mr|mrs|ms|dr|prof|herrn?|frau|m|mme|mlle|sr|sra|srta|don|dona)\.? *$",
-    "label": r"(?:assignee|author|autor|auteur|owner|cc|bcc|responsable|bearbeiter|kontakt|contact|name|reported by|gemeldet von|signale par|informado por|signed off by|approved by|thanks to|ask|spoke with|according to|selon|segun|laut|gruss|gru.|cordialement|saludos|regards|until|both|seit|depuis que|desde que|reads|--|von|par|por|with|by) *[:=,\"“«]? *[\"“«]?$",
+    "label": r"(?:dear|hello|hallo|bonjour|hola|manager|assignee|author|autor|auteur|owner|cc|bcc|responsable|bearbeiter|kontakt|contact|name|reported by|gemeldet von|signale par|informado por|signed off by|approved by|thanks to|ask|spoke with|according to|selon|segun|laut|gruss|gru.|cordialement|saludos|regards|until|both|seit|depuis que|desde que|reads|--|von|par|por|with|by) *[:=,\"“«]? *[\"“«]?$",
     "name_after": r"^(?:['’]s\b|[,\"”»]? *(?:returns|confirmed|wrote|approved|said|and the|hat |ist |aprobo |confirmo |escribio |a approuve |a confirme |im urlaub|a valide|est |esta|ya esta|tout est|the merge|about|for the|on (?:mon|tues|wednes|thurs|fri)|fragen|,? *it is))",
 }
 _CUES = {k: regex.compile(v) for k, v in _CUES.items()}
@@ -54,7 +54,7 @@ _EMAIL = regex.compile(
 )
 _NUMBER = regex.compile(r"(?<![\p{L}\p{N}_])[+(＋（]{0,2}\d+(?:(?:[ \u00a0\u3000]{1,2}|[-./‐‑–－．／]|[)）][ \u00a0\u3000]{0,2}|[ \u00a0]{0,2}[(（]\d{1,4}[)）][ \u00a0]{0,2}|[ \u00a0\u3000]{0,2}[(（])\d+)*(?![\p{L}\p{N}])")
 _GROUP = regex.compile(r"\d+")
-_SIGNS = r"(?:[A-Za-z]{0,2}\d[A-Za-z0-9]{0,15}|[A-Za-z]{1,2})"
+_SIGNS = r"(?:[A-Za-z]{0,2}\d[A-Za-z0-9]{0,15}|[A-Za-z]{1,2}(?!-\p{L}{2}))"
 _CODE = regex.compile(rf"(?<![\p{{L}}\p{{N}}]){_SIGNS}(?:(?:[ \u00a0]{{1,2}}|[.-]){_SIGNS}){{0,15}}(?![\p{{L}}\p{{N}}])")
 _PART = regex.compile(r"[A-Za-z0-9]+")
 
@@ -85,7 +85,7 @@ _NAME_FORMS = [
     regex.compile(rf"(?<![\p{{L}}\p{{N}}@+._-]){_T}{_GAP}{_T}{_GAP}{_T}(?![\p{{L}}\p{{N}}@_]|-\p{{L}})"),
 ]
 _TOKEN = regex.compile(r"[\p{L}\p{M}'’�]+")
-_DETERMINER = regex.compile(r"\b(?:the|an?|each|every|this|that|one|no|all|d(?:er|ie|as|e[nms])|k?ein(?:e[nmrs]?)?|jede[nmrs]?|diese[nmrs]?|alle[nmrs]?|viele|mehrere|einzelne|les?|la|une?|chaque|cette|ce|aucune?|nos|des|el|los|las|una|cada|est[ae]|dicha) +$")
+_DETERMINER = regex.compile(r"\b(?:the|an?|each|every|this|that|one|no|all|d(?:er|ie|as|e[nms])|k?ein(?:e[nmrs]?)?|jede[nmrs]?|diese[nmrs]?|alle[nmrs]?|viele|mehrere|manche|zwei|einzelne|les?|la|une?|chaque|cette|ce|aucune?|nos|des|el|los|las|una|cada|est[ae]|dicha) +$")
 _BEGINS = regex.compile(r"(?:\A|[.!?…\r\n][\s\"'>#*-]*)$")
 _LOWER_NEXT = regex.compile(r"[ \u00a0]{1,2}\p{Ll}")
 
@@ -120,7 +120,7 @@ def _numbers(text: str) -> Iterator[Span]:
 
 
 def _codes(text: str) -> Iterator[Span]:
-    """Runs of up to seven neighbouring groups with letters and at least five digits, 8 to 14 signs in all."""
+    """Runs of up to seven neighbouring groups with letters and at least four digits, 8 to 14 signs in all."""
     for m in _CODE.finditer(text):
         parts = [(g.start() + m.start(), g.end() + m.start()) for g in _PART.finditer(m.group())]
         has = [any(c.isdigit() for c in text[a:b]) or b - a <= 2 for a, b in parts]
@@ -134,7 +134,7 @@ def _codes(text: str) -> Iterator[Span]:
                 if signs >= 8:
                     run = text[start:end]
                     digits = sum(c.isdigit() for c in run)
-                    if digits >= 5 and digits < signs:
+                    if digits >= 4 and digits < signs:
                         yield start, end, "idno"
 
 
@@ -235,13 +235,13 @@ def features(text: str, span: Span) -> list[float]:
     labels = [x for x in regex.split(r"[ \u00a0]*(?:\.|[(\[]dot[)\]])[ \u00a0]*", domain) if x]
     more_left = regex.search(r"[\p{L}\p{N}](?:[ \u00a0]{1,2}|[-./:()])?$", text[max(0, start - 4) : start])
     digit_left = regex.search(r"\d(?:[ \u00a0]{1,2}|[-./:(),]{1,2})?$", text[max(0, start - 4) : start])
-    digit_right = regex.match(r"(?:[ \u00a0]{1,2}|[-./:)]{1,2})?\d", text[end : end + 4])
-    letter_right = regex.match(r"[ .-]?[A-Z]\b(?!\.?[a-z])", text[end : end + 3])
+    digit_right = regex.match(r"(?:[ \u00a0]{1,2}|[-./:)]{1,2})?(?!(?:19|20)\d\d-\d\d-\d\d)\d", text[end : end + 14])
+    letter_right = regex.match(r"[ .-]?[A-Z]\b(?!\.?[a-z]|-\p{L})", text[end : end + 3])
     letter_left = regex.search(r"\b[A-Z]{1,2}[ -]?$", text[max(0, start - 3) : start])
     return [
         len(s), letters, digits, len(groups), *heads, groups[-1] if groups else 0, float(s[:1] == "+"), float(s[:1] == "("), float(s[:2] == "00"), float(s[:1] == "0"),
-        s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count("("), float("(0)" in s), float("\n" in s), s.count(","), float(bool(regex.match(r"QQ|[XYZ]-?\d|L0", s, regex.I))), float(s[-1:].isalpha()), float(s[:1].isalpha()),
-        float(s[:3] in ("000", "666")), float(s[:1] in "12"), float(bool(regex.match(r"(?:19|20)\d\d[- ]", s))), float("555" in s), len(labels), float(len(labels) > 1 and labels[-1].isalpha()), len(labels[-1]) if labels else 0,
+        s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count("("), float("(0)" in s), float("\n" in s), s.count(","), float(bool(regex.fullmatch(r"[A-Z]{2} {0,2}(?:\d\d {0,2}){3}[A-D]", s, regex.I))), float(bool(regex.match(r"[XYZ]-?\d", s, regex.I))), float(s[-1:].isalpha()), float(s[:1].isalpha()),
+        float(s[:1] in "12"), float(bool(regex.match(r"(?:19|20)\d\d[- ]", s))), len(labels), float(len(labels) > 1 and labels[-1].isalpha()), len(labels[-1]) if labels else 0,
         float(bool(regex.search(rf"{_POST}", s))), float(bool(regex.search(r"\d{5}(?!\d)\s+\p{L}", s))), float(bool(regex.search(r"\p{L}$", s))), float(bool(regex.search(r"\d$", s))), float(sum(1 for w in _TOKEN.findall(s) if w[:1].islower() and len(w) > 3)),
         _near("phone", line), _near("idno", line), _near("code", line), _near("address", line), float(bool(_CUES["phone_after"].search(after))), float(bool(_CUES["idno_after"].search(after))), float(bool(_CUES["code_after"].search(after))),
         float(more_left is not None), float(digit_left is not None), float(digit_right is not None), float(letter_right is not None), float(letter_left is not None), float(left in "\n\r"), float(right in "\n\r.,;"), float(left.isalnum()), float(right.isalnum()), float(left in ".-/:_=+#"), float(right in "-/:_+@"),

@@ -1,7 +1,7 @@
 """Labelled texts made by rule, to train the recognizer of personal information on.
 
 Each text is a list of parts; a part is plain text or (kind, mention). Names, numbers and places are invented; numbers
-come from ranges set aside for fiction or are plainly impossible. Texts also hold look-alikes that are no cases.
+are drawn at random over the whole of each general format. Texts also hold look-alikes that are no cases.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ class Maker:
 
     def phone(self) -> str:
         # Shapes of national and international numbers.
-        shapes = ["+1 888 555 0199", "888-555-0199", "(888) 555-0199", "888.555.0199", "+1888555 0199", "+18885550199", "+1 (888) 555-0199", "+44 20 7946 0999", "020 7946 0999", "+44 (0)113 496 0999", "07700 900999", "+44 7700 900999", "0113 496 0999", "+49 30 23125-999", "030/23125999", "030 23125 999", "0049 (0)30 23125 999", "+493023125999", "(030) 23125 999", "+33 1 99 00 99 99", "01 99 00 99 99", "01.99.00.99.99", "06-39-98-99-99", "+33 (0)6 39 98 99 99", "0639989999", "+34 555 99 99 99", "555 999 999", "(+34) 555999999", "555-99-99-99", "555999999", "+81 3 5550 9999", "03-5550-9999", "(03) 5550-9999", "+81-3-5550-9999", "090-5550-9999"]
+        shapes = ["+1 899 899 9999", "899-899-9999", "(899) 899-9999", "899.899.9999", "+1899899 9999", "+18998999999", "+1 (899) 899-9999", "+44 20 8999 9999", "020 8999 9999", "+44 (0)189 899 9999", "07899 999999", "+44 7899 999999", "0189 899 9999", "01899 899999", "+49 89 89999-999", "089/89999999", "089 89999 999", "0049 (0)89 89999 999", "+49898999999", "(089) 89999 999", "+49 189 89999999", "0189 8999999", "+33 8 99 99 99 99", "08 99 99 99 99", "08.99.99.99.99", "08-99-99-99-99", "+33 (0)8 99 99 99 99", "0899999999", "+34 899 99 99 99", "899 999 999", "(+34) 899999999", "899-99-99-99", "899999999", "+81 8 8999 9999", "08-8999-9999", "(08) 8999-9999", "+81-8-8999-9999", "090-8999-9999", "080-8999-9999"]
         return self.digits(self.r.choice(shapes))
 
     def idno(self) -> str:
@@ -107,22 +107,27 @@ class Maker:
         # Shapes of identity numbers.
         kind = r.randrange(6)
         if kind == 0:
-            return self.digits(r.choice(["000-99-9999", "666-99-9999", "666 99 9999", "000 99 9999", "666999999", "000999999", "999-99-9999"]))
+            return self.digits(r.choice(["999-99-9999", "999-99-9999", "999 99 9999", "999999999"]))
         if kind == 1:
-            return "QQ" + self.digits(r.choice([" 99 99 99 ", "999999", "999999 "])) + letter("ABCD")
+            return letter("ABCEGHJKLMNOPQRSTWXYZ") + letter("ABCEGHJKLMNPQRSTWXYZ") + self.digits(r.choice([" 99 99 99 ", "999999", "999999 "])) + letter("ABCD")
         if kind == 2:
-            return self._insee(f"{r.randrange(20, 43)}")
+            return self._insee(f"{r.randrange(1, 43):02}")
         if kind == 3:
             return self.digits(r.choice(["99999999", "99.999.999"])) + r.choice(["", "-"]) + letter()
         if kind == 4:
             return letter("XYZ") + self.digits(r.choice(["9999999", "-9999999-"])) + letter()
-        body = "L0" + letter("FGHJKLM") + self.digits("8"), letter("RTVWX") + letter("XYZ") + self.digits("8"), self.digits("99")
+        sign = lambda: r.choice("0123456789" * 3 + "CFGHJKLMNPRTVWXYZ")
+        body = letter("CFGHJKLMNPRTVWXYZ") + self.digits("9") + sign() + sign(), sign() + sign() + self.digits("9"), self.digits("99")
         return r.choice(["", " ", " "]).join(body)
 
     def _insee(self, month: str) -> str:
         s = self.r.choice(["", " ", "-"])
         return s.join([self.r.choice("12"), self.digits("99"), month, self.digits("99"), self.digits("999"), self.digits("999"), self.digits("99")])
 
+    def postcode(self) -> str:
+        letters = lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPRSTWXYZ") for _ in range(n))
+        return letters(self.r.choice([1, 2, 2, 2])) + self.digits(self.r.choice(["8", "8", "89"])) + self.r.choice(["", "", "", "A"]) + " " + self.digits("9") + letters(2)
+
     def address(self) -> str:
         r, n = self.r, self.r.randrange(1, 250)
         street, town = self.word(_PLACE).capitalize(), self.word(_PLACE).capitalize()
@@ -132,7 +137,7 @@ class Maker:
         if kind == 1:
             return f"{n}{r.choice('AB')} {street} {r.choice(['Rd', 'St', 'Ave', 'Ln'])}, {town}, {zip5}"
         if kind == 2:
-            return f"{r.choice(['Flat', 'Flat', 'Apt', 'Unit'])} {n % 30 + 1}, {n} {street} {r.choice(['Road', 'Street', 'Lane', 'Avenue', 'Close'])}, {town} QX{r.randrange(1, 9)} {r.randrange(1, 9)}ZZ"
+            return f"{r.choice(['Flat', 'Flat', 'Apt', 'Unit'])} {n % 30 + 1}, {n} {street} {r.choice(['Road', 'Street', 'Lane', 'Avenue', 'Close'])}, {town} {self.postcode()}"
         if kind == 3:
             return f"P.O. Box {n}, {town} {zip5}"
         if kind == 4:
@@ -187,11 +192,11 @@ class Maker:
         r = self.r
         # How cases are introduced, by kind; {} is the mention.
         frames = {
-            "email": ["Contact: {}", "Contact <{}>", "Write to {} for access.", "Kontakt: {}", "Bitte an {} schreiben.", "Correo: {}", "Courriel : {}", "Écrire à {} pour l'accès.", "mailto:{}", "E-Mail {} ist hinterlegt.", "El aviso llega a {}.", "mail={};", "連絡先: {}", "問い合わせは {} まで。", "Reply-To: {}", "owner ({})", "{}", "The key of the row is {}, which is wrong.", "Forward it to {}, please."],
-            "phone": ["Phone: {}", "tel. {}", "Call {} after hours.", "Dial {} first.", "mobile={}", "SMS:{}", "The line {} was busy.", "{} rings twice.", "Telefon: {}", "Tel {} war besetzt.", "Mobil {}", "Rückruf unter {} erbeten.", "Tél. {}", "Téléphone : {}", "Portable {}", "Rappeler au {} demain.", "Teléfono: {}", "Móvil {}", "Llamar al {} mañana.", "電話: {}", "折り返しは {} へ。", "Text message to {} failed."],
-            "idno": ["SSN {}", "The record lists ID no. {} in clear.", "Identity number {} was stored.", "national_id={}", "He gave {} as national identity number.", "passport/ID: {}", "Ausweisnummer {} steht da.", "Ausweis-Nr. {}", "Die Kennung {} aus dem Personalausweis fehlt.", "n° INSEE : {}", "Numéro de sécurité sociale {}", "le numéro d'identité {} en clair", "DNI {}", "NIF: {}", "NIE {}", "El documento de identidad {} quedó visible."],
-            "address": ["Postal address: {}", "Office: {}", "The rack stands at {}.", "Ship the disk to {}.", "lives at {} now.", "Anschrift: {}", "Das Gerät steht in der {}.", "Lieferung an {}.", "Adresse : {}", "Le serveur se trouve {}.", "Livrer au {}.", "Dirección: {}", "Enviar a {}.", "El equipo está en {}.", "{}"],
-            "name": ["Reported by {}.", "We spoke with {} on Tuesday.", "According to Dr. {}, it is safe.", "many thanks to {} for the trace", "The change was signed off by Ms {}.", "{} confirmed the rollback.", "{}'s laptop held it.", "Until {} returns, nobody merges.", "Both {} and the desk saw it.", "Please ask {} about it.", "Assignee: {}", "author={}", "cc: {}", "-- {}", "Gruß, {}", "Bitte Frau {} fragen.", "Laut Herrn {} ist das erledigt.", "Bearbeiter: {}", "Gemeldet von {}.", "Seit {} im Urlaub ist, ruht es.", "{} hat es freigegeben.", "{} aprobó la carga.", "{} approved it.", "Cordialement, {}", "Voir avec Mme {}.", "Selon M. {}, tout est prêt.", "Signalé par {}.", "Responsable : {}", "{} a validé la fusion.", "Depuis que {} est en congé, rien ne bouge.", "Consultar con la Sra. {}.", "Según el Sr. {}, ya está.", "Informado por {}.", "Saludos, {}", "Desde que {} está de viaje", 'The title reads "{}".', "{} wrote this note."],
+            "email": ["You can reach us under {} any time.", "Mail an {} genügt.", "Un message à {} suffit.", "Mensajes a {}, gracias.", "From: <{}>", "Contact: {}", "Contact <{}>", "Write to {} for access.", "Kontakt: {}", "Bitte an {} schreiben.", "Correo: {}", "Courriel : {}", "Écrire à {} pour l'accès.", "mailto:{}", "E-Mail {} ist hinterlegt.", "El aviso llega a {}.", "mail={};", "連絡先: {}", "問い合わせは {} まで。", "Reply-To: {}", "owner ({})", "{}", "The key of the row is {}, which is wrong.", "Forward it to {}, please."],
+            "phone": ["My number is {}.", "Please ring {} before noon.", "Hotline: {}", "Fax {}", "Meine Nummer ist {}.", "Nummer: {}", "Mon numéro est le {}.", "Mi número es {}.", "WhatsApp {}", "Phone: {}", "tel. {}", "Call {} after hours.", "Dial {} first.", "mobile={}", "SMS:{}", "The line {} was busy.", "{} rings twice.", "Telefon: {}", "Tel {} war besetzt.", "Mobil {}", "Rückruf unter {} erbeten.", "Tél. {}", "Téléphone : {}", "Portable {}", "Rappeler au {} demain.", "Teléfono: {}", "Móvil {}", "Llamar al {} mañana.", "電話: {}", "折り返しは {} へ。", "Text message to {} failed."],
+            "idno": ["Social security number: {}", "NINO {}", "NI number {}", "My SSN is {}.", "ID card {} expired.", "Personalausweis {}", "Ausweis: {}", "INSEE {}", "Sécurité sociale : {}", "Mi DNI es {}.", "NIE: {}", "DNI/NIF {}", "SSN {}", "The record lists ID no. {} in clear.", "Identity number {} was stored.", "national_id={}", "He gave {} as national identity number.", "passport/ID: {}", "Ausweisnummer {} steht da.", "Ausweis-Nr. {}", "Die Kennung {} aus dem Personalausweis fehlt.", "n° INSEE : {}", "Numéro de sécurité sociale {}", "le numéro d'identité {} en clair", "DNI {}", "NIF: {}", "NIE {}", "El documento de identidad {} quedó visible."],
+            "address": ["Deliver to {} please.", "Our new address is {}.", "She moved to {} in May.", "Wohnhaft in {}.", "Adresse: {}", "Domicilié au {}.", "Domicilio: {}", "Home: {}", "Postal address: {}", "Office: {}", "The rack stands at {}.", "Ship the disk to {}.", "lives at {} now.", "Anschrift: {}", "Das Gerät steht in der {}.", "Lieferung an {}.", "Adresse : {}", "Le serveur se trouve {}.", "Livrer au {}.", "Dirección: {}", "Enviar a {}.", "El equipo está en {}.", "{}"],
+            "name": ["Dear {},", "Hallo {},", "Bonjour {},", "Hola {},", "Manager: {}", "Prof. {} will speak.", "Reported by {}.", "We spoke with {} on Tuesday.", "According to Dr. {}, it is safe.", "many thanks to {} for the trace", "The change was signed off by Ms {}.", "{} confirmed the rollback.", "{}'s laptop held it.", "Until {} returns, nobody merges.", "Both {} and the desk saw it.", "Please ask {} about it.", "Assignee: {}", "author={}", "cc: {}", "-- {}", "Gruß, {}", "Bitte Frau {} fragen.", "Laut Herrn {} ist das erledigt.", "Bearbeiter: {}", "Gemeldet von {}.", "Seit {} im Urlaub ist, ruht es.", "{} hat es freigegeben.", "{} aprobó la carga.", "{} approved it.", "Cordialement, {}", "Voir avec Mme {}.", "Selon M. {}, tout est prêt.", "Signalé par {}.", "Responsable : {}", "{} a validé la fusion.", "Depuis que {} est en congé, rien ne bouge.", "Consultar con la Sra. {}.", "Según el Sr. {}, ya está.", "Informado por {}.", "Saludos, {}", "Desde que {} está de viaje", 'The title reads "{}".', "{} wrote this note."],
         }
         kind = r.choice(list(frames))
         before, after = r.choice(frames[kind]).split("{}")
@@ -206,6 +211,8 @@ class Maker:
         for _ in range(r.randrange(2, 7)):
             parts += self.case() if r.random() < 0.52 else [r.choice([self.lookalike, self.lookalike, self.filler, self.filler, self.prose])()]
             parts.append(r.choice([" ", " ", "\n", "\n\n", "\r\n"]))
+            if r.random() < 0.05:
+                parts += [self.digits("2025-09-19T19:59:39Z ") + r.choice(["INFO", "WARN", "ERROR"]) + f" [{self.word(_THING)}] {self.filler()}", "\n"]
         how = r.random()
         change = (lambda s: s.upper()) if how < 0.12 else (lambda s: s.replace(" ", "  ")) if how < 0.19 else (lambda s: unicodedata.normalize("NFD", s)) if how < 0.22 else (lambda s: s)
         if 0.22 <= how < 0.25:

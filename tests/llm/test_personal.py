@@ -58,6 +58,27 @@ def test_examples(text, expected, trained):
     assert mentions(text, trained) == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("The record lists ID no. AB 12 34 56 C in clear.", [("idno", "AB 12 34 56 C")]),
+        ("Identity number JG103759A was stored.", [("idno", "JG103759A")]),
+        ("SSN 219-09-9371", [("idno", "219-09-9371")]),
+        ("Personalausweis C01X0006H", [("idno", "C01X0006H")]),
+        ("Meine Nummer ist 089/63528174.", [("phone", "089/63528174")]),
+        ("Please ring 07412 638159 before noon.", [("phone", "07412 638159")]),
+        ("Ship the disk to Flat 3, 12 Elmford Road, Oakley SW1A 2BB.", [("address", "Flat 3, 12 Elmford Road, Oakley SW1A 2BB")]),
+    ],
+)
+def test_ordinary_prefixes(text, expected, trained):
+    assert mentions(text, trained) == expected
+
+
+def test_no_feature_knows_fictional_prefixes():
+    for kind, a, b in (("phone", "(202) 555-0123", "(202) 347-0123"), ("idno", "666-12-3456", "523-12-3456"), ("idno", "QQ 12 34 56 C", "AB 12 34 56 C")):
+        assert personal.features(a, (0, len(a), kind)) == personal.features(b, (0, len(b), kind))
+
+
 # Given names that neither the recognizer nor its training knows.
 @pytest.mark.parametrize("given", ["Damian", "Ottilie", "Gwendolyn", "Anatole"])
 def test_unlisted_given_names(given, trained):

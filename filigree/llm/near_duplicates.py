@@ -37,7 +37,7 @@ COARSE, RING = 32, 64
 #: A word is rare in at most this share of the texts, and in at most so many. It decides only how texts meet.
 RARE_SHARE, RARE_MOST = 0.003, 256
 #: Segments for texts of up to 79 words, doubled for each doubling of the length: the fewest that a text's left-over
-#: differences allow are its own; the last number suffices for a text without rare words.
+#: differences allow are its own; the last number suffices for a text without rare words down to a similarity of 0.8.
 LEVELS = (4, 6, 8, 11, 17)
 #: From this level on segments are so short that texts meet by chance, and carry their coarse ring as well.
 RINGED = 3
@@ -69,6 +69,14 @@ def tokens(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(hashes + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), hashes
 
 
+def levels(similarity: float = SIMILARITY) -> tuple[int, ...]:
+    """LEVELS, carried on to the segments that a text without rare words needs at a lower similarity."""
+    last, out = int(np.floor((1 - similarity) * 2 * MIN_WORDS + 1e-9)) + 1, list(LEVELS)
+    while out[-1] < last:
+        out.append(min(last, out[-1] * 3 // 2))
+    return tuple(out)
+
+
 def misses(n: int, similarity: float = SIMILARITY) -> int:
     """Tokens of a text of n words that any partner of the similarity may lack."""
     return n - int(np.ceil(similarity * n - 1e-9))
@@ -105,7 +113,7 @@ def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limi
     most = np.maximum(0, np.floor(np.log2(np.maximum(counts / similarity + 1, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
     for span in range(int(most.max(initial=-1)) + 1):
         here = (left >= 0) & (length <= span) & (span <= most)
-        sizes = np.array(LEVELS) << span
+        sizes = np.array(levels(similarity)) << span
         own = np.searchsorted(sizes, left + 1)
         for level, m in enumerate(sizes.tolist()):
             texts = np.flatnonzero(here & (own == level if asking else own <= level))

@@ -47,6 +47,35 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 20
 
 
+def test_levels_cover_any_similarity():
+    assert nd.levels() == nd.levels(0.9) == nd.LEVELS
+    for similarity in (0.8, 0.75, 0.7, 0.55):
+        for n in range(40, 640):
+            assert nd.misses(n, similarity) + 1 <= nd.levels(similarity)[-1] << max(0, (n // 40).bit_length() - 1)
+
+
+def test_short_and_long_text_without_rare_words_meet_at_low_similarity():
+    long = np.random.default_rng(1).integers(1, 1 << 62, 78)
+    flat = np.concatenate([np.sort(long), np.sort(long[:55])])
+    who, key, _ = nd.signatures(flat, np.array([78, 55]), np.zeros(nd.SKETCH, np.int64), -1, 0.7)
+    assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
+
+
+def test_low_similarity_equals_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(40):
+        first = rng.choices(vocabulary, k=79)
+        second = list(first)
+        for k in rng.sample(range(79), rng.randrange(17, 24)):
+            second[k] = rng.choice(vocabulary)
+        texts += [" ".join(first), " ".join(second)]
+    df = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "id long, source string, text string")
+    expected = {(i, j) for i, t in enumerate(texts) for j, u in enumerate(texts) if i < j and similarity(t, u) >= 0.7}
+    assert {tuple(r) for r in nd.pairs_across(df, "id", "text", "source", similarity=0.7).collect()} == expected and len(expected) > 20
+
+
 def test_groups(spark):
     texts = corpus(3)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

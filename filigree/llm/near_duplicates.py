@@ -4,52 +4,64 @@ similarity(x, y) = words shared, with multiplicity / words of the longer text; a
 texts then differ in a bounded Hamming distance. Texts with equal multisets are one class and compared once.
 
 1. Candidates by the pigeonhole over boxes. A text's rare tokens are boxes of their own: with more of them than a
-   partner may lack, one is shared. If a text has fewer and none is shared, the rare ones have used up most of the
-   allowed differences, and the common tokens of both differ in few: divided into as many hashed segments as differences
-   are left on the larger side, one segment at least is equal in both but for one token. Texts meet by their rare
-   tokens and by their segments, whole and with each token left out.
-2. The pigeonring: over a ring of hashed segments, some chain of consecutive segments must keep its differences
-   within the proportional budget at each of its prefixes. Chains grow to the full ring; pairs without a viable start
-   drop out. Texts that meet by a rare token carry a coarse ring, held against the whole budget inside the join.
+   partner may lack, one is shared. If a text has fewer and none is shared, the rare ones have used up part of the
+   allowed differences, and the common tokens of both differ in no more than what both have left. Divided into hashed
+   segments, one more of them than that, the common tokens are equal in one segment at least; the text with more left
+   asks for as many of its segments, those that the fewest texts hold by measure, the other one stores all of its own.
+2. The pigeonring. Each text carries a ring of one-bit segments, the parity of its tokens in each; the chain around the
+   whole ring must stay within the budget of differences, inside the join. Pairs that do are held against a finer ring
+   of counted segments: from some start every chain of consecutive segments must keep its differences within the
+   proportional share of the budget.
 3. The full Hamming check on the tokens of the rest.
 
-No step loses a pair: segment counts bound the distance from below, whatever the hash.
+No step loses a pair: parities and counts bound the distance from below, whatever the hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.session import checkpoint, shared_path
 
 SIMILARITY, MIN_WORDS = 0.8, 40
-#: Counters of the word frequency sketch, a fixed size that does not grow with the corpus.
-SKETCH = 1 << 20
-#: Classes with several texts are excluded from the single ones by broadcast up to so many, beyond that by a shuffle.
+#: Counters of the word frequency sketch and of the segment sketch, fixed sizes that do not grow with the corpus.
+SKETCH, SEGMENTS = 1 << 20, 1 << 22
+#: Classes with several texts, and texts with candidates, are told from the rest by broadcast up to so many, beyond
+#: that by a shuffle.
 BROADCAST_CLASSES = 100_000
-#: Segments of the ring that travels with the tokens, four bits each, and of the finer one of the chain filter.
-COARSE, RING = 32, 64
+#: One-bit segments of the ring that travels with the tokens, and counted segments of the ring of the chain filter.
+PARITY, RING = 128, 64
 #: A word is rare in at most this share of the texts, and in at most so many. It decides only how texts meet.
-RARE_SHARE, RARE_MOST = 0.003, 256
-#: Segments for texts of up to 79 words, doubled for each doubling of the length: the fewest that a text's left-over
-#: differences allow are its own; the last number suffices for a text without rare words down to a similarity of 0.8.
-LEVELS = (4, 6, 8, 11, 17)
-#: From this level on segments are so short that texts meet by chance, and carry their coarse ring as well.
-RINGED = 3
-#: Bits of the filter by which a text leaves out segments that no other text can meet; a fixed size. As it fills with
-#: the corpus it leaves out less, never too much.
-ASKED_BITS = 1 << 25
-_BUCKET = 1 << 15
-
-
-def words(text: Column) -> Column:
-    """Lower-cased maximal runs of letters or digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+RARE_SHARE, RARE_MOST = 0.003, 2_048
+#: A segment held by more texts than this is split: askers are spread over as many parts, and the holders repeated.
+HOT = 4_096
+#: Texts signed at once by a task, and pairs checked at once.
+_TEXTS, _PAIRS = 1_024, 2_048
+#: Words whose hash a task remembers at once.
+_REMEMBERED = 1 << 20
+#: Parts in which the nodes of one component meet its label.
+_SALTS = 16
+ASKS, STORED, RARE = 1, 2, 4
+_WORD = re.compile(r"[^\W_]+")
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,22 +71,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokens(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the (word, occurrence) tokens of one text, from its sorted word hashes, and the word hash of each."""
-    hashes = hashes.astype(np.uint64)
-    n = len(hashes)
-    new = np.ones(n, bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    nth = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    return _mix(hashes + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), hashes
+def _first(flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where in sorted word hashes of one text after another a new word begins."""
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+    return new
 
 
-def levels(similarity: float = SIMILARITY) -> tuple[int, ...]:
-    """LEVELS, carried on to the segments that a text without rare words needs at a lower similarity."""
-    last, out = int(np.floor((1 - similarity) * 2 * MIN_WORDS + 1e-9)) + 1, list(LEVELS)
-    while out[-1] < last:
-        out.append(min(last, out[-1] * 3 // 2))
-    return tuple(out)
+def tokens(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the (word, occurrence) tokens of texts, from their sorted word hashes one after another, and the text of each."""
+    flat, doc, place = flat.astype(np.uint64), np.repeat(np.arange(len(counts)), counts), np.arange(len(flat))
+    nth = place - np.maximum.accumulate(np.where(_first(flat, doc), place, 0)) if len(flat) else place
+    return _mix(flat + nth.astype(np.uint64) * _GOLDEN), doc
 
 
 def misses(n: int, similarity: float = SIMILARITY) -> int:
@@ -82,103 +90,99 @@ def misses(n: int, similarity: float = SIMILARITY) -> int:
     return n - int(np.ceil(similarity * n - 1e-9))
 
 
-def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limit: float, similarity: float = SIMILARITY, asked: np.ndarray | None = None, asking: bool = False) -> tuple[np.ndarray, ...]:
-    """(text, key, kind) of a batch of texts: their sorted word hashes one after another, and words by text.
+def levels(span: int, similarity: float = SIMILARITY) -> tuple[int, ...]:
+    """Segments for texts of the span, by level. The first serves texts that may lack half of what the longest text of
+    the span may lack, the last all; each is odd."""
+    most = misses((2 * MIN_WORDS << span) - 1, similarity)
+    return tuple(sorted({most | 1, most * 7 // 5 | 1, 2 * most + 1}))
+
 
-    kind adds ASKS and STORED, the sides on which a text meets another by the key, RARE for a rare token and RING where
-    the coarse ring is to be held against the budget. Own whole segments ask for whole ones and for those without one
-    token, own lessened ones for whole ones; segments of higher levels than the own are stored only. With ``asking`` the
-    keys of what others can meet come out instead: own whole segments, and above the first level, mixed once more, own
-    lessened ones; ``asked`` is the filter made of these, and leaves out segments that meet none of them.
+def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limit: float, similarity: float = SIMILARITY, held: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, key, kind, texts that hold the key by measure) of a batch of texts: sorted word hashes, and words by text.
+
+    kind adds ASKS and STORED, the sides on which a text meets another by the key, and RARE for a rare token. A text has
+    the segments of its own level, and as a guest those of higher levels at which a partner may have its own. Without
+    ``held``, the measured number of texts by segment counter, only the segments of own levels come out, to be counted.
     """
-    doc = np.repeat(np.arange(len(counts)), counts)
-    flat, place = flat.astype(np.uint64), np.arange(len(flat))
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-    nth = place - np.maximum.accumulate(np.where(new, place, 0)) if len(flat) else place
-    keys = _mix(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    often = frequency[(flat % np.uint64(SKETCH)).astype(np.int64)]
+    keys, doc = tokens(flat, counts)
+    often = frequency[(flat.astype(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
     rare = often <= limit
     allowed = counts - np.ceil(similarity * counts - 1e-9).astype(np.int64)
     left = allowed - np.bincount(doc[rare], minlength=len(counts))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if not asking:
+    out: list[tuple[np.ndarray, ...]] = []
+    if held is not None:
+        # The rarest first; one that no other text has meets nobody, but takes its place.
         at = np.flatnonzero(rare)
         at = at[np.lexsort((keys[at], often[at], doc[at]))]
         nth = np.arange(len(at)) - np.searchsorted(doc[at], doc[at])
-        at = at[nth <= allowed[doc[at]]]
-        out.append((doc[at], keys[at], np.full(len(at), ASKS + STORED + RARE + RING)))
+        at = at[(nth <= allowed[doc[at]]) & (often[at] > 1)]
+        out.append((doc[at], keys[at], np.full(len(at), ASKS + STORED + RARE), np.ones(len(at), np.int64)))
     mixed = _mix(keys ^ np.uint64(0x5851F42D4C957F2D))
-    length = np.maximum(0, np.floor(np.log2(np.maximum(counts, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
-    most = np.maximum(0, np.floor(np.log2(np.maximum(counts / similarity + 1, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
-    for span in range(int(most.max(initial=-1)) + 1):
-        here = (left >= 0) & (length <= span) & (span <= most)
-        sizes = np.array(levels(similarity)) << span
-        own = np.searchsorted(sizes, left + 1)
+    span_of = lambda n: np.maximum(0, np.floor(np.log2(np.maximum(n, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
+    own_span, last_span = span_of(counts), span_of(counts / similarity + 1)
+    for span in range(int(last_span.max(initial=-1)) + 1):
+        sizes = np.array(levels(span, similarity))
+        own_level = np.where(own_span == span, np.searchsorted(sizes, 2 * left + 1), -1)
         for level, m in enumerate(sizes.tolist()):
-            texts = np.flatnonzero(here & (own == level if asking else own <= level))
+            mine = (own_level == level) & (left >= 0)
+            there = mine if held is None else (left >= 0) & (own_span <= span) & (span <= last_span) & (own_level <= level)
+            texts = np.flatnonzero(there)
             if not len(texts):
                 continue
             number = np.full(len(counts), -1)
             number[texts] = np.arange(len(texts))
             at = np.flatnonzero(~rare & (number[doc] >= 0))
-            segment = number[doc[at]] * m + ((keys[at] >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(len(texts) * m, np.uint64)
-            np.add.at(sums, segment, mixed[at])
-            salt = np.uint64((span * 64 + level) * 4096)
-            whole = _mix(sums + _mix(np.tile(np.arange(m, dtype=np.uint64), len(texts)) + salt))
-            less = _mix(sums[segment] - mixed[at] + _mix((segment % m).astype(np.uint64) + salt))
-            owner, who, part = own[texts] == level, np.repeat(texts, m), number[doc[at]]
-            mine, mine_less = np.repeat(owner, m), owner[part]
-            if asking:
-                out.append((who, whole, np.zeros(len(who), np.int64)))
-                if level > 0:
-                    out.append((doc[at], _mix(less), np.zeros(len(at), np.int64)))
+            np.add.at(sums, number[doc[at]] * m + ((keys[at] >> np.uint64(20)) % np.uint64(m)).astype(np.int64), mixed[at])
+            salt = np.uint64((span * 64 + level) << 32)
+            key = _mix(sums + _mix(np.tile(np.arange(m, dtype=np.uint64), len(texts)) + salt))
+            who = np.repeat(texts, m)
+            if held is None:
+                out.append((who, key, np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)))
                 continue
-            if asked is None:
-                met, met_less = np.ones(len(who), bool), np.ones(len(at), bool)
-            else:
-                # At the first level all are own; above it an own lessened segment may meet a guest's and stays.
-                met, met_less = mine | _set(asked, whole) | _set(asked, _mix(whole)), _set(asked, less)
-                met_less = met_less | mine_less if level > 0 else met_less
-            ring_too = RING if level >= RINGED else 0
-            apart = lambda k: _mix(k ^ np.uint64(0x2545F4914F6CDD1D))
-            for which, texts_of, key, kind in (
-                (met, who, whole, STORED + ASKS * mine), (mine, who, apart(whole), np.full(len(who), ASKS)),
-                (met_less, doc[at], apart(less), np.full(len(at), STORED)), (met_less & mine_less, doc[at], less, np.full(len(at), ASKS)),
-            ):
-                out.append((texts_of[which], key[which], kind[which] + ring_too))
+            holders = held[(key % np.uint64(SEGMENTS)).astype(np.int64)].astype(np.int64)
+            order = np.argsort(holders.reshape(-1, m), axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(m)[None, :], axis=1)
+            # Shorter texts may have more left than the owners of the first level, and ask there too.
+            owner = mine[texts]
+            asks = (place <= 2 * left[texts][:, None]) & (owner | ((own_span[texts] < span) & (level == 0)))[:, None]
+            # What no owner has needs no guest.
+            keep = np.repeat(owner, m) | (holders > 0)
+            out.append((who[keep], key[keep], STORED + ASKS * asks.reshape(-1)[keep], holders[keep]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
-ASKS, STORED, RARE, RING = 1, 2, 4, 8
 
+def split(rep: np.ndarray, key: np.ndarray, kind: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, kind) with keys of more than HOT holders split: an asker has one part, by its id, a holder all parts."""
+    parts = np.maximum(1, -(-holders // HOT))
+    if parts.max(initial=1) == 1:
+        return np.arange(len(key)), key, kind
+    hot = np.flatnonzero(parts > 1)
+    part_key = lambda k, part: _mix(k + _mix(part.astype(np.uint64) + np.uint64(1)))
+    asks = hot[(kind[hot] & ASKS) > 0]
+    stored = np.repeat(hot, parts[hot])
+    part = np.arange(len(stored)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
+    cold = np.flatnonzero(parts == 1)
+    rows = np.concatenate([cold, asks, stored])
+    keys = np.concatenate([key[cold], part_key(key[asks], _mix(rep[asks].astype(np.int64).view(np.uint64)) % parts[asks].astype(np.uint64)), part_key(key[stored], part)])
+    return rows, keys, np.concatenate([kind[cold], np.full(len(asks), ASKS), np.full(len(stored), STORED)])
 
-def _set(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    bit = (key % np.uint64(ASKED_BITS)).astype(np.int64)
-    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
+def _by_ring(keys: np.ndarray, doc: np.ndarray, texts: int, segments: int) -> np.ndarray:
+    return np.bincount(doc * segments + ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64), minlength=texts * segments).reshape(texts, segments)
 
-def ring(keys: np.ndarray, segments: int = RING, most: int = 255) -> np.ndarray:
-    """Tokens in each segment of the ring, counted up to ``most``."""
-    return np.minimum(np.bincount(((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64), minlength=segments), most).astype(np.uint8)
 
+def ring(keys: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """Tokens in each segment of the ring of each text, counted up to 255."""
+    return np.minimum(_by_ring(keys, doc, texts, RING), 255).astype(np.uint8)
 
-def _coarse(keys: np.ndarray) -> tuple[int, int]:
-    """The coarse ring in two longs."""
-    nibbles = ring(keys, COARSE, 15)
-    return tuple((nibbles[0::2] | (nibbles[1::2] << 4)).view(np.int64).tolist())
 
-
-def _apart(a: str, b: str) -> Column:
-    """The sum of differences of the sixteen four-bit counts of two longs."""
-    part = lambda c, i: F.shiftrightunsigned(F.col(c), 4 * i).bitwiseAND(F.lit(15).cast("long"))
-    total = F.abs(part(a, 0) - part(b, 0))
-    for i in range(1, 16):
-        total = total + F.abs(part(a, i) - part(b, i))
-    return total
+def parities(keys: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """The parity of the tokens in each one-bit segment, in two longs a text."""
+    return np.packbits((_by_ring(keys, doc, texts, PARITY) & 1).astype(np.uint8), axis=1).view(np.int64).reshape(texts, PARITY // 64)
 
 
 def chain_filter(a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -186,10 +190,11 @@ def chain_filter(a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray
 
     a and b have a row per pair. Differences of capped counts bound the true ones from below, so no true pair is lost.
     """
-    keep = np.arange(len(a))
     gaps = np.abs(a.astype(np.int32) - b.astype(np.int32))
-    turned = np.concatenate([np.zeros((len(a), 1), np.int64), np.cumsum(np.concatenate([gaps, gaps], 1), axis=1)], 1)
-    viable = np.ones((len(a), RING), bool)
+    keep = np.flatnonzero(gaps.sum(axis=1) <= budget)
+    gaps, budget = gaps[keep], budget[keep]
+    turned = np.concatenate([np.zeros((len(keep), 1), np.int64), np.cumsum(np.concatenate([gaps, gaps], 1), axis=1)], 1)
+    viable = np.ones((len(keep), RING), bool)
     starts = np.arange(RING)
     for length in range(1, RING + 1):
         viable &= (turned[:, starts + length] - turned[:, starts]) * RING <= length * budget[:, None]
@@ -201,27 +206,62 @@ def chain_filter(a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray
     return out
 
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:])]
+def shared_words(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Words shared by pairs of texts, given as sorted word hashes one after another; 0 where the ring rules the pair out."""
+    (ka, da), (kb, db) = tokens(a, na), tokens(b, nb)
+    budget = na + nb - 2 * np.ceil(similarity * np.maximum(na, nb) - 1e-9).astype(np.int64)
+    viable = chain_filter(ring(ka, da, len(na)), ring(kb, db, len(nb)), budget)
+    keys, pair = np.concatenate([ka[viable[da]], kb[viable[db]]]), np.concatenate([da[viable[da]], db[viable[db]]])
+    order = np.lexsort((keys, pair))
+    keys, pair = keys[order], pair[order]
+    same = (keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])
+    return np.bincount(pair[1:][same], minlength=len(na))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The flat values of a list column without nulls, and the length of each list."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
 
 
-def _frequencies(texts: DataFrame) -> np.ndarray:
-    """How many texts hold the words of each counter of the sketch; counted in each task over a fixed-size array."""
+def _counted(texts: DataFrame, size: int, counters) -> tuple[np.ndarray, int]:
+    """How many of what ``counters`` gives for batches of texts falls on each of ``size`` counters, and the number of texts.
+
+    Counted in each task over a fixed-size array; at most ``size`` rows come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts, rows = np.zeros(size, np.int32), 0
         for batch in batches:
-            for row in _rows(batch.column(0)):
-                np.add.at(counts, np.unique(row.astype(np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
+            rows += batch.num_rows
+            for at in range(0, batch.num_rows, _TEXTS):
+                np.add.at(counts, counters(*_lists(batch.slice(at, _TEXTS).column(0))), 1)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], rows).astype(np.int64))], ["counter", "n"])
 
-    summed = texts.select("hashes").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    out = np.zeros(SKETCH, np.int32)
-    table = summed.toArrow()  # at most SKETCH rows
+    table = texts.select("hashes").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int32)
     out[table["counter"].to_numpy()] = np.minimum(table["n"].to_numpy(), 2**31 - 1)
-    return out
+    return out[:size], int(out[size])
+
+
+def words(df: DataFrame) -> DataFrame:
+    """df(id, ..., text) with the sorted hashes of the text's words and two digests of them instead of the text.
+
+    A word is a maximal run of letters or digits, lower-cased.
+    """
+    kept = [c for c in df.columns if c != "text"]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            rows = [np.sort(np.fromiter(map(known.__getitem__, _WORD.findall(t.lower())), np.uint64)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            digests = np.frombuffer(b"".join(hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows), np.int64).reshape(-1, 2)
+            offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            hashes = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), hashes, *(pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1))], [*kept, "hashes", "h1", "h2"])
+
+    return df.filter(F.col("text").isNotNull()).mapInArrow(run, f"{schema}, hashes array<long>, h1 long, h2 long")
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, keep: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -232,9 +272,8 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     texts and null ids belong to no class. The words are hashed once and written to the shared folder.
     """
     keep = keep or {}
-    hashed = F.array_sort(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(name) for name, c in keep.items()), F.col(text_col).cast("string").alias("text")).withColumn("hashes", hashed)
-    rows = rows.filter((F.size("hashes") >= max(min_words, 1)) & F.col("id").isNotNull()).select("id", *keep, "hashes", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(name) for name, c in keep.items()), F.col(text_col).cast("string").alias("text"))
+    rows = words(rows.filter(F.col("id").isNotNull())).filter(F.size("hashes") >= max(min_words, 1))
     path = shared_path(df.sparkSession, "words")
     rows.write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.parquet(path)
@@ -257,95 +296,77 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     return reps, members
 
 
-def _asked(reps: DataFrame, frequency, limit: float, similarity: float) -> np.ndarray:
-    """The filter of segments that can be met: a bitmap of fixed size, joined by or."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(ASKED_BITS >> 3, np.uint8)
-        for batch in batches:
-            column = batch.column(0)
-            flat, counts = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
-            _, key, _ = signatures(flat, counts, frequency.value, limit, similarity, asking=True)
-            bit = np.unique((key % np.uint64(ASKED_BITS)).astype(np.int64))
-            np.bitwise_or.at(bits, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
-        parts = bits.reshape(-1, _BUCKET >> 3)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["bucket", "bits"])
-
-    merged = reps.select("hashes").mapInArrow(run, "bucket int, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    out = np.zeros((ASKED_BITS // _BUCKET, _BUCKET >> 3), np.uint8)
-    for r in merged.collect():  # at most ASKED_BITS
-        out[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.reshape(-1)
-
-
 def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) with a < b: every pair of class representatives of at least this similarity."""
     spark = reps.sparkSession
-    limit = min(max(RARE_SHARE * reps.count(), 4), RARE_MOST)
-    frequency = spark.sparkContext.broadcast(_frequencies(reps))
-    asked = spark.sparkContext.broadcast(_asked(reps, frequency, limit, similarity))
+
+    def by_word(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        flat = flat.astype(np.uint64)
+        return (flat[_first(flat, np.repeat(np.arange(len(counts)), counts))] % np.uint64(SKETCH)).astype(np.int64)
+
+    often, n = _counted(reps, SKETCH, by_word)
+    limit = min(max(RARE_SHARE * n, 4), RARE_MOST)
+    frequency = spark.sparkContext.broadcast(often)
+
+    def by_segment(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (signatures(flat, counts, frequency.value, limit, similarity)[1] % np.uint64(SEGMENTS)).astype(np.int64)
+
+    held = spark.sparkContext.broadcast(_counted(reps, SEGMENTS, by_segment)[0])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows = _rows(batch.column(1))
-                counts = np.fromiter(map(len, rows), np.int64, len(rows))
-                flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-                who, key, kind = signatures(flat, counts, frequency.value, limit, similarity, asked.value)
-                rings = np.array([_coarse(tokens(r)[0]) for r in rows], np.int64).reshape(-1, 2)
-                pair = [np.where(kind >= RING, rings[who, i], 0) for i in (0, 1)]
-                columns = [batch.column(0).take(pa.array(who)), pa.array(key.view(np.int64)), pa.array((counts[who] * 16 + kind).astype(np.int32)), *map(pa.array, pair)]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "sign", "info", "r", "s"])
+            for at in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(at, _TEXTS)
+                rep, (flat, counts) = batch.column(0).to_numpy(), _lists(batch.column(1))
+                who, key, kind, holders = signatures(flat, counts, frequency.value, limit, similarity, held.value)
+                rows, key, kind = split(rep[who], key, kind, holders)
+                who, parity = who[rows], parities(*tokens(flat, counts), len(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[who]), pa.array(key.view(np.int64)), pa.array((counts[who] * 8 + kind).astype(np.int32)), *(pa.array(parity[who, i]) for i in (0, 1))], ["rep", "sign", "info", "r", "s"])
 
     signed = reps.select("rep", "hashes").mapInArrow(sign, "rep long, sign long, info int, r long, s long")
     # Both sides read the one shuffle by signature.
     side = lambda role: signed.filter(F.col("info").bitwiseAND(F.lit(role)) > 0)
-    n = lambda t: F.shiftright(F.col(f"{t}.info"), 4)
-    has = lambda bit: F.col("x.info").bitwiseAND(F.lit(bit)) > 0
+    n_of = lambda t: F.shiftright(F.col(f"{t}.info"), 3)
     x, y = side(ASKS).alias("x"), side(STORED).alias("y")
-    longer, shorter = F.greatest(n("x"), n("y")), F.least(n("x"), n("y"))
+    longer, shorter = F.greatest(n_of("x"), n_of("y")), F.least(n_of("x"), n_of("y"))
     # Of the longer text at least ceil(similarity * n) words are shared, which leaves this many differences.
     least = F.ceil(longer * F.lit(similarity) - 1e-9)
-    budget = longer + shorter - 2 * least
-    first = _apart("x.r", "y.r")
-    ring_fits = (first <= budget) & (first + _apart("x.s", "y.s") <= budget)
+    apart = F.bit_count(F.col("x.r").bitwiseXOR(F.col("y.r"))) + F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s")))
     # A pair meets by a rare token from both sides; one is enough.
-    once = (F.col("x.rep") < F.col("y.rep")) | (~has(RARE) & (F.col("x.rep") != F.col("y.rep")))
-    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & once & (shorter >= least) & (~has(RING) | ring_fits))
-    met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    once = (F.col("x.rep") < F.col("y.rep")) | ((F.col("x.info").bitwiseAND(F.lit(RARE)) == 0) & (F.col("x.rep") != F.col("y.rep")))
+    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & once & (apart <= longer + shorter - 2 * least))
+    met = checkpoint(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(tokens(x)[0], tokens(y)[0]) for x, y in zip(_rows(batch.column("ha")), _rows(batch.column("hb")))]
-            n, m = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
-            longer = np.maximum(n, m)
-            budget = n + m - 2 * np.ceil(similarity * longer - 1e-9).astype(np.int64)
-            ra, rb = (np.array([ring(p[i]) for p in pairs], np.uint8).reshape(-1, RING) for i in (0, 1))
-            score = np.zeros(len(pairs))
-            for i in np.flatnonzero(chain_filter(ra, rb, budget)):
-                score[i] = len(np.intersect1d(*pairs[i], assume_unique=True)) / longer[i]
-            keep = pa.array(score >= similarity - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(score).filter(keep)], ["a", "b", "similarity"])
-
-    full = met.join(reps.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(reps.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-    checked = full.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, similarity double")
-    return checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+        for whole in batches:
+            for at in range(0, whole.num_rows, _PAIRS):
+                batch = whole.slice(at, _PAIRS)
+                (a, na), (b, nb) = (_lists(batch.column(batch.schema.get_field_index(c))) for c in ("ha", "hb"))
+                score = shared_words(a, na, b, nb, similarity) / np.maximum(na, nb)
+                keep = pa.array(score >= similarity - 1e-9)
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).filter(keep) for c in ("a", "b")), pa.array(score).filter(keep)], ["a", "b", "similarity"])
+
+    # Only texts with candidates take part in the check.
+    ids = checkpoint(met.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    needed = reps.join(F.broadcast(ids) if ids.count() <= BROADCAST_CLASSES else ids, "rep", "left_semi")
+    full = met.join(needed.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(needed.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
+    return full.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long, similarity double")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) with the smallest node of each connected component, for nodes(node) and links(a, b).
 
     Minimum labels spread over the links and jump along labels, so that rounds grow with the logarithm of a path's
-    length; every round is written to the shared folder.
+    length; every round is written to the shared folder. A label that many nodes carry is met in _SALTS parts.
     """
     both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     while True:
         offered = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        hooked = labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("hook"), F.col("component").alias("old"))
-        jumped = hooked.alias("h").join(hooked.select(F.col("node").alias("over"), F.col("hook").alias("next")).alias("j"), F.col("h.hook") == F.col("over"), "left")
+        hooked = checkpoint(labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("hook"), F.col("component").alias("old")))
+        # Where a label leads, looked up once a label and met by its nodes in parts.
+        leads = hooked.select("hook").distinct().join(hooked.select(F.col("node").alias("hook"), F.col("hook").alias("next")), "hook").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        jumped = hooked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(leads, ["hook", "salt"], "left")
         new = checkpoint(jumped.select("node", F.least("hook", F.coalesce("next", "hook")).alias("component"), "old"))
         changed = new.filter("component != old").limit(1).count()
         labels = new.drop("old")
@@ -370,12 +391,15 @@ def groups(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILA
 def pairs_across(df: DataFrame, id_col: str, text_col: str, source_col: str, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(id_a, id_b) with a < b: all similar texts of different sources, copies included, as the pairs are asked for.
 
-    A null source differs from every other source but not from itself.
+    A null source differs from every other source but not from itself. Classes meet by source first and members only by
+    sources that differ, so that every row of the last joins is a pair asked for; copies in one source alone meet nobody.
     """
     reps, members = classes(df, id_col, text_col, min_words, {"source": source_col})
     pairs = similar_pairs(reps, similarity).select("a", "b")
-    # A class pairs with itself where several sources hold it.
-    several = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("x"), F.col("source").alias("sx")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"), F.col("source").alias("sy"))
-    met = pairs.unionByName(several).join(left, "a").join(right, "b").filter(~F.col("sx").eqNullSafe(F.col("sy")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    held = members.select("rep", "source").distinct()
+    several = held.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    side = lambda rows, rep, source, *more: rows.select(F.col("rep").alias(rep), F.col("source").alias(source), *more)
+    met = pairs.unionByName(several).join(side(held, "a", "sx"), "a").join(side(held, "b", "sy"), "b").filter(~F.col("sx").eqNullSafe(F.col("sy")))
+    left, right = side(members, "ra", "s1", F.col("id").alias("x")), side(members, "rb", "s2", F.col("id").alias("y"))
+    met = met.join(left, (F.col("a") == F.col("ra")) & F.col("sx").eqNullSafe(F.col("s1"))).join(right, (F.col("b") == F.col("rb")) & F.col("sy").eqNullSafe(F.col("s2")))
+    return met.filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -48,17 +48,30 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
 
 
 def test_levels_cover_any_similarity():
-    assert nd.levels() == nd.levels(0.9) == nd.LEVELS
-    for similarity in (0.8, 0.75, 0.7, 0.55):
+    assert nd.levels(0) == (15, 21, 31) and nd.levels(1) == (31, 43, 63)
+    for similarity in (0.9, 0.8, 0.75, 0.7, 0.55):
         for n in range(40, 640):
-            assert nd.misses(n, similarity) + 1 <= nd.levels(similarity)[-1] << max(0, (n // 40).bit_length() - 1)
+            span = (n // 40).bit_length() - 1
+            assert 2 * nd.misses(n, similarity) + 1 <= nd.levels(span, similarity)[-1]
+            # What a shorter text asks for as a guest fits into the first level of the next span.
+            assert 2 * nd.misses(n, similarity) + 1 <= nd.levels(span + 1, similarity)[0]
+
+
+def meet(first, second, frequency, limit, similarity=0.8):
+    both = [(np.sort(x), np.array([len(x)])) for x in (first, second)]
+    held = np.zeros(nd.SEGMENTS, np.int32)
+    for flat, n in both:
+        np.add.at(held, (nd.signatures(flat, n, frequency, limit, similarity)[1] % np.uint64(nd.SEGMENTS)).astype(np.int64), 1)
+    found = [{}, {}]
+    for (flat, n), kinds in zip(both, found):
+        for key, kind in zip(*(x.tolist() for x in nd.signatures(flat, n, frequency, limit, similarity, held)[1:3])):
+            kinds[key] = kinds.get(key, 0) | kind
+    return any((a & nd.ASKS and b & nd.STORED) or (b & nd.ASKS and a & nd.STORED) for a, b in ((found[0][k], found[1][k]) for k in found[0].keys() & found[1].keys()))
 
 
 def test_short_and_long_text_without_rare_words_meet_at_low_similarity():
     long = np.random.default_rng(1).integers(1, 1 << 62, 78)
-    flat = np.concatenate([np.sort(long), np.sort(long[:55])])
-    who, key, _ = nd.signatures(flat, np.array([78, 55]), np.zeros(nd.SKETCH, np.int64), -1, 0.7)
-    assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
+    assert meet(long, long[:55], np.zeros(nd.SKETCH, np.int64), -1, 0.7)
 
 
 def test_low_similarity_equals_brute_force(spark):
@@ -100,39 +113,50 @@ def test_groups(spark):
         assert got[i].links == len({key(j) for j in long if key(j) != key(i) and similarity(texts[i], texts[j]) >= 0.8})
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 60), min_size=20, max_size=130), st.lists(st.integers(0, 60), max_size=20), st.integers(0, 20), st.integers(-1, 6))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=20, max_size=180), st.lists(st.integers(0, 60), max_size=30), st.integers(0, 30), st.integers(-1, 6))
 def test_filters_lose_no_pair(words, added, dropped, limit):
-    other = sorted(words[dropped:] + added)
-    hashes = lambda w: np.sort(nd._mix(np.array(w, np.uint64) + np.uint64(1)))
-    x, y = nd.tokens(hashes(sorted(words)))[0], nd.tokens(hashes(other))[0]
-    shared, longer = len(np.intersect1d(x, y)), max(len(x), len(y))
+    other = words[dropped:] + added
+    x, y = (np.sort(nd._mix(np.array(w, np.uint64) + np.uint64(1))) for w in (words, other))
+    n, m = (np.array([len(h)]) for h in (x, y))
+    shared, longer = sum((Counter(words) & Counter(other)).values()), max(len(x), len(y))
     if not len(y) or shared < np.ceil(0.8 * longer - 1e-9):
         return
-    budget = np.array([len(x) + len(y) - 2 * int(np.ceil(0.8 * longer - 1e-9))])
-    assert nd.chain_filter(nd.ring(x)[None], nd.ring(y)[None], budget)[0]
-    # In one text's batch and the other's some signatures meet, whatever counts as rare.
-    frequency = np.arange(nd.SKETCH) % 7
-    both = [(hashes(sorted(w)), np.array([len(w)])) for w in (words, other)]
-    bits = np.zeros(nd.ASKED_BITS >> 3, np.uint8)
-    for flat, n in both:
-        _, key, _ = nd.signatures(flat, n, frequency, limit, asking=True)
-        bit = (key % np.uint64(nd.ASKED_BITS)).astype(np.int64)
-        np.bitwise_or.at(bits, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
-    sides = [nd.signatures(flat, n, frequency, limit, asked=bits) for flat, n in both]
-    kinds = [{} for _ in sides]
-    for found, (_, key, kind) in zip(kinds, sides):
-        for a, b in zip(key.tolist(), kind.tolist()):
-            found.setdefault(a, set()).add(b)
-    meets = lambda a, b: (a & nd.ASKS and b & nd.STORED) or (b & nd.ASKS and a & nd.STORED)
-    assert any(meets(a, b) for k in kinds[0].keys() & kinds[1].keys() for a in kinds[0][k] for b in kinds[1][k])
+    # Neither ring rules the pair out, and the words are counted.
+    budget = len(x) + len(y) - 2 * int(np.ceil(0.8 * longer - 1e-9))
+    a, b = (nd.parities(*nd.tokens(h, k), 1) for h, k in ((x, n), (y, m)))
+    assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in (a ^ b).ravel()) <= budget
+    assert nd.shared_words(x, n, y, m).tolist() == [shared]
+    # The texts meet by some signature, whatever counts as rare.
+    frequency = np.arange(nd.SKETCH) % 7 + 2
+    assert meet(x, y, frequency, limit + 2)
+
+
+def test_hot_segments_are_split():
+    rep, key = np.arange(9), np.full(9, 5, np.uint64)
+    kind = np.array([nd.ASKS | nd.STORED] * 4 + [nd.STORED] * 5)
+    rows, keys, kinds = nd.split(rep, key, kind, np.full(9, 3 * nd.HOT))
+    assert len(set(keys.tolist())) == 3 and (kinds == nd.ASKS).sum() == 4 and (kinds == nd.STORED).sum() == 27
+    for asker in rows[kinds == nd.ASKS]:
+        mine = keys[(rows == asker) & (kinds == nd.ASKS)][0]
+        assert set(rows[(keys == mine) & (kinds == nd.STORED)]) == set(range(9))
+    assert nd.split(rep, key, kind, np.full(9, 4))[1].tolist() == key.tolist()
+
+
+def test_copies_in_one_source_meet_nobody(spark):
+    text = " ".join(f"word{i}" for i in range(50))
+    df = spark.range(10_000).selectExpr("id", "'s' AS source", f"'{text}' AS text")
+    assert nd.pairs_across(df, "id", "text", "source").count() == 0
+    one = spark.createDataFrame([(-1, "t", text)], "id long, source string, text string")
+    assert nd.pairs_across(df.unionByName(one), "id", "text", "source").filter("id_a = -1").count() == 10_000
 
 
 def test_chain_filter_prunes():
-    a, b = np.zeros((2, nd.RING), np.uint8), np.zeros((2, nd.RING), np.uint8)
+    a, b = np.zeros((3, nd.RING), np.uint8), np.zeros((3, nd.RING), np.uint8)
     b[0, :] = 1
     b[1, 5] = 9
-    assert nd.chain_filter(a, b, np.array([nd.RING - 1, 9])).tolist() == [False, True]
+    b[2, 7:30] = 1
+    assert nd.chain_filter(a, b, np.array([nd.RING - 1, 9, 23])).tolist() == [False, True, True]
 
 
 def test_components(spark):

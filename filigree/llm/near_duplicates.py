@@ -9,7 +9,7 @@ texts then differ in a bounded Hamming distance. Texts with equal multisets are
    segments, one more of them than that, the common tokens are equal in one segment at least; the text with more left
    asks for as many of its segments, those that the fewest texts hold by measure, the other one stores all of its own.
 2. The pigeonring. Each text carries a ring of one-bit segments, the parity of its tokens in each; the chain around the
-   whole ring must stay within the budget of differences, inside the join. Pairs that do are held against a finer ring
+   whole ring must stay within the budget of differences where they meet. Pairs that do are held against a finer ring
    of counted segments: from some start every chain of consecutive segments must keep its differences within the
    proportional share of the budget.
 3. The full Hamming check on the tokens of the rest.
@@ -32,19 +32,21 @@ from pyspark.sql import functions as F
 from filigree.session import checkpoint, shared_path
 
 SIMILARITY, MIN_WORDS = 0.8, 40
-#: Counters of the word frequency sketch and of the segment sketch, fixed sizes that do not grow with the corpus.
-SKETCH, SEGMENTS = 1 << 20, 1 << 22
+#: Counters of the word frequency sketch and of the segment sketch, and words of 64 bits of the filter that tells
+#: segments some text has at its own level; fixed sizes that do not grow with the corpus. As they fill they choose
+#: segments less well and leave out fewer, never too many.
+SKETCH, SEGMENTS, FILTER = 1 << 20, 1 << 22, 1 << 20
 #: Classes with several texts, and texts with candidates, are told from the rest by broadcast up to so many, beyond
 #: that by a shuffle.
 BROADCAST_CLASSES = 100_000
 #: One-bit segments of the ring that travels with the tokens, and counted segments of the ring of the chain filter.
-PARITY, RING = 128, 64
+PARITY, RING = 192, 64
 #: A word is rare in at most this share of the texts, and in at most so many. It decides only how texts meet.
 RARE_SHARE, RARE_MOST = 0.003, 2_048
 #: A segment held by more texts than this is split: askers are spread over as many parts, and the holders repeated.
 HOT = 4_096
-#: Texts signed at once by a task, and pairs checked at once.
-_TEXTS, _PAIRS = 1_024, 2_048
+#: Texts signed at once by a task, pairs checked at once, and meetings looked at once.
+_TEXTS, _PAIRS, _MEETINGS = 1_024, 2_048, 1 << 20
 #: Words whose hash a task remembers at once.
 _REMEMBERED = 1 << 20
 #: Parts in which the nodes of one component meet its label.
@@ -97,12 +99,13 @@ def levels(span: int, similarity: float = SIMILARITY) -> tuple[int, ...]:
     return tuple(sorted({most | 1, most * 7 // 5 | 1, 2 * most + 1}))
 
 
-def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limit: float, similarity: float = SIMILARITY, held: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limit: float, similarity: float = SIMILARITY, held: np.ndarray | None = None, owned: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text, key, kind, texts that hold the key by measure) of a batch of texts: sorted word hashes, and words by text.
 
     kind adds ASKS and STORED, the sides on which a text meets another by the key, and RARE for a rare token. A text has
     the segments of its own level, and as a guest those of higher levels at which a partner may have its own. Without
-    ``held``, the measured number of texts by segment counter, only the segments of own levels come out, to be counted.
+    ``held``, the measured number of texts by segment counter, only the segments of own levels come out, to be counted;
+    with ``owned``, the filter of these, a guest leaves out segments that no text has at its own level.
     """
     keys, doc = tokens(flat, counts)
     often = frequency[(flat.astype(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
@@ -147,14 +150,24 @@ def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limi
             # Shorter texts may have more left than the owners of the first level, and ask there too.
             owner = mine[texts]
             asks = (place <= 2 * left[texts][:, None]) & (owner | ((own_span[texts] < span) & (level == 0)))[:, None]
-            # What no owner has needs no guest.
-            keep = np.repeat(owner, m) | (holders > 0)
+            keep = np.repeat(owner, m) | (_in_filter(owned, key) if owned is not None else holders > 0)
             out.append((who[keep], key[keep], STORED + ASKS * asks.reshape(-1)[keep], holders[keep]))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
+def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the filter of each key, and its bit in the word."""
+    at = _mix(key ^ np.uint64(0x2545F4914F6CDD1D))
+    return ((at >> np.uint64(6)) % np.uint64(FILTER)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+
+def _in_filter(owned: np.ndarray, key: np.ndarray) -> np.ndarray:
+    word, bit = _bits(key)
+    return (owned[word] & bit) != 0
+
+
 def split(rep: np.ndarray, key: np.ndarray, kind: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, kind) with keys of more than HOT holders split: an asker has one part, by its id, a holder all parts."""
     parts = np.maximum(1, -(-holders // HOT))
@@ -223,25 +236,71 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
 
 
-def _counted(texts: DataFrame, size: int, counters) -> tuple[np.ndarray, int]:
-    """How many of what ``counters`` gives for batches of texts falls on each of ``size`` counters, and the number of texts.
+def _counted(texts: DataFrame, size: int, counters, words: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """How many of the keys that ``counters`` gives for batches of texts fall on each of ``size`` counters, a filter of
+    so many ``words`` of 64 bits that holds them, and the number of texts.
 
-    Counted in each task over a fixed-size array; at most ``size`` rows come to the driver.
+    Counted in each task over arrays of fixed size; at most ``size`` and ``words`` rows come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(size, np.int32), 0
+        counts, bits, rows = np.zeros(size, np.int32), np.zeros(words, np.uint64), 0
         for batch in batches:
             rows += batch.num_rows
             for at in range(0, batch.num_rows, _TEXTS):
-                np.add.at(counts, counters(*_lists(batch.slice(at, _TEXTS).column(0))), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], rows).astype(np.int64))], ["counter", "n"])
-
-    table = texts.select("hashes").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size + 1, np.int32)
-    out[table["counter"].to_numpy()] = np.minimum(table["n"].to_numpy(), 2**31 - 1)
-    return out[:size], int(out[size])
+                key = counters(*_lists(batch.slice(at, _TEXTS).column(0)))
+                np.add.at(counts, (key % np.uint64(size)).astype(np.int64), 1)
+                if words:
+                    np.bitwise_or.at(bits, *_bits(key))
+        at, some = np.flatnonzero(counts), np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, size + some, [-1]]).astype(np.int32)), pa.array(np.concatenate([counts[at].astype(np.int64), bits[some].view(np.int64), [rows]]))], ["counter", "n"])
+
+    each = texts.select("hashes").mapInArrow(run, "counter int, n long").groupBy("counter")
+    table = (each.agg(F.sum(F.when(F.col("counter") < size, F.col("n"))).alias("n"), F.bit_or("n").alias("bits")) if words else each.agg(F.sum("n").alias("n"))).toArrow()
+    at, n = table["counter"].to_numpy(), table["n"].fill_null(0).to_numpy()
+    out, owned = np.zeros(size, np.int32), np.zeros(words, np.uint64)
+    counted, bits = (at >= 0) & (at < size), at >= size
+    out[at[counted]] = np.minimum(n[counted], 2**31 - 1)
+    if words:
+        owned[at[bits] - size] = table["bits"].to_numpy()[bits].view(np.uint64)
+    return out, owned, int(n[at == -1].sum())
+
+
+def meetings(sign: np.ndarray, rep: np.ndarray, info: np.ndarray, parity: np.ndarray, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts that meet in signature rows ordered by sign, whole signs, and whose parities stay in the budget.
+
+    Looked at in blocks of about _MEETINGS, whatever the number of texts of a sign.
+    """
+    first = np.flatnonzero(np.append(True, sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(sign)))
+    group = np.repeat(np.arange(len(first)), size)
+    stored = np.flatnonzero((info & STORED) > 0)
+    begin = np.searchsorted(stored, first)
+    holders = np.searchsorted(stored, first + size) - begin
+    asks = np.flatnonzero(((info & ASKS) > 0) & (holders[group] > 0))
+    many = holders[group[asks]]
+    ends = np.cumsum(many)
+    n, rare, parity = info >> 3, (info & RARE) > 0, np.ascontiguousarray(parity).view(np.uint64)
+    # An asker with more holders than a block meets them in several.
+    for low in range(0, int(ends[-1]) if len(ends) else 0, _MEETINGS):
+        number = np.arange(low, min(low + _MEETINGS, int(ends[-1])))
+        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, number[-1], "right") + 1
+        inside = np.minimum(ends[i:j], number[-1] + 1) - np.maximum(ends[i:j] - many[i:j], low)
+        row = np.repeat(np.arange(i, j), inside)
+        x = asks[row]
+        y = stored[begin[group[x]] + number - (ends[row] - many[row])]
+        # A pair meets by a rare token from both sides; one is enough.
+        once = np.where(rare[x], rep[x] < rep[y], rep[x] != rep[y])
+        x, y = x[once], y[once]
+        longer, shorter = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
+        # Of the longer text at least ceil(similarity * n) words are shared, which leaves this many differences.
+        budget = longer + shorter - 2 * np.ceil(similarity * longer - 1e-9).astype(n.dtype)
+        for k in range(parity.shape[1]):
+            keep = budget >= 0
+            x, y, budget = x[keep], y[keep], budget[keep]
+            budget = budget - np.bitwise_count(parity[x, k] ^ parity[y, k])
+        x, y = x[budget >= 0], y[budget >= 0]
+        yield np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
 
 
 def words(df: DataFrame) -> DataFrame:
@@ -302,40 +361,48 @@ def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def by_word(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         flat = flat.astype(np.uint64)
-        return (flat[_first(flat, np.repeat(np.arange(len(counts)), counts))] % np.uint64(SKETCH)).astype(np.int64)
+        return flat[_first(flat, np.repeat(np.arange(len(counts)), counts))]
 
-    often, n = _counted(reps, SKETCH, by_word)
+    often, _, n = _counted(reps, SKETCH, by_word)
     limit = min(max(RARE_SHARE * n, 4), RARE_MOST)
     frequency = spark.sparkContext.broadcast(often)
-
-    def by_segment(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (signatures(flat, counts, frequency.value, limit, similarity)[1] % np.uint64(SEGMENTS)).astype(np.int64)
-
-    held = spark.sparkContext.broadcast(_counted(reps, SEGMENTS, by_segment)[0])
+    measured = _counted(reps, SEGMENTS, lambda flat, counts: signatures(flat, counts, frequency.value, limit, similarity)[1], FILTER)
+    held, owned = (spark.sparkContext.broadcast(x) for x in measured[:2])
+    parts = [f"r{i}" for i in range(PARITY // 64)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _TEXTS):
                 batch = whole.slice(at, _TEXTS)
                 rep, (flat, counts) = batch.column(0).to_numpy(), _lists(batch.column(1))
-                who, key, kind, holders = signatures(flat, counts, frequency.value, limit, similarity, held.value)
+                who, key, kind, holders = signatures(flat, counts, frequency.value, limit, similarity, held.value, owned.value)
                 rows, key, kind = split(rep[who], key, kind, holders)
                 who, parity = who[rows], parities(*tokens(flat, counts), len(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(rep[who]), pa.array(key.view(np.int64)), pa.array((counts[who] * 8 + kind).astype(np.int32)), *(pa.array(parity[who, i]) for i in (0, 1))], ["rep", "sign", "info", "r", "s"])
-
-    signed = reps.select("rep", "hashes").mapInArrow(sign, "rep long, sign long, info int, r long, s long")
-    # Both sides read the one shuffle by signature.
-    side = lambda role: signed.filter(F.col("info").bitwiseAND(F.lit(role)) > 0)
-    n_of = lambda t: F.shiftright(F.col(f"{t}.info"), 3)
-    x, y = side(ASKS).alias("x"), side(STORED).alias("y")
-    longer, shorter = F.greatest(n_of("x"), n_of("y")), F.least(n_of("x"), n_of("y"))
-    # Of the longer text at least ceil(similarity * n) words are shared, which leaves this many differences.
-    least = F.ceil(longer * F.lit(similarity) - 1e-9)
-    apart = F.bit_count(F.col("x.r").bitwiseXOR(F.col("y.r"))) + F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s")))
-    # A pair meets by a rare token from both sides; one is enough.
-    once = (F.col("x.rep") < F.col("y.rep")) | ((F.col("x.info").bitwiseAND(F.lit(RARE)) == 0) & (F.col("x.rep") != F.col("y.rep")))
-    met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & once & (apart <= longer + shorter - 2 * least))
-    met = checkpoint(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep[who]), pa.array((counts[who] * 8 + kind).astype(np.int32)), *(pa.array(parity[who, i]) for i in range(len(parts)))], ["sign", "rep", "info", *parts])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in meetings(*columns[:3], np.stack(columns[3:], axis=1), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        open_: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            # The last sign may go on in the next batch; rows before it are complete, with what is open.
+            cut = int(np.searchsorted(columns[0], columns[0][-1])) if batch.num_rows else 0
+            if cut:
+                yield from found([np.concatenate(c) for c in zip(*open_, [c[:cut] for c in columns])])
+                open_ = []
+            elif open_ and batch.num_rows and open_[-1][0][-1] != columns[0][0]:
+                yield from found([np.concatenate(c) for c in zip(*open_)])
+                open_ = []
+            if batch.num_rows:
+                open_.append([c[cut:] for c in columns])
+        if open_:
+            yield from found([np.concatenate(c) for c in zip(*open_)])
+
+    signed = reps.select("rep", "hashes").mapInArrow(sign, f"sign long, rep long, info int, {', '.join(f'{r} long' for r in parts)}")
+    met = checkpoint(signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(meet, "a long, b long").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

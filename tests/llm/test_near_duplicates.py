@@ -59,12 +59,14 @@ def test_levels_cover_any_similarity():
 
 def meet(first, second, frequency, limit, similarity=0.8):
     both = [(np.sort(x), np.array([len(x)])) for x in (first, second)]
-    held = np.zeros(nd.SEGMENTS, np.int32)
+    held, owned = np.zeros(nd.SEGMENTS, np.int32), np.zeros(nd.FILTER, np.uint64)
     for flat, n in both:
-        np.add.at(held, (nd.signatures(flat, n, frequency, limit, similarity)[1] % np.uint64(nd.SEGMENTS)).astype(np.int64), 1)
+        key = nd.signatures(flat, n, frequency, limit, similarity)[1]
+        np.add.at(held, (key % np.uint64(nd.SEGMENTS)).astype(np.int64), 1)
+        np.bitwise_or.at(owned, *nd._bits(key))
     found = [{}, {}]
     for (flat, n), kinds in zip(both, found):
-        for key, kind in zip(*(x.tolist() for x in nd.signatures(flat, n, frequency, limit, similarity, held)[1:3])):
+        for key, kind in zip(*(x.tolist() for x in nd.signatures(flat, n, frequency, limit, similarity, held, owned)[1:3])):
             kinds[key] = kinds.get(key, 0) | kind
     return any((a & nd.ASKS and b & nd.STORED) or (b & nd.ASKS and a & nd.STORED) for a, b in ((found[0][k], found[1][k]) for k in found[0].keys() & found[1].keys()))
 
@@ -132,6 +134,23 @@ def test_filters_lose_no_pair(words, added, dropped, limit):
     assert meet(x, y, frequency, limit + 2)
 
 
+def test_meetings_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(nd, "_MEETINGS", 7)
+    rng = np.random.default_rng(3)
+    sign, rep = np.sort(rng.integers(0, 12, 90)), rng.permutation(90)
+    info, parity = (rng.integers(40, 60, 90) * 8 + rng.integers(1, 8, 90)).astype(np.int32), rng.choice([-1, 1], (90, 2)) * rng.integers(0, 1 << 7, (90, 2))
+    expected = set()
+    for x in range(90):
+        for y in range(90):
+            n, m = sorted((int(info[x]) >> 3, int(info[y]) >> 3))
+            apart = sum(bin(int(v) & (2**64 - 1)).count("1") for v in parity[x] ^ parity[y])
+            if sign[x] == sign[y] and rep[x] != rep[y] and info[x] & nd.ASKS and info[y] & nd.STORED and apart <= n + m - 2 * int(np.ceil(0.8 * m - 1e-9)) and (rep[x] < rep[y] or not info[x] & nd.RARE):
+                expected.add((min(rep[x], rep[y]), max(rep[x], rep[y])))
+    got = {p for a, b in nd.meetings(sign, rep, info, parity) for p in zip(a.tolist(), b.tolist())}
+    assert got == expected and len(got) > 20
+    assert not list(nd.meetings(sign[:0], rep[:0], info[:0], parity[:0]))
+
+
 def test_hot_segments_are_split():
     rep, key = np.arange(9), np.full(9, 5, np.uint64)
     kind = np.array([nd.ASKS | nd.STORED] * 4 + [nd.STORED] * 5)

@@ -35,7 +35,7 @@ SIMILARITY, MIN_WORDS = 0.8, 40
 #: Counters of the word frequency sketch and of the segment sketch, and words of 64 bits of the filter that tells
 #: segments some text has at its own level; fixed sizes that do not grow with the corpus. As they fill they choose
 #: segments less well and leave out fewer, never too many.
-SKETCH, SEGMENTS, FILTER = 1 << 20, 1 << 22, 1 << 20
+SKETCH, SEGMENTS, FILTER = 1 << 20, 1 << 22, 1 << 19
 #: Classes with several texts, and texts with candidates, are told from the rest by broadcast up to so many, beyond
 #: that by a shuffle.
 BROADCAST_CLASSES = 100_000
@@ -73,6 +73,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def code(n: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact up to 15, beyond that in steps of an eighth of a power of two."""
+    n = np.asarray(n, np.int64)
+    return np.where(n < 16, n, 16 + np.round(8 * np.log2(np.maximum(n, 16) / 16))).astype(np.uint8)
+
+
+#: The count of each code.
+COUNT_OF = np.concatenate([np.arange(16), np.round(16 * 2.0 ** (np.arange(240) / 8))]).astype(np.int64)
+
+
 def _first(flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Where in sorted word hashes of one text after another a new word begins."""
     new = np.ones(len(flat), bool)
@@ -103,12 +113,14 @@ def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limi
     """(text, key, kind, texts that hold the key by measure) of a batch of texts: sorted word hashes, and words by text.
 
     kind adds ASKS and STORED, the sides on which a text meets another by the key, and RARE for a rare token. A text has
-    the segments of its own level, and as a guest those of higher levels at which a partner may have its own. Without
-    ``held``, the measured number of texts by segment counter, only the segments of own levels come out, to be counted;
-    with ``owned``, the filter of these, a guest leaves out segments that no text has at its own level.
+    the segments of its own level, and as a guest those of higher levels at which a partner may have its own. On the
+    first level it asks for segments that few texts hold by measure, on the others, which few texts own, for those of
+    the rarest words. Without ``held``, the measured number of texts by segment counter, come out the segments of own
+    levels, above the first those asked for, to be counted; ``owned`` is the filter of these, and leaves out guests
+    whom none of them meets. ``frequency`` and ``held`` are codes of counts.
     """
     keys, doc = tokens(flat, counts)
-    often = frequency[(flat.astype(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
+    often = COUNT_OF[frequency[(flat.astype(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]]
     rare = often <= limit
     allowed = counts - np.ceil(similarity * counts - 1e-9).astype(np.int64)
     left = allowed - np.bincount(doc[rare], minlength=len(counts))
@@ -121,6 +133,15 @@ def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limi
         at = at[(nth <= allowed[doc[at]]) & (often[at] > 1)]
         out.append((doc[at], keys[at], np.full(len(at), ASKS + STORED + RARE), np.ones(len(at), np.int64)))
     mixed = _mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+    scale = np.log(COUNT_OF[-1])
+
+    def chosen(score: np.ndarray, texts: np.ndarray, m: int) -> np.ndarray:
+        """Of the segments of each text as many as it has to ask for, of the least score."""
+        order = np.argsort(score.reshape(-1, m), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(m)[None, :], axis=1)
+        return place <= 2 * left[texts][:, None]
+
     span_of = lambda n: np.maximum(0, np.floor(np.log2(np.maximum(n, MIN_WORDS) / MIN_WORDS))).astype(np.int64)
     own_span, last_span = span_of(counts), span_of(counts / similarity + 1)
     for span in range(int(last_span.max(initial=-1)) + 1):
@@ -136,21 +157,22 @@ def signatures(flat: np.ndarray, counts: np.ndarray, frequency: np.ndarray, limi
             number[texts] = np.arange(len(texts))
             at = np.flatnonzero(~rare & (number[doc] >= 0))
             sums = np.zeros(len(texts) * m, np.uint64)
-            np.add.at(sums, number[doc[at]] * m + ((keys[at] >> np.uint64(20)) % np.uint64(m)).astype(np.int64), mixed[at])
+            part = number[doc[at]] * m + ((keys[at] >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+            np.add.at(sums, part, mixed[at])
             salt = np.uint64((span * 64 + level) << 32)
             key = _mix(sums + _mix(np.tile(np.arange(m, dtype=np.uint64), len(texts)) + salt))
             who = np.repeat(texts, m)
+            unusual = lambda: np.bincount(part, np.log(np.maximum(often[at], 1)) - scale, len(texts) * m)  # noqa: B023, E731
             if held is None:
-                out.append((who, key, np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)))
+                met = np.ones(len(who), bool) if level == 0 else chosen(unusual(), texts, m).reshape(-1)
+                out.append((who[met], key[met], np.zeros(met.sum(), np.int64), np.zeros(met.sum(), np.int64)))
                 continue
-            holders = held[(key % np.uint64(SEGMENTS)).astype(np.int64)].astype(np.int64)
-            order = np.argsort(holders.reshape(-1, m), axis=1, kind="stable")
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.arange(m)[None, :], axis=1)
+            holders = COUNT_OF[held[(key % np.uint64(SEGMENTS)).astype(np.int64)]]
             # Shorter texts may have more left than the owners of the first level, and ask there too.
             owner = mine[texts]
-            asks = (place <= 2 * left[texts][:, None]) & (owner | ((own_span[texts] < span) & (level == 0)))[:, None]
-            keep = np.repeat(owner, m) | (_in_filter(owned, key) if owned is not None else holders > 0)
+            asks = chosen(holders if level == 0 else unusual(), texts, m) & (owner | ((own_span[texts] < span) & (level == 0)))[:, None]
+            # What no owner has, or above the first level asks for, needs no guest.
+            keep = np.repeat(owner, m) | _in_filter(owned, key)
             out.append((who[keep], key[keep], STORED + ASKS * asks.reshape(-1)[keep], holders[keep]))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
@@ -272,34 +294,35 @@ def meetings(sign: np.ndarray, rep: np.ndarray, info: np.ndarray, parity: np.nda
     Looked at in blocks of about _MEETINGS, whatever the number of texts of a sign.
     """
     first = np.flatnonzero(np.append(True, sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(sign)))
-    group = np.repeat(np.arange(len(first)), size)
-    stored = np.flatnonzero((info & STORED) > 0)
-    begin = np.searchsorted(stored, first)
-    holders = np.searchsorted(stored, first + size) - begin
-    asks = np.flatnonzero(((info & ASKS) > 0) & (holders[group] > 0))
-    many = holders[group[asks]]
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sign))))
+    stored, asks = np.flatnonzero((info & STORED) > 0), np.flatnonzero((info & ASKS) > 0)
+    # Texts with a rare token ask and store: each meets those after it.
+    begin = np.searchsorted(stored, np.where((info[asks] & RARE) > 0, asks + 1, first[group[asks]]))
+    many = np.searchsorted(stored, np.append(first, len(sign)))[group[asks] + 1] - begin
+    begin, asks, many = begin[many > 0], asks[many > 0], many[many > 0]
     ends = np.cumsum(many)
-    n, rare, parity = info >> 3, (info & RARE) > 0, np.ascontiguousarray(parity).view(np.uint64)
+    n, parity = info >> 3, np.ascontiguousarray(parity).view(np.uint64)
+    ours, theirs = [np.ascontiguousarray(parity[asks, k]) for k in range(parity.shape[1])], [np.ascontiguousarray(parity[stored, k]) for k in range(parity.shape[1])]
+    # No partner leaves a larger budget than one of about the same length.
+    most = np.minimum(2 * (n[asks] - np.ceil(similarity * n[asks] - 1e-9)) + 2, 64 * parity.shape[1]).astype(np.int16)
     # An asker with more holders than a block meets them in several.
     for low in range(0, int(ends[-1]) if len(ends) else 0, _MEETINGS):
-        number = np.arange(low, min(low + _MEETINGS, int(ends[-1])))
-        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, number[-1], "right") + 1
-        inside = np.minimum(ends[i:j], number[-1] + 1) - np.maximum(ends[i:j] - many[i:j], low)
-        row = np.repeat(np.arange(i, j), inside)
-        x = asks[row]
-        y = stored[begin[group[x]] + number - (ends[row] - many[row])]
-        # A pair meets by a rare token from both sides; one is enough.
-        once = np.where(rare[x], rep[x] < rep[y], rep[x] != rep[y])
-        x, y = x[once], y[once]
+        high = min(low + _MEETINGS, int(ends[-1]))
+        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right") + 1
+        inside = np.minimum(ends[i:j], high) - np.maximum(ends[i:j] - many[i:j], low)
+        y = np.arange(low, high) + np.repeat(begin[i:j] - (ends[i:j] - many[i:j]), inside)
+        apart = np.zeros(len(y), np.int16)
+        for k in range(min(2, parity.shape[1])):
+            apart += np.bitwise_count(np.repeat(ours[k][i:j], inside) ^ theirs[k][y])
+        keep = np.flatnonzero(apart <= np.repeat(most[i:j], inside))
+        x, y, apart = np.repeat(np.arange(i, j), inside)[keep], y[keep], apart[keep]
+        for k in range(2, parity.shape[1]):
+            apart = apart + np.bitwise_count(ours[k][x] ^ theirs[k][y])
+        x, y = asks[x], stored[y]
         longer, shorter = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
         # Of the longer text at least ceil(similarity * n) words are shared, which leaves this many differences.
-        budget = longer + shorter - 2 * np.ceil(similarity * longer - 1e-9).astype(n.dtype)
-        for k in range(parity.shape[1]):
-            keep = budget >= 0
-            x, y, budget = x[keep], y[keep], budget[keep]
-            budget = budget - np.bitwise_count(parity[x, k] ^ parity[y, k])
-        x, y = x[budget >= 0], y[budget >= 0]
+        keep = (apart <= longer + shorter - 2 * np.ceil(similarity * longer - 1e-9)) & (rep[x] != rep[y])
+        x, y = x[keep], y[keep]
         yield np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
 
 
@@ -334,25 +357,21 @@ def classes(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(name) for name, c in keep.items()), F.col(text_col).cast("string").alias("text"))
     rows = words(rows.filter(F.col("id").isNotNull())).filter(F.size("hashes") >= max(min_words, 1))
     path = shared_path(df.sparkSession, "words")
-    rows.write.option("compression", "zstd").parquet(path)
+    # Rows are numbered as they are written, to tell exact repeats apart.
+    rows.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.parquet(path)
-    # Equal multisets meet by two 64-bit digests; only classes of several rows are regrouped, reduced map-side.
-    several = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    # Equal multisets meet by two 64-bit digests, reduced map-side; the words themselves stay where they are.
+    several = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("head")).filter("n > 1").select("h1", "h2", F.col("head.id").alias("rep"), F.col("head.row").alias("head"))
     several = checkpoint(several)
     n = several.count()
-    if not n:
-        return rows.select(F.col("id").alias("rep"), "hashes"), rows.select("id", F.col("id").alias("rep"), *keep)
-    keys = F.broadcast(several) if n <= BROADCAST_CLASSES else several
-    single, shared = rows.join(keys, ["h1", "h2"], "left_anti"), rows.join(keys, ["h1", "h2"], "left_semi")
-    heads = shared.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("hashes").alias("hashes"))
-    reps = single.select(F.col("id").alias("rep"), "hashes").unionByName(heads.select("rep", "hashes"))
+    named = rows.join(F.broadcast(several) if n <= BROADCAST_CLASSES else several, ["h1", "h2"], "left")
+    reps = named.filter(F.col("head").isNull() | (F.col("row") == F.col("head"))).select(F.col("id").alias("rep"), "hashes")
     if n > BROADCAST_CLASSES:
         written = shared_path(df.sparkSession, "classes")
         reps.write.option("compression", "zstd").parquet(written)
         reps = df.sparkSession.read.parquet(written)
-    named = shared.select("id", "h1", "h2", *keep).dropDuplicates(["id"]).join(heads.select("h1", "h2", "rep"), ["h1", "h2"])
-    members = single.select("id", F.col("id").alias("rep"), *keep).unionByName(named.select("id", "rep", *keep))
-    return reps, members
+    single, shared = (named.filter(c).select("id", F.coalesce("rep", "id").alias("rep"), *keep) for c in (F.col("head").isNull(), F.col("head").isNotNull()))
+    return reps, checkpoint(single.unionByName(shared.dropDuplicates(["id"])))
 
 
 def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -365,9 +384,9 @@ def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     often, _, n = _counted(reps, SKETCH, by_word)
     limit = min(max(RARE_SHARE * n, 4), RARE_MOST)
-    frequency = spark.sparkContext.broadcast(often)
+    frequency = spark.sparkContext.broadcast(code(often))
     measured = _counted(reps, SEGMENTS, lambda flat, counts: signatures(flat, counts, frequency.value, limit, similarity)[1], FILTER)
-    held, owned = (spark.sparkContext.broadcast(x) for x in measured[:2])
+    held, owned = spark.sparkContext.broadcast(code(measured[0])), spark.sparkContext.broadcast(measured[1])
     parts = [f"r{i}" for i in range(PARITY // 64)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +396,9 @@ def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 rep, (flat, counts) = batch.column(0).to_numpy(), _lists(batch.column(1))
                 who, key, kind, holders = signatures(flat, counts, frequency.value, limit, similarity, held.value, owned.value)
                 rows, key, kind = split(rep[who], key, kind, holders)
-                who, parity = who[rows], parities(*tokens(flat, counts), len(counts))
+                # Rows of one text stand together, so that its parities compress.
+                order = np.argsort(who[rows], kind="stable")
+                who, key, kind, parity = who[rows][order], key[order], kind[order], parities(*tokens(flat, counts), len(counts))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep[who]), pa.array((counts[who] * 8 + kind).astype(np.int32)), *(pa.array(parity[who, i]) for i in range(len(parts)))], ["sign", "rep", "info", *parts])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,7 @@ def meet(first, second, frequency, limit, similarity=0.8):
         np.bitwise_or.at(owned, *nd._bits(key))
     found = [{}, {}]
     for (flat, n), kinds in zip(both, found):
-        for key, kind in zip(*(x.tolist() for x in nd.signatures(flat, n, frequency, limit, similarity, held, owned)[1:3])):
+        for key, kind in zip(*(x.tolist() for x in nd.signatures(flat, n, frequency, limit, similarity, nd.code(held), owned)[1:3])):
             kinds[key] = kinds.get(key, 0) | kind
     return any((a & nd.ASKS and b & nd.STORED) or (b & nd.ASKS and a & nd.STORED) for a, b in ((found[0][k], found[1][k]) for k in found[0].keys() & found[1].keys()))
 
@@ -134,6 +134,12 @@ def test_filters_lose_no_pair(words, added, dropped, limit):
     assert meet(x, y, frequency, limit + 2)
 
 
+def test_codes_of_counts():
+    n = np.concatenate([np.arange(3000), 1 << np.arange(12, 31)])
+    back = nd.COUNT_OF[nd.code(n)]
+    assert (back[:16] == np.arange(16)).all() and (np.abs(back - n) <= 0.06 * n).all() and (np.diff(back) >= 0).all()
+
+
 def test_meetings_equal_all_pairs(monkeypatch):
     monkeypatch.setattr(nd, "_MEETINGS", 7)
     rng = np.random.default_rng(3)
@@ -144,7 +150,7 @@ def test_meetings_equal_all_pairs(monkeypatch):
         for y in range(90):
             n, m = sorted((int(info[x]) >> 3, int(info[y]) >> 3))
             apart = sum(bin(int(v) & (2**64 - 1)).count("1") for v in parity[x] ^ parity[y])
-            if sign[x] == sign[y] and rep[x] != rep[y] and info[x] & nd.ASKS and info[y] & nd.STORED and apart <= n + m - 2 * int(np.ceil(0.8 * m - 1e-9)) and (rep[x] < rep[y] or not info[x] & nd.RARE):
+            if sign[x] == sign[y] and rep[x] != rep[y] and info[x] & nd.ASKS and info[y] & nd.STORED and apart <= n + m - 2 * int(np.ceil(0.8 * m - 1e-9)) and (x < y or not info[x] & nd.RARE):
                 expected.add((min(rep[x], rep[y]), max(rep[x], rep[y])))
     got = {p for a, b in nd.meetings(sign, rep, info, parity) for p in zip(a.tolist(), b.tolist())}
     assert got == expected and len(got) > 20

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 BINS = 32
+#: F1 that may be given up on held-out rows for a lower cut, which finds more, and the lowest cut.
+SLACK, LEAST_CUT = 0.01, 0.25
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ class Boosted:
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Platt scaling on held-out rows, then the cut with the best F1 there, the middle of the best range."""
+        """Platt scaling on held-out rows, then the lowest cut whose F1 there is within SLACK of the best."""
         r, a, b = self.raw(x), 1.0, 0.0
         soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         for _ in range(200):
@@ -90,10 +92,9 @@ class Boosted:
             d = haa * hbb - hab * hab + 1e-9
             a, b = a - (hbb * ga - hab * gb) / d * 0.5, b - (haa * gb - hab * ga) / d * 0.5
         self.scale = (float(a), float(b))
-        p, cuts = self.predict(x), np.linspace(0.05, 0.95, 91)
+        p, cuts = self.predict(x), np.linspace(LEAST_CUT, 0.95, 91)
         f1 = np.array([2 * ((p >= c) & (y > 0)).sum() / max(1, (p >= c).sum() + y.sum()) for c in cuts])
-        good = cuts[f1 >= f1.max() - 1e-9]
-        self.cut = float(good[len(good) // 2])
+        self.cut = float(cuts[f1 >= f1.max() - SLACK][0])
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -2,17 +2,21 @@
 
 High-recall generators propose overlapping spans for e-mail addresses, phone numbers, identity numbers, postal addresses
 and names. Boosted trees, one model per kind, score each span by its format and its context; the scores are calibrated
-and the best spans above the kind's threshold that do not overlap are taken. The models are trained on the driver
-from a bounded number of rule-made labelled texts (TRAINING_TEXTS) and travel with the tasks; the corpus itself is only
-ever scored, whole text by whole text, without a shuffle.
+and the best spans above the kind's threshold that do not overlap are taken. Names, the most numerous, pass a first
+stage that looks at their words alone. The models are trained on the driver from a bounded number of rule-made labelled
+texts (TRAINING_TEXTS) and travel with the tasks, as does what the vocabularies of public tokenizers tell of words; the
+corpus itself is only ever scored, whole text by whole text, without a shuffle.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import os
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -22,27 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm.boosting import Boosted
-from filigree.llm.personal_training import GIVEN, Maker, labelled
+from filigree.llm.personal_training import FAMILIES, GIVEN, UNLISTED, labelled
 
 KINDS = ("email", "phone", "idno", "address", "name")
 #: Rule-made texts the models are trained on, and the part of them held out for calibration.
 TRAINING_TEXTS, HELD_OUT, SEED = 6_000, 0.25, 11
+#: Share of the training names that the first stage may turn away.
+TURNED_AWAY = 0.001
+#: Where the public vocabularies lie, and which tell of words; every operator takes another folder.
+TOKENIZERS, VOCABULARIES = "/opt/tokenizers", ("byte_bpe_50k", "byte_bpe_multi_50k")
 #: Context read on either side of a span.
 _BEFORE, _AFTER = 44, 22
 
 _GIVEN = frozenset(GIVEN)
 # Words that introduce or follow cases, folded to lower case without marks.
 _CUES = {
-    "phone": r"phone|tel\b|telephone|telefono|telefon|mobile|mobil|movil|portable|cell|call|dial|sms|text message|line|fax|ruckruf|anruf|rappeler|appeler|llamar|電話|折り返し|携帯",
-    "phone_after": r"^[\W_]{0,3}(?:rings|was busy|war besetzt|after hours|erbeten|demain|manana|failed|first\b|へ)",
-    "idno": r"ssn|identity|passport|national|id no|ausweis|kennung|personalausweis|insee|securite sociale|identite|dni|nif|nie|identidad|nino|social security|個人番号",
-    "idno_after": r"^[\W_]{0,3}(?:as national|in clear|en clair|steht|aus dem personalausweis|quedo|was stored)",
-    "code": r"order|build|isbn|vertex|route|range|ticket|block|section|checksum|offset|version|invoice|port|iban|drift|rows|bytes|set\b|0x",
-    "code_after": r"^[\W_]{0,3}(?:left|passed|is sealed|is private|is open|was rewritten|is a sample|matches|is paid|is a test|ms\b|rows|has no owner|closed|bytes)",
-    "address": r"address|office|stands at|disk to|lives at|anschrift|adresse|gerat steht|lieferung|serveur se trouve|livrer|direccion|enviar|equipo esta|住所|\bat\b|\bto\b|\bin der\b|\ban\b|\bau\b|\ba\b|\ben\b",
+    "phone": r"phone|\btel\b|telefon|mobil|movil|\bhandy|portable|\bcell|\bcall|\bdial|\bring|\bsms\b|\btext\b|\bline\b|hotline|\bfax|\bruf|ruckruf|anruf|appel|joindre|\bllam|numero|number|nummer|whatsapp|電話|携帯|連絡|折り返し",
+    "phone_after": r"^[\W_]{0,3}(?:ring|rang|busy|is busy|was busy|klingel|besetzt|war besetzt|ist besetzt|sonne|suena|please|bitte|svp|tomorrow|morgen|demain|manana|now|へ|です)",
+    "idno": r"\bssn|social sec|identi|passport|national|\bid\b|ausweis|kennu|kennn|steuer|insee|securite soc|\bdni|\bnif\b|\bnie\b|nino\b|\bni num|documento|個人番号",
+    "code": r"order|build|isbn|issn|serial|\bpart\b|model|page|line|row|route|range|ticket|block|batch|\blot\b|section|chapter|checksum|offset|version|release|invoice|\bport\b|iban|price|total|code\b|flight|room|bestell|rechnung|seite|zeile|commande|facture|ligne|pedido|factura",
+    "address": r"address|office|lives|ship|deliver|visit|moved|home|anschrift|adresse|wohn|liefer|buro|habite|livrer|domicil|direccion|vive|enviar|住所|\bat\b|\bto\b|\bin der\b|\ban\b|\bau\b|\ba\b|\ben\b|\bin\b",
     "title": r"\b(?:mr|mrs|ms|dr|prof|herrn?|frau|m|mme|mlle|sr|sra|srta|don|dona)\.? *$",
-    "label": r"(?:dear|hello|hallo|bonjour|hola|manager|assignee|author|autor|auteur|owner|cc|bcc|responsable|bearbeiter|kontakt|contact|name|reported by|gemeldet von|signale par|informado por|signed off by|approved by|thanks to|ask|spoke with|according to|selon|segun|laut|gruss|gru.|cordialement|saludos|regards|until|both|seit|depuis que|desde que|reads|--|von|par|por|with|by) *[:=,\"“«]? *[\"“«]?$",
-    "name_after": r"^(?:['’]s\b|[,\"”»]? *(?:returns|confirmed|wrote|approved|said|and the|hat |ist |aprobo |confirmo |escribio |a approuve |a confirme |im urlaub|a valide|est |esta|ya esta|tout est|the merge|about|for the|on (?:mon|tues|wednes|thurs|fri)|fragen|,? *it is))",
+    "label": r"(?:dear|hello|hi|hallo|liebe[rs]?|bonjour|chere?|hola|estimad[oa]|manager|assignee|author|autor|auteur|owner|cc|bcc|attn|responsa\w+|responsible|bearbeiter|zustandig|kontakt|contacto?|name|nom|nombre|(?:reported|approved|signed|written) by|assigned to|thanks?|gracias|merci|ask|told|met|according to|selon|segun|laut|gru(?:ss|sse|.)|cordialement|saludos|regards|best|until|both|voir|seit|bis|depuis que|desde que|--|von|par|por|mit|avec|con|fur|pour|para|with|by|from|for) *[:=,\"“«]? *[\"“«]?$",
 }
 _CUES = {k: regex.compile(v) for k, v in _CUES.items()}
 
@@ -85,19 +90,25 @@ _NAME_FORMS = [
     regex.compile(rf"(?<![\p{{L}}\p{{N}}@+._-]){_T}{_GAP}{_T}{_GAP}{_T}(?![\p{{L}}\p{{N}}@_]|-\p{{L}})"),
 ]
 _TOKEN = regex.compile(r"[\p{L}\p{M}'’�]+")
-_DETERMINER = regex.compile(r"\b(?:the|an?|each|every|this|that|one|no|all|d(?:er|ie|as|e[nms])|k?ein(?:e[nmrs]?)?|jede[nmrs]?|diese[nmrs]?|alle[nmrs]?|viele|mehrere|manche|zwei|einzelne|les?|la|une?|chaque|cette|ce|aucune?|nos|des|el|los|las|una|cada|est[ae]|dicha) +$")
+_DETERMINER = regex.compile(r"\b(?:the|each|every|this|that|one|no|all|d(?:er|ie|as|e[nms])|k?ein(?:e[nmrs]?)?|jede[nmrs]?|diese[nmrs]?|alle[nmrs]?|viele|mehrere|manche|zwei|einzelne|les?|la|une?|chaque|cette|ce|aucune?|nos|des|el|los|las|una|cada|est[ae]|dicha) +$")
+_DETERMINED = regex.compile(_DETERMINER.pattern[:-3] + r" +\p{Ll}{4,} +$")
 _BEGINS = regex.compile(r"(?:\A|[.!?…\r\n][\s\"'>#*-]*)$")
 _LOWER_NEXT = regex.compile(r"[ \u00a0]{1,2}\p{Ll}")
 
 #: Full-width digits and signs to their ASCII form, for the features; spans keep the text as it is.
 _NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2013: 0x2D}
 
+_AT = regex.compile(r"[(\[]at[)\]]", regex.I)
+# Of each form of an address, what a text without it cannot hold, in lower case.
+_NEEDS = [regex.compile(x) for x in (r"\d[a-z]?[ \u00a0]", r"box", r"rue|avenue|all[ée]|chemin|boulevard|place|impasse|quai|route|cours|square", r"stra(?:ß|ss)e|str\.|allee|gasse|weg|platz|ring|damm|ufer|steig", r"calle|c/|avenida|avda|plaza|camino|paseo|carretera|ronda|rambla", r"[都道府県]")]
+
 Span = tuple[int, int, str]
 
 
 def _emails(text: str) -> Iterator[Span]:
-    for m in _EMAIL.finditer(text):
-        yield m.start(), m.end(), "email"
+    if "@" in text or _AT.search(text):
+        for m in _EMAIL.finditer(text):
+            yield m.start(), m.end(), "email"
 
 
 def _numbers(text: str) -> Iterator[Span]:
@@ -140,8 +151,9 @@ def _codes(text: str) -> Iterator[Span]:
 
 def _addresses(text: str) -> Iterator[Span]:
     shouted = sum(map(str.isupper, text)) > sum(map(str.islower, text))
-    for street, second, third in _SHOUTED if shouted else _STREETS:
-        for m in street.finditer(text):
+    lower = text.lower()
+    for needs, (street, second, third) in zip(_NEEDS, _SHOUTED if shouted else _STREETS):
+        for m in street.finditer(text) if needs.search(lower) else ():
             end = len(m.group().rstrip()) + m.start()
             yield m.start(), end, "address"
             if b := second.match(text, end):
@@ -174,6 +186,12 @@ def fold(text: str) -> str:
     return text.casefold() if text.isascii() else _fold_word(text)
 
 
+def _next(name: str, after: str) -> float:
+    """How near after the span, in the same sentence, a cue begins."""
+    m = _CUES[name].search(after)
+    return 0.0 if m is None or _STOP.search(after, 0, m.start()) else 1.0 / (1 + m.start())
+
+
 def _near(name: str, before: str) -> float:
     """How near before the span a cue stands: 1 at once, falling, 0 without one."""
     last = None
@@ -182,12 +200,26 @@ def _near(name: str, before: str) -> float:
     return 0.0 if last is None else 1.0 / (1 + len(before) - last.end())
 
 
-@lru_cache(maxsize=1)
-def _letters() -> tuple[dict[str, int], dict[str, int], frozenset[str]]:
-    """Groups of two and three letters in the known given names and in other words, and these words."""
-    maker = Maker(SEED)
-    words = frozenset(fold(w) for _ in range(1000) for w in _TOKEN.findall(" ".join((maker.filler(), maker.lookalike(), maker.prose())))) - _GIVEN
-    return Counter(g for w in _GIVEN for g in _groups(w)), Counter(g for w in words for g in _groups(w)), words
+@lru_cache(maxsize=4)
+def vocabulary(folder: str = TOKENIZERS) -> dict[str, int]:
+    """What the public vocabularies tell of words, in lower case: 1 if it is one of them in lower case, 2 if
+    capitalized, 3 if both. At most as many words as the vocabularies have; empty where the folder lacks them."""
+    out: dict[str, int] = {}
+    for name in VOCABULARIES:
+        path = os.path.join(folder, f"{name}.tiktoken")
+        if not os.path.exists(path):
+            continue
+        with open(path, "rb") as f:
+            for line in f:
+                word = base64.b64decode(line.split()[0]).decode("utf-8", "replace") if line.strip() else ""
+                if len(word) > 3 and word[0] == " " and (word := word[1:]).isalpha() and (word.islower() or word.istitle()):
+                    out[word.lower()] = out.get(word.lower(), 0) | (1 if word.islower() else 2)
+    return out
+
+
+def plain_words(known: dict[str, int]) -> list[str]:
+    """Common words of the vocabularies, in order."""
+    return sorted(w for w, code in known.items() if code & 1 and w.isascii() and 3 < len(w) < 11 and w not in _GIVEN)
 
 
 def _groups(word: str) -> list[str]:
@@ -195,68 +227,130 @@ def _groups(word: str) -> list[str]:
     return [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
 
 
-@lru_cache(maxsize=100_000)
-def _named(word: str) -> float:
-    """How much the letters of a folded word are those of a given name, the word itself not counted: mean log odds."""
-    names, words, held = _letters()
-    name, other = float(word in _GIVEN), float(word in held)
-    groups = _groups(word)
-    return sum(math.log((max(0.0, names.get(g, 0) - name) + 0.5) / (max(0.0, words.get(g, 0) - other) + 0.5)) for g in groups) / len(groups)
+class Words:
+    """Traits of single words, remembered: known given name, in the vocabularies in lower case, capitalized, how much
+    its letters are those of a name and of a word the vocabularies have only capitalized, common word, length."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known = known
+        plain, proper = plain_words(known), sorted(w for w, code in known.items() if code == 2 and w.isascii())
+        names = sorted({*GIVEN, *UNLISTED, *FAMILIES})
+        self.letters = []
+        for some in (names, proper):
+            counts = Counter(g for w in some for g in _groups(w))
+            self.letters.append((counts, frozenset(some), sum(counts.values()) + 1000))
+        counts = Counter(g for w in plain for g in _groups(w))
+        self.plain, self.plain_words, self.total = counts, frozenset(plain), sum(counts.values()) + 1000
+        self.memo: dict[str, tuple[float, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "memo": {}}
+
+    def of(self, word: str) -> tuple[float, ...]:
+        out = self.memo.get(word)
+        if out is None:
+            if len(self.memo) >= 200_000:
+                self.memo.clear()
+            folded, code = fold(word), self.known.get(word.lower(), 0)
+            groups = _groups(folded)
+            odds = []
+            for counts, own, total in self.letters:
+                # A word's own letters do not speak for it, lest the trees trust the lists.
+                less, other = float(folded in own), float(folded in self.plain_words)
+                odds.append(sum(math.log((max(0.0, counts.get(g, 0) - less) + 0.3) / total * self.total / (max(0.0, self.plain.get(g, 0) - other) + 0.3 * self.total / total)) for g in groups) / len(groups))
+            out = self.memo[word] = (float(folded in _GIVEN), float(code & 1), float(code >> 1), *odds, float(_common(word)), float(len(word)))
+        return out
+
+
+_NOTHING = (0.0,) * 7
+
+
+def first_features(text: str, span: Span, words: Words) -> list[float]:
+    """What a name's words tell by themselves."""
+    s = text[span[0] : span[1]]
+    tokens = _TOKEN.findall(s)
+    head, tail = words.of(tokens[0]), words.of(tokens[-1])
+    middle = words.of(tokens[1]) if len(tokens) > 2 else _NOTHING
+    before = text[max(0, span[0] - 12) : span[0]]
+    return [*head, *tail, *middle, len(tokens), float("," in s), float("-" in s), float("." in s), float(s.isupper()), float(_TITLE.search(before) is not None), float(_BEGINS.search(text, max(0, span[0] - 30), span[0]) is not None), float(before.rstrip(" \u00a0")[-1:] in (":", "="))]
+
+
+_CLOSING = regex.compile(r"(?:regards|sincerely|yours|cheers|thanks|wishes|gru(?:ss|ß)|danke|saludo|gracias|cordial|salut|merci|a vous)[^\n]{0,12}\n\s*$")
+_STOP = regex.compile(r"[.!?\r\n]")
+_TITLE = regex.compile(_CUES["title"].pattern, regex.I)
+_AFTER_TOKEN = regex.compile(r"[ \u00a0]{1,2}(\p{Lu}[\p{L}'’\ufffd]+)")
+_BEFORE_TOKEN = regex.compile(r"(\p{Lu}[\p{L}'’\ufffd]+)[ \u00a0]{1,2}$")
+_COMMA_LEFT, _COMMA_RIGHT = regex.compile(r",[ \u00a0]{1,2}$"), regex.compile(r",[ \u00a0]{1,2}\p{Lu}")
+_INITIAL_LEFT, _INITIAL_RIGHT = regex.compile(r"\p{Lu}\.[ \u00a0]{1,2}$"), regex.compile(r"[ \u00a0]{1,2}\p{Lu}\.")
+_GENITIVE = regex.compile(r"['’]s\b")
+_NEXT_WORD, _LAST_WORD = regex.compile(r"[ \u00a0]{1,2}([\p{L}\p{M}]+)"), regex.compile(r"([\p{L}\p{M}]+)[\W_]{0,4}$")
+
+
+def name_features(text: str, span: Span, words: Words) -> list[float]:
+    """The words of a name in their context."""
+    start, end, _ = span
+    out = first_features(text, span, words)
+    before, after = fold(text[max(0, start - _BEFORE) : start]), text[end : end + 30]
+    line = before.rsplit("\n", 1)[-1]
+    left, right = before[-1:] or "\n", after[:1] or "\n"
+    next_cap, last_cap = _AFTER_TOKEN.match(after), _BEFORE_TOKEN.search(text, max(0, start - 30), start)
+    around = text[max(0, start - 30) : start] + after
+    return [
+        *out, *(words.of(next_cap[1]) if next_cap else _NOTHING), *(words.of(last_cap[1]) if last_cap else _NOTHING), float(next_cap is not None), float(last_cap is not None),
+        float(_CUES["label"].search(line) is not None), float(_DETERMINER.search(before) is not None), float(_DETERMINED.search(before) is not None), float(left in "\n\r"), float(_CLOSING.search(before) is not None), float(left in "\"“«("), float(left in "'’"), float(left in "@#/_[{"), float(right in "\n\r"), float(right in ".!?"), float(right in ",;:"), float(right in "\"”»)'"), float(right in "_/]}="),
+        float(_COMMA_LEFT.search(text, max(0, start - 3), start) is not None), float(_COMMA_RIGHT.match(after) is not None), float(_INITIAL_RIGHT.match(after) is not None), float(_INITIAL_LEFT.search(text, max(0, start - 5), start) is not None),
+        float(_GENITIVE.match(after) is not None), float(_LOWER_NEXT.match(after) is not None), float(sum(map(str.isupper, around)) > sum(map(str.islower, around))),
+        float((m := _NEXT_WORD.match(after)) is not None and _common(m[1])), float((m := _LAST_WORD.search(line)) is not None and _common(m[1])),
+    ]
+
+
+_DOMAIN, _DOT = regex.compile(r"(?:@|[(\[]at[)\]])"), regex.compile(r"[ \u00a0]*(?:\.|[(\[]dot[)\]])[ \u00a0]*")
+_MORE_LEFT, _DIGIT_LEFT = regex.compile(r"[\p{L}\p{N}](?:[ \u00a0]{1,2}|[-./:()])?$"), regex.compile(r"\d(?:[ \u00a0]{1,2}|[-./:(),]{1,2})?$")
+_DIGIT_RIGHT = regex.compile(r"(?:[ \u00a0]{1,2}|[-./:)]{1,2})?(?!(?:19|20)\d\d-\d\d-\d\d)\d")
+_LETTER_RIGHT, _LETTER_LEFT = regex.compile(r"[ .-]?[A-Z]\b(?!\.?[a-z]|-\p{L})"), regex.compile(r"\b[A-Z]{1,2}[ -]?$")
+_TWO_SIX_ONE, _FOREIGN, _DATED = regex.compile(r"[A-Z]{2} {0,2}(?:\d\d {0,2}){3}[A-D]", regex.I), regex.compile(r"[XYZ]-?\d", regex.I), regex.compile(r"(?:19|20)\d\d[- ]")
+_POST_IN, _ZIP_TOWN = regex.compile(_POST), regex.compile(r"\d{5}(?!\d)\s+\p{L}")
+_TOWN_RIGHT, _ZIP_RIGHT = regex.compile(r"[ ,]*\r?\n?[ ]?\p{Lu}\p{L}+,? (?:\d{5}|[A-Z]{2}\d)"), regex.compile(r",? ?(?:D-)?\d{5}\b")
+_WORD_LEFT = regex.compile(r"([\p{L}\p{M}]+)(?:[ \u00a0]?(?:no|nr|n°|#)\.?)?[ \u00a0:=#.]{0,3}$")
 
 
 def features(text: str, span: Span) -> list[float]:
-    """Format and context of a span as numbers; the same list for spans of all kinds but names, which have their own."""
+    """Format and context of a span of any kind but a name, as numbers."""
     start, end, kind = span
     s = text[start:end] if text.isascii() else text[start:end].translate(_NARROW)
-    before, after = fold(text[max(0, start - _BEFORE) : start]), fold(text[end : end + _AFTER])
+    before, after = fold(text[max(0, start - _BEFORE) : start]), text[end : end + 40]
     line = before.rsplit("\n", 1)[-1]
     left, right = before[-1:] or "\n", after[:1] or "\n"
-    if kind == "name":
-        tokens = _TOKEN.findall(s)
-        known = [fold(w) in _GIVEN for w in tokens]
-        full = [len(w) > 1 for w in tokens]
-        after_token = regex.match(r"[ \u00a0]{1,2}(\p{Lu}[\p{L}'’�]+)", text[end : end + 30])
-        before_token = regex.search(r"(\p{Lu}[\p{L}'’�]+)[ \u00a0]{1,2}$", text[max(0, start - 30) : start])
-        return [
-            len(tokens), sum(known), float(known[0]), float(known[-1]), float("," in s), float("-" in s), float("." in s), float(s.isupper()), sum(full),
-            min(map(len, tokens)), len(tokens[-1]), len(tokens[0]), float(bool(_CUES["title"].search(line))), float(bool(_CUES["label"].search(line))), float(bool(_CUES["name_after"].search(after))),
-            float(after_token is not None), float(after_token is not None and fold(after_token[1]) in _GIVEN), float(before_token is not None), float(before_token is not None and fold(before_token[1]) in _GIVEN),
-            float(left in "\n\r"), float(right in "\n\r.,'’\""), float(regex.search(r",[ \u00a0]{1,2}$", text[max(0, start - 3) : start]) is not None), float(regex.match(r",[ \u00a0]{1,2}\p{Lu}", text[end : end + 4]) is not None),
-            float(regex.match(r"[ \u00a0]{1,2}\p{Lu}\.", text[end : end + 5]) is not None), float(regex.search(r"\p{Lu}\.[ \u00a0]{1,2}$", text[max(0, start - 5) : start]) is not None),
-            float(known[0] and not known[-1] and "," not in s), float(known[-1] and not known[0] and "," in s), float(any(known[1:]) and "," in s), float(bool(regex.search(r"(?:\bthe|\bder|\bdie|\bdas|\ble|\bla|\bel|\blos|\bproject) *$", before))),
-            float(_common(tokens[0])), float(_common(tokens[-1])), float(sum(_common(w) for w in tokens)),
-            _named(fold(tokens[0])), _named(fold(tokens[-1])), max(_named(fold(w)) for w in tokens), float(_BEGINS.search(text, max(0, start - 30), start) is not None), float(_LOWER_NEXT.match(text, end) is not None),
-            float(sum(map(str.isupper, around := text[max(0, start - 30) : start] + text[end : end + 30])) > sum(map(str.islower, around))), float(before_token is not None and _common(before_token[1])), float(after_token is not None and _common(after_token[1])), float(_DETERMINER.search(before) is not None),
-        ]
-    letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
+    letters, digits = sum(map(str.isalpha, s)), sum(map(str.isdigit, s))
     groups = [len(g) for g in _PART.findall(s)]
-    heads = [*groups, 0, 0, 0][:4]
-    domain = regex.split(r"(?:@|[(\[]at[)\]])", s.casefold())[-1] if kind == "email" else ""
-    labels = [x for x in regex.split(r"[ \u00a0]*(?:\.|[(\[]dot[)\]])[ \u00a0]*", domain) if x]
-    more_left = regex.search(r"[\p{L}\p{N}](?:[ \u00a0]{1,2}|[-./:()])?$", text[max(0, start - 4) : start])
-    digit_left = regex.search(r"\d(?:[ \u00a0]{1,2}|[-./:(),]{1,2})?$", text[max(0, start - 4) : start])
-    digit_right = regex.match(r"(?:[ \u00a0]{1,2}|[-./:)]{1,2})?(?!(?:19|20)\d\d-\d\d-\d\d)\d", text[end : end + 14])
-    letter_right = regex.match(r"[ .-]?[A-Z]\b(?!\.?[a-z]|-\p{L})", text[end : end + 3])
-    letter_left = regex.search(r"\b[A-Z]{1,2}[ -]?$", text[max(0, start - 3) : start])
+    heads = [*groups, 0, 0, 0, 0][:4]
+    labels = [x for x in _DOT.split(_DOMAIN.split(s.casefold())[-1]) if x] if kind == "email" else []
+    word = _WORD_LEFT.search(line)
+    phone, idno, code = _near("phone", line), _near("idno", line), _near("code", line)
+    behind = fold(after[:_AFTER + 6])
     return [
         len(s), letters, digits, len(groups), *heads, groups[-1] if groups else 0, float(s[:1] == "+"), float(s[:1] == "("), float(s[:2] == "00"), float(s[:1] == "0"),
-        s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count("("), float("(0)" in s), float("\n" in s), s.count(","), float(bool(regex.fullmatch(r"[A-Z]{2} {0,2}(?:\d\d {0,2}){3}[A-D]", s, regex.I))), float(bool(regex.match(r"[XYZ]-?\d", s, regex.I))), float(s[-1:].isalpha()), float(s[:1].isalpha()),
-        float(s[:1] in "12"), float(bool(regex.match(r"(?:19|20)\d\d[- ]", s))), len(labels), float(len(labels) > 1 and labels[-1].isalpha()), len(labels[-1]) if labels else 0,
-        float(bool(regex.search(rf"{_POST}", s))), float(bool(regex.search(r"\d{5}(?!\d)\s+\p{L}", s))), float(bool(regex.search(r"\p{L}$", s))), float(bool(regex.search(r"\d$", s))), float(sum(1 for w in _TOKEN.findall(s) if w[:1].islower() and len(w) > 3)),
-        _near("phone", line), _near("idno", line), _near("code", line), _near("address", line), float(bool(_CUES["phone_after"].search(after))), float(bool(_CUES["idno_after"].search(after))), float(bool(_CUES["code_after"].search(after))),
-        float(more_left is not None), float(digit_left is not None), float(digit_right is not None), float(letter_right is not None), float(letter_left is not None), float(left in "\n\r"), float(right in "\n\r.,;"), float(left.isalnum()), float(right.isalnum()), float(left in ".-/:_=+#"), float(right in "-/:_+@"),
-        float(bool(regex.match(r"[ ,]*\r?\n?[ ]?\p{Lu}\p{L}+,? (?:\d{5}|[A-Z]{2}\d)", text[end : end + 40]))), float(bool(regex.match(r",? ?(?:D-)?\d{5}\b", text[end : end + 9]))), float(text[end : end + 30].lstrip(" ,")[:1].isupper()),
+        s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count("("), float("(0)" in s), float("\n" in s), s.count(","), float(_TWO_SIX_ONE.fullmatch(s) is not None), float(_FOREIGN.match(s) is not None), float(s[-1:].isalpha()), float(s[:1].isalpha()),
+        float(s[:1] in "12"), float(_DATED.match(s) is not None), len(labels), float(len(labels) > 1 and labels[-1].isalpha()), len(labels[-1]) if labels else 0,
+        float(_POST_IN.search(s) is not None), float(_ZIP_TOWN.search(s) is not None), float(s[-1:].isdigit()), float(sum(1 for w in _TOKEN.findall(s) if w[:1].islower() and len(w) > 3)) if kind == "address" else 0.0,
+        phone, idno, code, _near("address", line) if kind == "address" else 0.0, float(_CUES["phone_after"].search(behind) is not None), _next("phone", behind), _next("idno", behind), float(word is not None), float(word is not None and max(phone, idno, code) < 0.15 and not _common(word[1])),
+        float(_MORE_LEFT.search(text, max(0, start - 4), start) is not None), float(_DIGIT_LEFT.search(text, max(0, start - 4), start) is not None), float(_DIGIT_RIGHT.match(after) is not None), float(_LETTER_RIGHT.match(after) is not None), float(_LETTER_LEFT.search(text, max(0, start - 3), start) is not None),
+        float(left in "\n\r"), float(right in "\n\r.,;"), float(left.isalnum()), float(right.isalnum()), float(left in ".-/:_=+#"), float(right in "-/:_+@"),
+        *((float(_TOWN_RIGHT.match(after) is not None), float(_ZIP_RIGHT.match(after) is not None), float(after.lstrip(" ,")[:1].isupper())) if kind == "address" else (0.0, 0.0, 0.0)),
     ]
 
 
-# Words that begin sentences or name roles, not people.
+# Words that begin sentences or join them, not people.
 _COMMON = frozenset("""
-the a an of and or for until both according reported please we block main street map section lane routing order vertex route build range ticket office postal phone call
-der die das ein eine und oder seit laut bitte gruss frau herr herrn kontakt anschrift nach vor zwischen ohne bei unter le la les un une et ou selon depuis signale cordialement voir avec responsable avant sans
-el los las una y o segun desde saludos consultar informado sin bajo tras mr mrs ms dr mme sr sra author autor auteur assignee bearbeiter contact contacto courriel correo returns confirmed wrote
-so but if while when then each every all no not with from to in on at by as is are was under behind during after before this that one two into over only our your their its his her my
-aber denn weil dass den dem des im am zum zur von mit auf aus fur ist sind jede jeder keine viele einzelne mehrere trotz nahe wahrend innerhalb ausserhalb unser unsere ihr ihre sein seine
-mais car donc des du au aux dans par pour chaque est sont cette ce pendant apres hors sous chez nos notre votre leur leurs ses mes pero pues porque del al en con por para cada es son esta este durante dentro fuera su sus nuestro nuestra
+the a an of and or for until both according reported please we mr mrs ms dr prof so but if while when then each every all no not with from to in on at by as is are was under
+behind during after before this that one two into over only our your their its his her my he she it they who which where why how because since some any few many more most other
+such own same than too very just also again once here there about against between through above below up down out off
+der die das ein eine einer eines und oder seit laut bitte gruss frau herr herrn nach vor zwischen ohne bei unter aber denn weil dass den dem des im am zum zur von mit auf aus fur ist sind jede jeder jedes keine viele einzelne
+mehrere trotz nahe wahrend innerhalb ausserhalb unser unsere ihr ihre sein seine er sie es wir doch bis um wenn wie was wer nur auch noch schon sehr hat haben wird werden kann
+le la les un une et ou selon depuis voir avec avant sans mais car donc des du au aux dans par pour chaque est sont cette ce pendant apres hors sous chez nos notre votre leur leurs ses mes quelques plusieurs
+aucune aucun entre vers durant il elle nous vous ils qui que quand comme sur pres tres plus moins deja encore
+el los las una y o segun desde bajo tras pero pues porque del al en con por para cada es son esta este durante dentro fuera su sus nuestro nuestra cuando como donde quien que sobre entre hasta hacia sin mas menos ya
+muy tambien otra otro algunos varios ningun ninguna gegen uber ab je pro samt neben zwischen hinter damit dann dort hier heute gestern malgre chez lors puis alors ici ante tan
 """.split())
 
 
@@ -264,36 +358,62 @@ mais car donc des du au aux dans par pour chaque est sont cette ce pendant apres
 def _common(word: str) -> bool:
     """Whether a word is common; damaged characters stand for any."""
     word = fold(word)
-    return word in _COMMON or "�" in word and any(len(c) == len(word) and all(x in ("�", y) for x, y in zip(word, c)) for c in _COMMON)
+    return word in _COMMON or "\ufffd" in word and any(len(c) == len(word) and all(x in ("\ufffd", y) for x, y in zip(word, c)) for c in _COMMON)
+
+
+@dataclass
+class Recognizer:
+    """The calibrated model of each kind, the first stage for names with the raw score it asks for, and the words."""
+
+    words: Words
+    models: dict[str, Boosted] = field(default_factory=dict)
+    first: Boosted = field(default_factory=lambda: Boosted(depth=3, rounds=30))
+    least: float = -math.inf
+
+    def features(self, text: str, span: Span) -> list[float]:
+        return name_features(text, span, self.words) if span[2] == "name" else features(text, span)
 
 
 @lru_cache(maxsize=2)
-def models(texts: int = TRAINING_TEXTS, seed: int = SEED) -> dict[str, Boosted]:
+def models(texts: int = TRAINING_TEXTS, seed: int = SEED, folder: str = TOKENIZERS) -> Recognizer:
     """One calibrated model per kind, trained on rule-made texts; the last part of them calibrates."""
-    rows: dict[str, tuple[list, list, list]] = {k: ([], [], []) for k in KINDS}
-    for i, (text, spans) in enumerate(labelled(texts, seed)):
+    out = Recognizer(Words(vocabulary(folder)))
+    rows: dict[str, tuple[list, list, list]] = {k: ([], [], []) for k in (*KINDS, "first")}
+    for i, (text, spans) in enumerate(labelled(texts, seed, plain_words(out.words.known))):
         for span in candidates(text):
-            x, y, held = rows[span[2]]
-            x.append(features(text, span))
-            y.append(span in spans)
-            held.append(i >= texts * (1 - HELD_OUT))
-    out = {}
-    for kind, (x, y, held) in rows.items():
-        x, y, held = np.array(x, float), np.array(y, float), np.array(held)
-        out[kind] = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+            for kind in (span[2], "first") if span[2] == "name" else (span[2],):
+                x = first_features(text, span, out.words) if kind == "first" else out.features(text, span)
+                for column, value in zip(rows[kind], (x, span in spans, i >= texts * (1 - HELD_OUT))):
+                    column.append(value)
+    for kind, columns in rows.items():
+        x, y, held = (np.array(c, float) for c in columns)
+        held = held > 0
+        model = out.first if kind == "first" else Boosted(rounds=100)
+        model.fit(x[~held], y[~held])
+        if kind == "first":
+            out.least = float(np.quantile(model.raw(x[y > 0]), TURNED_AWAY))
+        else:
+            out.models[kind] = model.calibrate(x[held], y[held])
     return out
 
 
-def find(texts: list[str | None], trained: dict[str, Boosted]) -> list[list[tuple[int, int, str, float]]]:
+def find(texts: list[str | None], trained: Recognizer) -> list[list[tuple[int, int, str, float]]]:
     """The chosen spans (start, end, kind, probability) of each text, in order and without overlap."""
-    spans = [(i, s) for i, t in enumerate(texts) if t for s in candidates(t)]
+    spans: dict[str, list[tuple[int, Span]]] = {k: [] for k in KINDS}
+    for i, t in enumerate(texts):
+        if t:
+            for s in candidates(t):
+                spans[s[2]].append((i, s))
     scored: list[tuple[float, int, int, int, str]] = []
-    for kind, model in trained.items():
-        mine = [(i, s) for i, s in spans if s[2] == kind]
-        for at in range(0, len(mine), 20_000):
-            part = mine[at : at + 20_000]
-            p = model.predict(np.array([features(texts[i], s) for i, s in part], float))
-            scored += [(float(q), i, s[0], s[1], kind) for q, (i, s) in zip(p, part) if q >= model.cut]
+    for kind, model in trained.models.items():
+        for at in range(0, len(spans[kind]), 20_000):
+            part = spans[kind][at : at + 20_000]
+            if kind == "name":
+                raw = trained.first.raw(np.array([first_features(texts[i], s, trained.words) for i, s in part], float))
+                part = [x for x, r in zip(part, raw) if r >= trained.least]
+            if part:
+                p = model.predict(np.array([trained.features(texts[i], s) for i, s in part], float))
+                scored += [(float(q), i, s[0], s[1], kind) for q, (i, s) in zip(p, part) if q >= model.cut]
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     taken: dict[int, list[tuple[int, int]]] = {}
     # The surest first, of equally sure ones the longest.
@@ -313,13 +433,13 @@ def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def recognize(df: DataFrame, id_col: str, text_col: str, texts: int = TRAINING_TEXTS) -> DataFrame:
+def recognize(df: DataFrame, id_col: str, text_col: str, texts: int = TRAINING_TEXTS, folder: str = TOKENIZERS) -> DataFrame:
     """(id_col, redacted, mentions array<struct<start, end, kind, mention, probability>>), a row per row of df.
 
     Offsets count code points. A null text stays null without mentions, an empty one stays empty. Repeated ids, extra
     columns and very long texts make no difference: each row is treated whole and alone.
     """
-    trained = models(texts)
+    trained = models(texts, folder=folder)
     mention = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("mention", pa.string()), ("probability", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,18 @@
 """Labelled texts made by rule, to train the recognizer of personal information on.
 
-Each text is a list of parts; a part is plain text or (kind, mention). Names, numbers and places are invented; numbers
-are drawn at random over the whole of each general format. Texts also hold look-alikes that are no cases.
+Each text is a list of parts; a part is plain text or (kind, mention). Sentences are put together from short openings,
+mentions and endings of everyday correspondence in four languages, with words drawn at random in between, so that
+formats and general context words carry the decision and no sentence is learned by heart. Names, numbers and places are
+invented; numbers are drawn over the whole of each general format. Half of the texts hold look-alikes that are no cases.
 """
 
 from __future__ import annotations
 
 import random
 import unicodedata
+from collections.abc import Sequence
 
-# Common given names of several countries.
+# Common given names of several countries, known to the recognizer as a hint.
 GIVEN = """
 adam adele adrian agnes alan albert alex alexander alice alma amelie amy ana andre andrea andreas angela anita anna anne
 anton antonio arthur astrid barbara bastien beatrice benjamin bernard bruno camille carl carla carlos carmen catherine
@@ -24,82 +27,124 @@ tomas ulrich ursula vera victor walter yvonne zoe
 """.split()
 # Given names the recognizer does not list, so that it learns names from their letters and surroundings.
 UNLISTED = """
-abigail achim adriana agatha aidan aisha albrecht alejandra alessandro alfonso alina alois amanda amara ambroise anders
-aniela anselm apolline arnaud arne arturo aurelie axel balthasar bartosz beate bertrand birgit bjorn bogdan brigitte caleb
-candela casper cedric celeste cesar clement colette conrad corinna cornelia cyril dagmar damien darius delphine derek detlef
-dieter dimitri dolores donata doris edgar edwin elodie elvira emanuel emiliano enrique erika ernst esteban etienne eugenia
-evelyn ewald fatou felicitas fernanda fiona francesca franziska freya friederike gaston geraldine gerhard gilbert giovanni
-gloria gonzalo gottfried guillaume gunther gustavo hakan harald hector heike hendrik herbert hermine hortense hubert ignacio
-ilse imogen irina isidor jacqueline jarek jasmin javier jerome joachim joaquin joel johanna josephine juliette jurgen kamil
-karolina kaspar kerstin khalid konrad kristina leandro leonie leopold liam lorenzo lothar louise lucien ludwig luise
-madeleine malik manfred marcel marianne mathilde matilda matteo mauricio maxime melanie mercedes miguel milan mirjam morgan
-moritz nadine natalia nathan nestor nicole nikolai noemi norbert octavio odile olaf olivier ophelia otto pascale pauline
-philippa pilar quentin raimund ramona raquel raul regina reinhard ricardo rodrigo roland rosalie rowan rudolf sabrina
-salome samira sandra santiago sebastian severin sibylle siegfried silvia solene sonja stella sven sylvain tamara tatiana
-theodor thibault tiago tilman ulrike ursina valentin vanessa veronika vincent viola vivian waltraud wilhelm wolfgang xavier
-ximena yannick yasmin yolanda yves zacharias
+abigail achim agatha aidan aisha akira alejandra alina amanda amara ambroise anders anselm arnaud arturo aurelie ayesha
+babajide balthasar bartosz beate birgit bjorn bogdan brigitte caleb candela cedric celeste chinedu clement colette cornelia
+dagmar darius deepak delphine dieter dimitri dolores edgar edwin ekaterina elodie emiliano enrique erika ernst etienne
+evelyn farid fatou feng fiona francesca freya gaston gerhard giovanni gloria gonzalo guillaume gunther gustavo hakan harald
+hector hiroshi hubert ignacio ikechukwu imogen irina jacqueline jamal jasmin javier jerome jin joaquin johanna jurgen kamil
+karolina kenji kerstin khadija konrad kwabena lakshmi leandro leila lorenzo louise ludwig luise malik manfred marcel matteo
+mehmet mei mercedes miguel min mirjam mohammed moritz nadine naoko natalia nikolai noemi oksana olaf olivier omar pascale
+pilar priya quentin raimund ramona raquel ravi reinhard ricardo rodrigo rosalie rudolf salome samira sanjay santiago
+sebastian selim siegfried silvia soren stella sunita sven tamara tariq thibault tiago ulrike valentin vikram viola waltraud
+wanjiru wilhelm wolfgang xavier xin yannick yasmin yolanda yuki yusuf zofia
 """.split()
 # Family names, beside the invented ones.
 FAMILIES = """
-abbott aguilar andersen bauer becker bianchi blanc bonnet brandt brooks castro chen collins costa diaz dubois eriksson evans farah fischer
-fletcher fontaine fuchs garnier gomez graham gupta haas haddad hansen hartmann hayes hoffmann ibrahim ivanov jansen jimenez johansson
-kaya kowalski kraus kumar lambert larsen lefevre lehmann lombardi lopez macdonald mahlangu martinez mbeki mercier meyer molina moreno
-murphy nakamura navarro nguyen nowak nunez olsen ortega park patel perrin popescu quinn ramos reyes ricci romero rousseau sato schmitt
-schneider serrano shah silva singh suarez tanaka torres vargas vasquez virtanen wagner walsh weber williams wright yamada yilmaz ziegler
+abbott adeyemi aguilar ahmed andersen bauer becker bianchi blanc bonnet brandt brooks castro chen collins costa das diaz dubois
+eriksson evans farah fischer fletcher fontaine fuchs garnier gomez graham gupta haas haddad hansen hartmann hayes hoffmann hussain
+ibrahim ivanov jansen jimenez johansson kaya kim kowalski kraus lambert larsen lefevre lehmann li lombardi lopez macdonald mahlangu
+martinez mbeki mensah mercier meyer mohamed molina moreno murphy nakamura navarro nguyen nowak nunez okafor olsen ortega park patel
+perrin popescu quinn ramos reyes ricci romero rousseau sato schmitt schneider serrano shah silva singh suarez takahashi tanaka torres
+tran vargas vasquez virtanen wagner walsh wang weber williams wright wu yamada yilmaz zhou ziegler
 """.split()
-# Words that make names of places and products.
-_NAMED = (["Amber", "Azure", "Bright", "Broken", "Bronze", "Cedar", "Cold", "Crystal", "Eastern", "Golden", "Granite", "Green", "High", "Iron", "Lower", "Old", "Quiet", "Red", "Rapid", "Southern", "Steel", "Upper", "Western", "White"], ["Anchor", "Arrow", "Basin", "Beacon", "Bridge", "Canyon", "Castle", "Cluster", "Falcon", "Forge", "Garden", "Island", "Market", "Meadow", "Mirror", "Mountain", "Orchard", "Park", "River", "Station", "Summit", "Tower", "Valley", "Window"])
-# German nouns and words in front of them, which look like names in prose, and words for shouted prose.
-_GERMAN = (["jede", "mehrere", "den", "das", "diese", "keine", "eine", "viele", "zweite"], ["Auswahl", "Menge", "Spalte", "Zeile", "Kennung", "Rolle", "Merkmal", "Treffer", "Antwort", "Schwelle", "Sperre", "Seite", "Ordnung", "Prüfung", "Meldung", "Ebene", "Strecke", "Quelle", "Fassung", "Aufgabe", "Leitung", "Warnung"])
-_PLAIN = "shard replica column filter cursor ledger bucket tuple schema token page cache node leaf stream buffer record field journal table colonne filtre page noeud champ fichier ligne valeur copie fila columna nodo campo valor copia archivo each cold remote sorted stale dense shared idle every signed vieux chaque chacune lento cada toda fria sorts joins reads writes skips merges splits drops counts trie compare ignore copie lit ordena copia omite lee une junta".split()
-# Syllables for invented family names, places and things.
-_FAMILY = (["ber", "cal", "dor", "fen", "gar", "hol", "kel", "lam", "mor", "nar", "ost", "pel", "quar", "ros", "sten", "tor", "ver", "wes", "zan"], ["", "a", "de", "i", "lo", "mo", "ra", "te", "vi"], ["ard", "berg", "ez", "elle", "er", "ini", "ling", "mann", "more", "o", "quist", "sen", "son", "stad", "wick", "ault"])
-_PLACE = (["alder", "brook", "crow", "elm", "fern", "glen", "hazel", "kings", "marsh", "oak", "ridge", "stone", "thorn", "wood"], ["bury", "combe", "field", "ford", "gate", "ham", "holm", "ley", "moor", "stead", "ton", "wick"])
-_THING = (["bel", "cor", "dra", "fin", "gal", "hy", "ka", "lu", "mon", "ni", "pra", "que", "ris", "sko", "tan", "ul", "vel", "xi"], ["an", "dro", "el", "is", "lu", "mi", "on", "ra", "tor", "vo"], ["", "cy", "fi", "ja", "nix", "que", "wen"])
-_NOUNS = ["The Graph", "Der Index", "La Cola", "Le Moteur", "Vertex", "Query Plan", "Die Abfrage", "El Lector", "Batch Loader", "Silver Harbor", "Northern Gate", "Copper Lantern", "Page Cache", "Das Abbild", "L'arête", "Main Street Map", "Lane Routing"]
-
-
+# Everyday words for sentences around cases, by language.
+_WORDS = {
+    "en": "the a our their every some old new small large garden kitchen train letter coffee morning evening window teacher doctor market bridge summer weather music paper story travel family friend answer question breakfast suitcase sells carries opens finds brings repairs paints washes cooks before after with without under near because while and but quickly slowly again often seldom".split(),
+    "de": "der die das ein eine unser jede keine alte neue kleine große Garten Küche Brief Kaffee Morgen Abend Fenster Lehrer Markt Brücke Sommer Wetter Musik Papier Reise Familie Freund Antwort Frage Frühstück Koffer Tasche Rechnung Wohnung verkauft trägt öffnet findet bringt malt kocht vor nach mit ohne unter nahe weil während und aber schnell langsam wieder oft selten".split(),
+    "fr": "le la un une notre chaque quelques vieux nouvelle petite grande jardin cuisine train lettre café matin soir fenêtre maître marché pont été temps musique papier histoire voyage famille ami réponse question valise vend porte ouvre trouve apporte peint lave avant après avec sans sous près parce pendant et mais vite lentement encore souvent".split(),
+    "es": "el la un una nuestro cada algunos vieja nueva pequeña grande jardín cocina tren carta café mañana tarde ventana maestro mercado puente verano tiempo música papel historia viaje familia amigo respuesta pregunta maleta vende lleva abre encuentra trae pinta lava antes después con sin bajo cerca porque mientras y pero rápido despacio otra vez".split(),
+}
+# What may stand directly before and after a case, by kind; of three words at most.
+_BEFORE = {
+    "email": ["write to", "mail", "e-mail:", "email", "from:", "contact:", "reply to", "send it to", "schreiben an", "an", "Mail:", "écrire à", "courriel :", "adresse mail", "escribir a", "correo:", "correo", "<", "mailto:", "(", "cc", "kontakt", "連絡先:", "問い合わせ", ""],
+    "phone": ["phone:", "phone", "tel", "tel.", "tel:", "mobile", "mobile:", "cell:", "call", "call me on", "ring", "dial", "text", "sms", "SMS:", "fax", "hotline:", "number:", "my number is", "line", "reach us at", "Telefon", "Telefon:", "Tel.", "Mobil", "Handy:", "Nummer:", "Anruf unter", "Rückruf", "Rückruf unter", "téléphone :", "tél.", "portable", "mobile :", "appeler le", "rappeler au", "joindre au", "numéro :", "teléfono:", "teléfono", "móvil", "móvil:", "llamar al", "llame al", "número", "電話:", "電話", "携帯", "連絡は", "WhatsApp", "phone=", "tel=", ""],
+    "idno": ["SSN", "SSN:", "ssn=", "social security number", "social security no.", "identity number", "ID no.", "ID number:", "id card", "national id", "national id:", "national insurance", "NI number", "NINO", "passport", "passport no.", "Ausweis", "Ausweis-Nr.", "Personalausweis", "Personalausweis:", "Ausweisnummer", "Kennnummer", "Steuer-ID", "numéro INSEE", "INSEE", "INSEE :", "sécurité sociale", "sécurité sociale :", "numéro d'identité", "carte d'identité", "DNI", "DNI:", "NIF", "NIF:", "NIE", "NIE:", "documento", "documento de identidad", "identidad", "個人番号"],
+    "address": ["address:", "address", "lives at", "ship to", "send it to", "office:", "moved to", "at", "to", "visit us at", "home:", "Anschrift:", "Adresse:", "wohnt in", "Lieferung an", "an", "in der", "Büro:", "adresse :", "habite", "livrer au", "domicile :", "au", "dirección:", "vive en", "enviar a", "domicilio:", "en", "住所:", ""],
+    "name": ["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr", "Dr.", "Prof.", "Herr", "Herrn", "Frau", "M.", "Mme", "Mlle", "Sr.", "Sra.", "Srta.", "doña", "don", "dear", "hello", "hi", "hallo", "liebe", "bonjour", "chère", "hola", "estimada", "name:", "name=", "author:", "author=", "by", "from", "with", "to", "for", "and", "ask", "thank", "thanks,", "met", "told", "signed,", "regards,", "best,", "contact:", "owner:", "manager:", "responsible:", "assigned to", "approved by", "cc:", "cc", "attn:", "von", "mit", "für", "an", "Gruß,", "Grüße,", "Name:", "Kontakt:", "Autor:", "zuständig:", "seit", "bis", "par", "avec", "pour", "merci,", "nom :", "contact :", "auteur :", "depuis que", "voir", "por", "con", "para", "saludos,", "gracias,", "nombre:", "contacto:", "autor:", "según", "laut", "selon", "until", "both", "--", "-", "“", '"', "(", "our neighbour", "my colleague", "the engineer", "a friend,", "unser Kollege", "meine Chefin", "notre collègue", "mon voisin", "mi colega", "nuestra vecina", "Kind regards,\n", "Regards,\n", "Mit Grüßen\n", "Bien à vous,\n", "Un saludo,\n", "Yours sincerely,\n", "Many thanks,\n", "Viele Grüße\n", "Cordialement,\n", "Muchas gracias,\n", "guest:", "invité :", "invitada:", "Gast:", *[""] * 16],
+}
+# What tells the kind of a number behind it.
+_TOLD_AFTER = {
+    "phone": [" rings.", " rang.", " is busy.", " rings out.", " is my number.", " (mobile)", " (phone)", " klingelt.", " ist besetzt.", " (Handy)", " sonne.", " est occupé.", " suena.", " está ocupado.", " へ電話"],
+    "idno": [" as identification.", " as my SSN.", " as passport number.", " (passport)", " is my ID.", " is their identity card.", " as identity number.", " als Ausweisnummer.", " (Personalausweis)", " ist die Kennnummer.", " comme identité.", " est mon numéro INSEE.", " como DNI.", " (identidad)", " es mi NIE."],
+}
+# What may stand between a word that introduces a number and the number.
+_LINKS = ["on", "at", "to", "under", "is", "reads", "with", "via", "unter", "lautet", "an", "ist", "au", "est", "sur", "al", "es", "en"]
+_AFTER = {
+    "email": ["", "", ".", ".", ",", ">", ")", ";", " please.", " works.", " bitte.", " genügt.", " suffit.", " gracias.", " まで。"],
+    "phone": ["", "", "", ".", ".", ",", ";", " please.", " tomorrow.", " now.", " rang.", " rings.", " is busy.", " bitte.", " morgen.", " klingelt.", " besetzt.", " demain.", " svp.", " sonne.", " mañana.", " ahora.", " suena.", "へ。", "です。"],
+    "idno": ["", "", "", ".", ".", ",", ";", " expired.", " is missing.", " was found.", " fehlt.", " steht hier.", " liegt vor.", " manque.", " est lisible.", " falta.", " aparece aquí.", " as identification.", " as my SSN.", " (passport)", " is my ID.", " is their identity card.", " als Ausweisnummer.", " (Personalausweis)", " comme identité.", " como DNI.", " (identidad)"],
+    "address": ["", "", "", ".", ".", ".", ",", ";", " please.", " today.", " bitte.", " heute.", " demain.", " svp.", " hoy."],
+    "name": ["", "", ".", ".", ",", ",", ";", ")", " said so.", " agreed.", " wrote it.", " is away.", " called.", " signed it.", " has left.", " and others.", "'s book.", "’s car.", " confirmed this.", " returns.", " arrives.", " approved.", " hat zugesagt.", " ist krank.", " schrieb es.", " kommt später.", " und andere.", " has {}", " will {}", " told {}", " and {}", " feeds {}", " wants {}", " hat {}", " wird {}", " sagt {}", " und {}", " a {}", " est {}", " dit {}", " y {}", " ha {}", " dice {}", " weiter {}", " a signé.", " est absente.", " a dit oui.", " arrive.", " et moi.", " ha firmado.", " está fuera.", " lo dijo.", " llega.", " escribió.", " firmó.", " y yo."],
+}
+# Words before numbers that are no cases.
+_CODES = "order invoice ticket build version release isbn serial part model port page chapter section row line room flight batch lot price total code reference Bestellung Rechnung Ausgabe Seite Zeile Raum commande facture page ligne salle pedido factura página línea sala".split()
+# Letters and endings of invented words.
+_ONSETS = "b bl br c ch d dr f fl g gl gr h j k kl kr l m n p pr qu r s sch sk sl st t th tr v w y z".split()
+_VOWELS = "a a a e e e i i o o u ai au ea ei ia io ou".split()
+_CODAS = ["", "", "", "", "l", "m", "n", "r", "s", "t", "x", "nd", "rt", "sk"]
+_ENDINGS = "man mann sen son sson berg burg stein feld bach ski sky ez es o a i ini elli escu ov eva idis ard ault eau el er ling mark lund strom dottir quist wood well worth".split()
+_TOWNS = "ton ford ham burg ville mouth bury field dorf hausen heim stadt bach court mont sur pont rosa clara mar vista holm by ley port".split()
 # Digits and signs of numbers to their full-width form.
 _WIDE = {ord(c): 0xFEE0 + ord(c) for c in "0123456789+-()."}
+# Shapes of national telephone numbers, 9 for any digit and 8 for one from 1 to 8.
+_PHONES = ["+1 899 899 9999", "899-899-9999", "(899) 899-9999", "899.899.9999", "+1899899 9999", "+18998999999", "+1 (899) 899-9999", "+44 20 8999 9999", "020 8999 9999", "+44 (0)189 899 9999", "07899 999999", "+44 7899 999999", "0189 899 9999", "01899 899999", "+49 89 89999-999", "089/89999999", "089 89999 999", "0049 (0)89 89999 999", "+49898999999", "(089) 89999 999", "+49 189 89999999", "0189 8999999", "+33 8 99 99 99 99", "08 99 99 99 99", "08.99.99.99.99", "08-99-99-99-99", "+33 (0)8 99 99 99 99", "0899999999", "+34 899 99 99 99", "899 999 999", "(+34) 899999999", "899-99-99-99", "899999999", "+81 8 8999 9999", "08-8999-9999", "(08) 8999-9999", "+81-8-8999-9999", "090-8999-9999", "080-8999-9999"]
 
 
 class Maker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    """``plain`` are common words of a public vocabulary, which make titles, products and places that are no names."""
 
-    def word(self, parts: tuple) -> str:
-        return "".join(self.r.choice(p) for p in parts)
+    def __init__(self, seed: int, plain: Sequence[str] = ()):
+        self.r = random.Random(seed)
+        self.plain = list(plain) or [w for w in _WORDS["en"] if len(w) > 3]
 
     def digits(self, shape: str) -> str:
         """shape with 9 for any digit and 8 for a digit from 1 to 8; other characters stay."""
         return "".join(str(self.r.randrange(10)) if c == "9" else str(self.r.randrange(1, 9)) if c == "8" else c for c in shape)
 
-    def name(self) -> str:
+    def invented(self, least: int = 1, most: int = 3) -> str:
         r = self.r
-        given = r.choice(r.choice([GIVEN, UNLISTED])).capitalize() if r.random() < 0.95 else self.word(_THING).capitalize()
-        if r.random() < 0.2:
-            given += "-" + r.choice(GIVEN).capitalize()
-        elif r.random() < 0.25:
-            given += f" {r.choice('ABCDEFGHJKLMNPRSTW')}."
-        family = (self.word(_FAMILY) if r.random() < 0.6 else r.choice(FAMILIES)).capitalize()
-        if r.random() < 0.05:
-            family += "-" + self.word(_FAMILY).capitalize()
-        full = f"{family}, {given}" if r.random() < 0.25 else f"{given} {family}"
-        return full.upper() if r.random() < 0.1 else full
+        return "".join(r.choice(_ONSETS) + r.choice(_VOWELS) for _ in range(r.randint(least, most))) + r.choice(_CODAS)
+
+    def family(self) -> str:
+        r, how = self.r, self.r.random()
+        out = r.choice(FAMILIES) if how < 0.3 else self.invented(1, 2) + r.choice(_ENDINGS) if how < 0.65 else r.choice(self.plain) + r.choice(["", *_ENDINGS]) if how < 0.75 else self.invented(2, 3)
+        out = out.capitalize()
+        return r.choice(["O'", "Mc", "De ", "Van "]) + out if r.random() < 0.02 else out
+
+    def name(self) -> str:
+        r, how = self.r, self.r.random()
+        given = (r.choice(GIVEN) if how < 0.3 else r.choice(UNLISTED) if how < 0.65 else self.invented(1, 3)).capitalize()
+        if r.random() < 0.15:
+            given += "-" + r.choice(r.choice([GIVEN, UNLISTED])).capitalize()
+        elif r.random() < 0.22:
+            given += "".join(f" {r.choice('ABCDEFGHIJKLMNOPRSTVW')}." for _ in range(1 + (r.random() < 0.15)))
+        elif r.random() < 0.05:
+            given += " " + r.choice(r.choice([GIVEN, UNLISTED])).capitalize()
+        family = self.family()
+        if r.random() < 0.07:
+            family += "-" + self.family()
+        full = f"{family}, {given}" if r.random() < 0.22 else f"{given} {family}"
+        return full.upper() if r.random() < 0.07 else full
 
     def email(self) -> str:
         r = self.r
-        first, last = r.choice(GIVEN), self.word(_FAMILY)
-        local = r.choice([f"{first}.{last}", f"{first}-{last}", f"{last}_{first}", f"{first[0]}{last}", f"{last}{r.randrange(99)}", f"{first}+{self.word(_THING)}", first])
-        domain = self.word(_THING) + r.choice(["", "", "-ops", "-lab", ".graph"]) + r.choice([".example", ".test", ".invalid", ".example.org", ".example.com", ".com", ".de", ".net"])
-        at, dot = r.choice([("@", ".")] * 5 + [(" @ ", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "."), (" [at] ", ".")])
+        first, last = r.choice(r.choice([GIVEN, UNLISTED])), self.family().lower().replace(" ", "")
+        local = r.choice([f"{first}.{last}", f"{first}-{last}", f"{last}_{first}", f"{first[0]}{last}", f"{last}{r.randrange(99)}", f"{first}+{self.invented()}", first, r.choice(self.plain).lower()])
+        domain = self.invented(1, 3) + r.choice(["", "", "", "-" + r.choice(self.plain).lower(), "." + self.invented(1, 2)]) + r.choice([".example", ".test", ".org", ".com", ".de", ".net", ".fr", ".es", ".io", ".co.uk", ".invalid", ".info"])
+        at, dot = r.choice([("@", ".")] * 6 + [(" @ ", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "."), (" [at] ", "."), (" (at) ", " (dot) ")])
         out = local + at + domain.replace(".", dot)
         return out.upper() if r.random() < 0.08 else out
 
     def phone(self) -> str:
-        # Shapes of national and international numbers.
-        shapes = ["+1 899 899 9999", "899-899-9999", "(899) 899-9999", "899.899.9999", "+1899899 9999", "+18998999999", "+1 (899) 899-9999", "+44 20 8999 9999", "020 8999 9999", "+44 (0)189 899 9999", "07899 999999", "+44 7899 999999", "0189 899 9999", "01899 899999", "+49 89 89999-999", "089/89999999", "089 89999 999", "0049 (0)89 89999 999", "+49898999999", "(089) 89999 999", "+49 189 89999999", "0189 8999999", "+33 8 99 99 99 99", "08 99 99 99 99", "08.99.99.99.99", "08-99-99-99-99", "+33 (0)8 99 99 99 99", "0899999999", "+34 899 99 99 99", "899 999 999", "(+34) 899999999", "899-99-99-99", "899999999", "+81 8 8999 9999", "08-8999-9999", "(08) 8999-9999", "+81-8-8999-9999", "090-8999-9999", "080-8999-9999"]
-        return self.digits(self.r.choice(shapes))
+        r = self.r
+        if r.random() < 0.2:
+            # Any country: a code, then groups.
+            groups, left = [], r.randrange(8, 11)
+            while left > 1:
+                groups.append(self.digits("9" * min(left, r.randrange(2, 6))))
+                left -= len(groups[-1])
+            return self.digits(r.choice(["+8", "+89", "+899"])) + (s := r.choice([" ", " ", "-", ""])) + s.join(groups)
+        return self.digits(r.choice(_PHONES))
 
     def idno(self) -> str:
         r = self.r
@@ -111,7 +156,8 @@ class Maker:
         if kind == 1:
             return letter("ABCEGHJKLMNOPQRSTWXYZ") + letter("ABCEGHJKLMNPQRSTWXYZ") + self.digits(r.choice([" 99 99 99 ", "999999", "999999 "])) + letter("ABCD")
         if kind == 2:
-            return self._insee(f"{r.randrange(1, 43):02}")
+            s = r.choice(["", " ", "-"])
+            return s.join([r.choice("12"), self.digits("99"), f"{r.randrange(1, 43):02}", self.digits("99"), self.digits("999"), self.digits("999"), self.digits("99")])
         if kind == 3:
             return self.digits(r.choice(["99999999", "99.999.999"])) + r.choice(["", "-"]) + letter()
         if kind == 4:
@@ -120,109 +166,128 @@ class Maker:
         body = letter("CFGHJKLMNPRTVWXYZ") + self.digits("9") + sign() + sign(), sign() + sign() + self.digits("9"), self.digits("99")
         return r.choice(["", " ", " "]).join(body)
 
-    def _insee(self, month: str) -> str:
-        s = self.r.choice(["", " ", "-"])
-        return s.join([self.r.choice("12"), self.digits("99"), month, self.digits("99"), self.digits("999"), self.digits("999"), self.digits("99")])
-
     def postcode(self) -> str:
         letters = lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPRSTWXYZ") for _ in range(n))
         return letters(self.r.choice([1, 2, 2, 2])) + self.digits(self.r.choice(["8", "8", "89"])) + self.r.choice(["", "", "", "A"]) + " " + self.digits("9") + letters(2)
 
+    def place(self) -> str:
+        r = self.r
+        return r.choice([self.invented(1, 2), r.choice(self.plain).lower()]).capitalize() + r.choice(_TOWNS) if r.random() < 0.7 else self.invented(1, 3).capitalize()
+
     def address(self) -> str:
         r, n = self.r, self.r.randrange(1, 250)
-        street, town = self.word(_PLACE).capitalize(), self.word(_PLACE).capitalize()
+        street, town = self.place(), self.place()
         zip5, kind = self.digits("99999"), r.randrange(8)
+        road = r.choice(["Road", "Street", "Lane", "Avenue", "Close", "Drive", "Way", "Court", "Place"])
         if kind == 0:
-            return f"{n} {street} {r.choice(['Road', 'Street', 'Lane', 'Avenue', 'Close', 'Drive', 'Way'])}{r.choice([', ', ', ', chr(10)])}{town} {zip5}"
+            return f"{n} {street} {road}{r.choice([', ', ', ', chr(10)])}{town}{r.choice([' ', ', '])}{zip5}"
         if kind == 1:
-            return f"{n}{r.choice('AB')} {street} {r.choice(['Rd', 'St', 'Ave', 'Ln'])}, {town}, {zip5}"
+            return f"{n}{r.choice('AB')} {street} {r.choice(['Rd', 'St', 'Ave', 'Ln', 'Dr', 'Blvd'])}, {town}, {zip5}"
         if kind == 2:
-            return f"{r.choice(['Flat', 'Flat', 'Apt', 'Unit'])} {n % 30 + 1}, {n} {street} {r.choice(['Road', 'Street', 'Lane', 'Avenue', 'Close'])}, {town} {self.postcode()}"
+            return f"{r.choice(['Flat', 'Apt', 'Unit', 'Suite'])} {n % 30 + 1}, {n} {street} {road}, {town}{r.choice([' ', ', '])}{self.postcode()}"
         if kind == 3:
-            return f"P.O. Box {n}, {town} {zip5}"
+            return f"P.O. Box {n}, {town} {zip5}" if r.random() < 0.5 else f"{n} {street} {road}, {town} {self.postcode()}"
         if kind == 4:
-            way = r.choice(["rue", "avenue", "allée", "chemin", "boulevard", "place"])
-            return f"{n}{r.choice([f' {way} ', f' bis, {way} de ', f', {way} de '])}{street}, {zip5} {town}"
+            way = r.choice(["rue", "avenue", "allée", "chemin", "boulevard", "place", "quai", "impasse"])
+            return f"{n}{r.choice([f' {way} ', f' bis, {way} de ', f', {way} de ', f', {way} '])}{street}, {zip5} {town}"
         if kind == 5:
-            return f"{street}{r.choice(['straße', 'str.', 'allee', 'gasse', 'weg', 'platz'])} {n}{r.choice(['', '', 'a', 'b'])}, {zip5} {town}"
+            return f"{street}{r.choice(['straße', 'str.', 'allee', 'gasse', 'weg', 'platz', 'ring'])} {n}{r.choice(['', '', 'a', 'b'])}, {zip5} {town}"
         if kind == 6:
-            return f"{street}-{r.choice(['Straße', 'Allee', 'Platz'])} {n}{r.choice('abc')}, D-{zip5} {town}"
-        return f"{r.choice(['Calle', 'C/', 'Avenida', 'Plaza', 'Camino', 'Paseo'])} {street}{r.choice([f' {n}', f', {n}, {n % 6 + 1}º {r.choice(chr(65) + chr(66) + chr(67))}'])}, {zip5} {town}"
+            return f"{street}-{r.choice(['Straße', 'Allee', 'Platz'])} {n}{r.choice(['', *'abc'])}, {r.choice(['', 'D-'])}{zip5} {town}"
+        return f"{r.choice(['Calle', 'C/', 'Avenida', 'Plaza', 'Camino', 'Paseo'])} {street}{r.choice([f' {n}', f', {n}', f', {n}, {n % 6 + 1}º {r.choice(chr(65) + chr(66) + chr(67))}'])}, {zip5} {town}"
 
-    def filler(self) -> str:
-        r, t, d = self.r, lambda: self.word(_THING), self.digits
-        cap = lambda: t().capitalize()
-        return r.choice([
-            f"The {t()} reader {cap()} took {r.randrange(9999)} ms to reach {r.randrange(999)} rows.", f"Die Abfrage {cap()} kürzt den Absatz ({r.randrange(9999)} ms, {t()}-{r.randrange(999)}).",
-            f"Le moteur {cap()} compare la clé {cap()}.", f"El lector {cap()} firma la lista ({r.randrange(9999)} ms).", f"グラフの{cap()}は{r.randrange(999)}件の辺を整える。", f"{r.choice(_NOUNS)} {cap()} keeps {r.randrange(99)} of them.",
-            f"{r.choice(_NOUNS)} and {r.choice(_NOUNS)} are cluster names.", f"The signed {t()} ends with {r.choice(['two', 'five', 'idle', 'sealed'])} {r.choice(['shards', 'readers', 'segments'])}, and the property chain waits.",
-            f"Die Rolle kopiert den Suchbegriff {cap()} im Testgraphen.", f"Das Schema lädt einen leeren Absatz {cap()}, und der Index {cap()} wartet.", f"La partición {cap()} recarga esta nota ({r.randrange(9999)} ms).", f"Avant l'export, le schéma {cap()} trie une vieille copie.",
-            f"The role binding by {cap()} locks the query plan {cap()} for every tenant.", f"{d('2025-09-19T19:59:39Z')} {r.choice(['INFO', 'WARN', 'ERROR'])} [{t()}] The {t()} reader {cap()} waits.",
-        ])
+    def words(self, language: str, count: int) -> str:
+        """Words of a language with invented ones between them, some capitalized, but no two of these in a row."""
+        r, out = self.r, []
+        for _ in range(count):
+            x = r.random()
+            word = r.choice(_WORDS[language]) if x < 0.8 else self.invented().capitalize() if x < 0.84 else self.invented()
+            if out and word[0].isupper() and out[-1][0].isupper():
+                word = r.choice([w for w in _WORDS[language] if w[0].islower()])
+            out.append(word)
+        return " ".join(out)
 
-    def prose(self) -> str:
-        """Sentences with capitalized or shouted words that are no names."""
-        r, t = self.r, lambda: self.word(_THING)
-        cap = lambda: t().capitalize()
-        return r.choice([
-            f"{' '.join(r.choice(p) for p in _NAMED)} {r.choice(['keeps', 'holds', 'is the name of', 'has', 'waits for', 'enthält', 'contient', 'tiene'])} {r.randrange(99)} of them.", f"{r.choice(['Reach', 'We call it', 'Nach', 'Vers', 'Hacia', 'The product', 'A cluster like'])} {' '.join(r.choice(p) for p in _NAMED)}{r.choice(['.', ' first.', ', then stop.'])}",
-            f"{r.choice(['Der', 'Die', 'Das'])} {r.choice(_GERMAN[1])} {cap()} {r.choice(['prüft', 'sperrt', 'kopiert', 'liest'])} {r.choice(_GERMAN[0])} {r.choice(_GERMAN[1])} {cap()}, {r.choice(['denn', 'aber', 'und', 'bis'])} {r.choice(['der', 'die', 'das'])} {r.choice(_GERMAN[1])} {cap()} {r.choice(['wartet', 'öffnet', 'verwirft'])} {r.choice(_GERMAN[0])} {r.choice(_GERMAN[1])}.",
-            " ".join(r.choice(_PLAIN) if r.random() < 0.8 else t() for _ in range(r.randrange(5, 14))).capitalize() + ".", f"{r.choice(['Ohne', 'Trotz', 'Under', 'Behind', 'Sans', 'Avant', 'Tras', 'Bajo', 'Nahe', 'Laut'])} {r.choice([r.choice(_GERMAN[1]), cap()])} {r.choice(['trennt', 'reads', 'trie', 'omite'])} {r.choice(['der', 'the', 'le', 'el'])} {r.choice(_PLAIN)} {cap()} {r.choice(_PLAIN)}.",
-            f"{r.choice(['Laut', 'Selon', 'Según', 'According to', 'Von', 'Par', 'Por', 'With', 'By', 'Each', 'Until', 'Both'])} {r.choice([r.choice(_GERMAN[1]), r.choice(_PLAIN)])} {r.choice(_PLAIN)} {t()} {r.choice(_PLAIN)}, {r.choice(['and the', 'and the', 'denn', 'car', 'pues'])} {r.choice(_PLAIN)}-{r.choice(_PLAIN)} {r.choice(_PLAIN)} {t()}.",
-            f"The {r.choice(_PLAIN)} {r.choice(_PLAIN)} {r.choice(_PLAIN)} {r.choice(['each', 'its', 'one', 'the'])} {t()} {r.choice(_PLAIN)} {r.choice(_PLAIN)}, {r.choice(['and the', 'but the', 'so the'])} {r.choice(_PLAIN)} {r.choice(_PLAIN)} {r.choice(_PLAIN)} its {t()}. Because {r.choice(_PLAIN)} {r.choice(_PLAIN)}, the {r.choice(_PLAIN)} {t()} {r.choice(_PLAIN)}.",
-            f"{r.choice(['El', 'La', 'Le', 'Der'])} {r.choice(_PLAIN)} {t()} {r.choice(_PLAIN)} {r.choice(['esta', 'cette', 'den', 'chaque'])} {r.choice(_PLAIN)} {t()} ({r.randrange(9999)} ms).",
-        ])
+    def title(self) -> str:
+        """Capitalized words that name a thing, a product or a place."""
+        r = self.r
+        common = lambda: r.choice(self.plain).capitalize()
+        return r.choice([f"{common()} {common()}", f"{common()} {common()}", f"{common()} {self.invented().capitalize()}", f"{common()} {common()} {common()}", f"{self.invented().capitalize()} {common()}", f"{common()} {r.choice(['Street', 'Road', 'Lane', 'Square', 'Bridge', 'Station'])}"])
 
-    def damaged(self, text: str) -> str:
-        return text.replace(self.r.choice("aeinr"), "\ufffd")
+    def noun(self) -> str:
+        """A German noun, known or made up."""
+        r = self.r
+        known = r.choice([w for w in _WORDS["de"] if w[0].isupper()])
+        return known if r.random() < 0.4 else (self.invented(1, 2) + r.choice(["ung", "ung", "heit", "keit", "er", "schaft", "stück", "werk", "zeit", "plan"])).capitalize()
+
+    def prose(self) -> str:
+        """A sentence with capitalized or shouted words that are no names."""
+        r = self.r
+        language = r.choice(list(_WORDS))
+        first, last = self.words(language, r.randrange(1, 5)), r.choice([w for w in _WORDS[language] if w[0].islower()]) + " " + self.words(language, r.randrange(2, 6))
+        # Capitalized things and invented words behind nouns, articles and at the beginning.
+        middle = r.choice([self.title(), f"{self.invented().capitalize()}", f"{r.choice(['der', 'die', 'das', 'den', 'jede', 'eine'])} {self.noun()} {self.invented().capitalize()}", f"the {self.title()}", f"{r.choice(['den', 'einen', 'eine', 'die', 'der', 'das', 'jeden', 'keinen'])} {self.invented()}{r.choice(['en', 'e', 'er', 'es'])} {self.noun()} {self.invented().capitalize()}", f"{r.choice(['le', 'la', 'el'])} {self.title()}", f"{r.choice(['l', 'd', 'L', 'D'])}'{r.choice([self.title(), self.invented().capitalize() + ' ' + self.invented().capitalize(), r.choice(_WORDS['fr']).capitalize()])}", f"{r.choice(['See', 'Set', 'Voir', 'Siehe', 'Ver', 'Note', 'Use'])} {self.invented().capitalize()}", "", ""])
+        out = " ".join(x for x in (first, middle, last) if x) if r.random() < 0.8 else f"{middle} {last}".strip()
+        out = out[:1].upper() + out[1:] + r.choice([".", ".", ".", "!", ":", f" ({r.randrange(9999)} ms)."])
+        if language == "de" and r.random() < 0.3:
+            out = f"{r.choice(['Der', 'Die', 'Das', 'Jede', 'Keine', 'Ohne', 'Trotz', 'Vor', 'Nach', 'Laut', 'Seit', 'Bis', 'Gegen', 'Über', 'Unter', 'Am', 'Im', 'Zwischen', 'Ab', 'Je'])} {self.noun()} {r.choice([self.invented().capitalize() + ' ', '', ''])}{last}."
+        return out
 
     def lookalike(self) -> str:
-        r, t, d = self.r, lambda: self.word(_THING), self.digits
-        name = t()
-        # Things that resemble cases and are none.
+        """Numbers, codes, handles and titles that resemble cases and are none."""
+        r, d = self.r, self.digits
+        word = r.choice([*_CODES, self.invented(), r.choice(self.plain)])
+        label = r.choice([str.lower, str.capitalize, str.capitalize, str.upper])(word) + r.choice([" ", " ", ": ", "=", " no. ", " #"])
+        number = r.choice(["89 99 999", "8.99.9-999", "978-9-99-99999-9", "899999999999", "99.89.9.9", "89-99-999", "89-999-99", "2099-09-19 09:59", "2099-09-19", "8a9999999bb", "+8999", "8.9.9", "2099-99999999", "99 9999 9999", "8,999,999", "8999999", "8999 8999 8999", "99/999/9999", "89 9999 999", "999-8999", "8999.99", "0x8a9b", "99:59:59"])
+        hexed = "".join(r.choice("0123456789abcdef") for _ in range(r.randrange(7, 13)))
+        number = hexed if r.random() < 0.15 else number
+        person = r.choice(r.choice([GIVEN, UNLISTED])).capitalize()
         return r.choice([
-            f"Order no. {d('89 99 999')} left the queue.", f"Build {d('8.99.99-999')} passed.", f"ISBN {d('978-0-99-99999-9')} is a sample.", f"Vertex {d('17592189999999')} was rewritten.", f"Route {d('10.89.89.9')} is private.",
-            f"Range {d('89-99-999')} is sealed.", f"Ticket {d('2099-09-19 29:59')} is open.", f"Ticket {d('2099-09-19')} {d('29:59')} closed.", f"Block {d('89')} Main Street Map has no owner.", f"See section {d('89')} Lane Routing.",
-            f"user@localhost tried the shell.", f"{name}@{name} is a role binding.", f"@{name} and #{t()}{d('99')} are tags only.", f"Checksum {d('8a9999999bb')} matches.", f"Offset +{d('8999')} ms, drift {d('999')}.", f"{d('2025-09-19T19:59:39Z')} WARN [{t()}] gone",
-            f"Set {t()}.{t()}={d('999')} so that it splits less.", f"return {t()}[{d('9')}] != 0x{d('8a9')}", f"version {d('8.9.9')} of {t()}@{d('8.9.9')}", f"invoice {d('2024-99999999')} is paid", f"IBAN block {d('99 9999 9999')} is a test pattern", f"{d('8,999,999')} rows and {d('8999999')} bytes",
-            f"The {t().capitalize()} Street gate has {d('89')} Copper Lanterns.", f"port {d('8999')} {d('8999')} {d('8999')}", f"{r.choice(GIVEN).capitalize()} is the code name of {t().capitalize()}.", f"Project {r.choice(GIVEN).capitalize()} {d('89')} ended.",
+            f"{label}{d(number)}{r.choice(['.', ',', ' ' + self.words('en', 2) + '.'])}", f"{label}{d(number)}{r.choice(['.', ',', ' ' + self.words('de', 2) + '.'])}", f"{label}{d(number)}{r.choice(['.', ',', ' ' + self.words('fr', 2) + '.'])}",
+            f"{self.invented()}@{r.choice([self.invented(), 'localhost', 'host'])} {self.words('en', 3)}.", f"@{self.invented()} #{self.invented()}{d('99')}", f"{self.invented()}@{d('8.9.9')}", f"{self.invented()}.{self.invented()}={d('999')}",
+            f"{person} {r.choice(self.plain)} {self.words('en', 2)}.", f"{r.choice(self.plain).capitalize()} {person} {d('89')}.", f"{d('89')} {self.title()}.", f"{self.title()} {self.words('en', 2)}.", f"{self.title()}, {self.title()}",
+            f"{d('2099-09-19T09:59:59Z')} {r.choice(['INFO', 'WARN', 'ERROR', 'DEBUG'])} [{self.invented()}] {self.prose()}", f"{d('999')} {r.choice(self.plain)}, {d('8999999')} {r.choice(self.plain)}",
         ])
 
     def case(self) -> list:
-        r = self.r
-        # How cases are introduced, by kind; {} is the mention.
-        frames = {
-            "email": ["You can reach us under {} any time.", "Mail an {} genügt.", "Un message à {} suffit.", "Mensajes a {}, gracias.", "From: <{}>", "Contact: {}", "Contact <{}>", "Write to {} for access.", "Kontakt: {}", "Bitte an {} schreiben.", "Correo: {}", "Courriel : {}", "Écrire à {} pour l'accès.", "mailto:{}", "E-Mail {} ist hinterlegt.", "El aviso llega a {}.", "mail={};", "連絡先: {}", "問い合わせは {} まで。", "Reply-To: {}", "owner ({})", "{}", "The key of the row is {}, which is wrong.", "Forward it to {}, please."],
-            "phone": ["My number is {}.", "Please ring {} before noon.", "Hotline: {}", "Fax {}", "Meine Nummer ist {}.", "Nummer: {}", "Mon numéro est le {}.", "Mi número es {}.", "WhatsApp {}", "Phone: {}", "tel. {}", "Call {} after hours.", "Dial {} first.", "mobile={}", "SMS:{}", "The line {} was busy.", "{} rings twice.", "Telefon: {}", "Tel {} war besetzt.", "Mobil {}", "Rückruf unter {} erbeten.", "Tél. {}", "Téléphone : {}", "Portable {}", "Rappeler au {} demain.", "Teléfono: {}", "Móvil {}", "Llamar al {} mañana.", "電話: {}", "折り返しは {} へ。", "Text message to {} failed."],
-            "idno": ["Social security number: {}", "NINO {}", "NI number {}", "My SSN is {}.", "ID card {} expired.", "Personalausweis {}", "Ausweis: {}", "INSEE {}", "Sécurité sociale : {}", "Mi DNI es {}.", "NIE: {}", "DNI/NIF {}", "SSN {}", "The record lists ID no. {} in clear.", "Identity number {} was stored.", "national_id={}", "He gave {} as national identity number.", "passport/ID: {}", "Ausweisnummer {} steht da.", "Ausweis-Nr. {}", "Die Kennung {} aus dem Personalausweis fehlt.", "n° INSEE : {}", "Numéro de sécurité sociale {}", "le numéro d'identité {} en clair", "DNI {}", "NIF: {}", "NIE {}", "El documento de identidad {} quedó visible."],
-            "address": ["Deliver to {} please.", "Our new address is {}.", "She moved to {} in May.", "Wohnhaft in {}.", "Adresse: {}", "Domicilié au {}.", "Domicilio: {}", "Home: {}", "Postal address: {}", "Office: {}", "The rack stands at {}.", "Ship the disk to {}.", "lives at {} now.", "Anschrift: {}", "Das Gerät steht in der {}.", "Lieferung an {}.", "Adresse : {}", "Le serveur se trouve {}.", "Livrer au {}.", "Dirección: {}", "Enviar a {}.", "El equipo está en {}.", "{}"],
-            "name": ["Dear {},", "Hallo {},", "Bonjour {},", "Hola {},", "Manager: {}", "Prof. {} will speak.", "Reported by {}.", "We spoke with {} on Tuesday.", "According to Dr. {}, it is safe.", "many thanks to {} for the trace", "The change was signed off by Ms {}.", "{} confirmed the rollback.", "{}'s laptop held it.", "Until {} returns, nobody merges.", "Both {} and the desk saw it.", "Please ask {} about it.", "Assignee: {}", "author={}", "cc: {}", "-- {}", "Gruß, {}", "Bitte Frau {} fragen.", "Laut Herrn {} ist das erledigt.", "Bearbeiter: {}", "Gemeldet von {}.", "Seit {} im Urlaub ist, ruht es.", "{} hat es freigegeben.", "{} aprobó la carga.", "{} approved it.", "Cordialement, {}", "Voir avec Mme {}.", "Selon M. {}, tout est prêt.", "Signalé par {}.", "Responsable : {}", "{} a validé la fusion.", "Depuis que {} est en congé, rien ne bouge.", "Consultar con la Sra. {}.", "Según el Sr. {}, ya está.", "Informado por {}.", "Saludos, {}", "Desde que {} está de viaje", 'The title reads "{}".', "{} wrote this note."],
-        }
-        kind = r.choice(list(frames))
-        before, after = r.choice(frames[kind]).split("{}")
-        return [before, (kind, getattr(self, kind)()), after]
+        r, kind = self.r, self.r.choice([*_BEFORE, "name", "name"])
+        before, after = r.choice(_BEFORE[kind]), r.choice(_AFTER[kind])
+        if before[:1].islower() and r.random() < 0.4:
+            before = before.capitalize()
+        if before and r.random() < 0.35:
+            language = r.choice(list(_WORDS))
+            before = f"{self.words(language, r.randrange(1, 5))} {before}"
+            before = before[:1].upper() + before[1:]
+        if before and kind in ("phone", "idno") and before[-1] not in "=:" and r.random() < 0.25:
+            before += " " + self.words(r.choice(list(_WORDS)), r.randrange(4)) + " " + r.choice(_LINKS)
+            before = " ".join(before.split())
+        if kind in _TOLD_AFTER and r.random() < 0.15:
+            # Only what follows tells the kind.
+            before, after = r.choice(["", "", self.words(r.choice(list(_WORDS)), r.randrange(1, 4))]), r.choice(_TOLD_AFTER[kind])
+        elif not before and kind != "name" and r.random() < 0.7:
+            before = self.words(r.choice(list(_WORDS)), r.randrange(1, 4)).capitalize()
+        after = after.replace("{}", self.words(r.choice(list(_WORDS)), r.randrange(1, 5)) + ".")
+        tight = before[-1:] in ("", "<", "(", "=", '"', "“", "\n") or before.endswith("mailto:")
+        return [before + ("" if tight else r.choice([" ", " ", " ", " ", " \n"[kind == "address"]])), (kind, getattr(self, kind)()), after if after else r.choice(["", " " + self.words(r.choice(list(_WORDS)), 2) + ".", " " + self.words(r.choice(list(_WORDS)), 3).capitalize() + "."])]
 
     def text(self) -> list:
         """The parts of a text of a few sentences, possibly upper-cased, widely spaced or decomposed as a whole."""
         r, parts = self.r, []
-        if r.random() < 0.15:
-            prose = " ".join(self.prose() for _ in range(r.randrange(3, 9)))
-            return [prose.upper() if r.random() < 0.6 else self.damaged(prose) if r.random() < 0.25 else prose]
+        if r.random() < 0.08:
+            prose = " ".join(self.prose() for _ in range(r.randrange(3, 7)))
+            return [prose.upper() if r.random() < 0.6 else prose.replace(r.choice("aeinr"), "\ufffd") if r.random() < 0.25 else prose]
         for _ in range(r.randrange(2, 7)):
-            parts += self.case() if r.random() < 0.52 else [r.choice([self.lookalike, self.lookalike, self.filler, self.filler, self.prose])()]
+            parts += self.case() if r.random() < 0.52 else [r.choice([self.lookalike, self.prose, self.prose])()]
             parts.append(r.choice([" ", " ", "\n", "\n\n", "\r\n"]))
-            if r.random() < 0.05:
-                parts += [self.digits("2025-09-19T19:59:39Z ") + r.choice(["INFO", "WARN", "ERROR"]) + f" [{self.word(_THING)}] {self.filler()}", "\n"]
         how = r.random()
-        change = (lambda s: s.upper()) if how < 0.12 else (lambda s: s.replace(" ", "  ")) if how < 0.19 else (lambda s: unicodedata.normalize("NFD", s)) if how < 0.22 else (lambda s: s)
-        if 0.22 <= how < 0.25:
+        change = (lambda s: s.upper()) if how < 0.1 else (lambda s: s.replace(" ", "  ")) if how < 0.17 else (lambda s: unicodedata.normalize("NFD", s)) if how < 0.2 else (lambda s: s.replace(" ", " ")) if how < 0.23 else (lambda s: s)
+        if 0.23 <= how < 0.26:
             return [(p[0], p[1].translate(_WIDE)) if isinstance(p, tuple) and p[0] == "phone" else p for p in parts]
         return [change(p) if isinstance(p, str) else (p[0], change(p[1])) for p in parts]
 
 
-def labelled(count: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]]:
+def labelled(count: int, seed: int, plain: Sequence[str] = ()) -> list[tuple[str, set[tuple[int, int, str]]]]:
     """``count`` texts with the spans (start, end, kind) of their cases."""
-    maker, out = Maker(seed), []
+    maker, out = Maker(seed, plain), []
     for _ in range(count):
         text, spans = "", set()
         for part in maker.text():

@@ -6,6 +6,7 @@ import pytest
 from filigree.llm import personal
 from filigree.llm.boosting import Boosted
 from filigree.llm.personal_training import labelled
+from tests.llm.personal_sentences import NOTHING, sentences
 
 
 @pytest.fixture(scope="module")
@@ -24,14 +25,33 @@ def test_boosting_learns_a_rule():
 
 def test_held_out_accuracy(trained):
     hit, wrong, lost = Counter(), Counter(), Counter()
-    texts = labelled(600, 4711)
+    texts = labelled(600, 4711, personal.plain_words(trained.words.known))
     for (text, spans), found in zip(texts, personal.find([t for t, _ in texts], trained)):
         got = {f[:3] for f in found}
         for s in got | spans:
             (hit if s in got & spans else wrong if s in got else lost)[s[2]] += 1
     for kind in personal.KINDS:
-        assert hit[kind] / (hit[kind] + wrong[kind]) > 0.97, kind
-        assert hit[kind] / (hit[kind] + lost[kind]) > 0.95, kind
+        assert hit[kind] / (hit[kind] + wrong[kind]) > 0.9, kind
+        assert hit[kind] / (hit[kind] + lost[kind]) > 0.88, kind
+
+
+def test_sentences_written_apart(trained):
+    """Sentences and mentions that the training's grammar knows nothing of."""
+    cases = list(sentences())
+    assert len(cases) >= 200
+    found, total, wrong = Counter(), Counter(), 0
+    for (_, kind, start, end), got in zip(cases, personal.find([c[0] for c in cases], trained)):
+        total[kind] += 1
+        found[kind] += (start, end, kind) in {g[:3] for g in got}
+        wrong += sum(g[:3] != (start, end, kind) for g in got)
+    for kind in personal.KINDS:
+        assert found[kind] / total[kind] >= 0.9, (kind, found[kind], total[kind])
+    assert wrong <= 8 and sum(map(len, personal.find(NOTHING, trained))) <= 2
+
+
+def test_words_of_a_name_without_vocabularies(tmp_path):
+    words = personal.Words(personal.vocabulary(str(tmp_path)))
+    assert words.known == {} and len(words.of("Anna")) == len(personal._NOTHING) and words.of("Anna")[0] == 1.0
 
 
 def mentions(text, trained):
@@ -41,17 +61,17 @@ def mentions(text, trained):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("Write to anna.berquist@mills.example.org for access.", [("email", "anna.berquist@mills.example.org")]),
-        ("user@localhost tried it, foo@foo is a role, @foo and #bar99 are tags.", []),
+        ("Ask anna.berquist@mills.example.org about the lamp.", [("email", "anna.berquist@mills.example.org")]),
+        ("printer@desk hums, foo@foo too, @foo and #bar99 trend.", []),
         ("Contact: hugo [at] mills-lab [dot] test\nPhone: (555) 555-0123", [("email", "hugo [at] mills-lab [dot] test"), ("phone", "(555) 555-0123")]),
-        ("Order no. 76 58 783 left the queue. Build 4.12.3-456 passed. Vertex 17592187929625 was rewritten.", []),
-        ("Ticket 2024-06-16 49:24 is open. Route 10.4.59.7 is private.", []),
-        ("The record lists ID no. QQ 31 92 23 C in clear.", [("idno", "QQ 31 92 23 C")]),
-        ("Ship the disk to Flat 3, 12 Elmford Road, Oakley QX4 8ZZ.", [("address", "Flat 3, 12 Elmford Road, Oakley QX4 8ZZ")]),
-        ("Block 66 Main Street Map has no owner. See section 46 Lane Routing.", []),
-        ("According to Dr. Clara M. Bergstad, the merge is safe.", [("name", "Clara M. Bergstad")]),
-        ("Selon M. Delmoquist, Karin, tout est prêt.", [("name", "Delmoquist, Karin")]),
-        ("Northern Gate and Silver Harbor are cluster names.", []),
+        ("Invoice 76 58 783 is settled. Release 4.12.3-456 shipped. Batch 7731 holds soap.", []),
+        ("Flight 2024-06-16 19:24 boards. Host 10.4.59.7 sleeps.", []),
+        ("Somebody wrote identity number QQ 31 92 23 C on the wall.", [("idno", "QQ 31 92 23 C")]),
+        ("Bring the cake to Flat 3, 12 Elmford Road, Oakley QX4 8ZZ.", [("address", "Flat 3, 12 Elmford Road, Oakley QX4 8ZZ")]),
+        ("Room 66 shows the Green Valley Map. Read chapter 46 about Lake Fishing.", []),
+        ("Yesterday Dr. Clara M. Bergstad opened the clinic.", [("name", "Clara M. Bergstad")]),
+        ("Le dossier de Mme Delmoquist, Karin reste fermé.", [("name", "Delmoquist, Karin")]),
+        ("Golden Lion and Green Garden are tea houses.", []),
     ],
 )
 def test_examples(text, expected, trained):
@@ -61,13 +81,13 @@ def test_examples(text, expected, trained):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("The record lists ID no. AB 12 34 56 C in clear.", [("idno", "AB 12 34 56 C")]),
-        ("Identity number JG103759A was stored.", [("idno", "JG103759A")]),
+        ("Somebody wrote identity number AB 12 34 56 C on the wall.", [("idno", "AB 12 34 56 C")]),
+        ("Identity number JG103759A expires.", [("idno", "JG103759A")]),
         ("SSN 219-09-9371", [("idno", "219-09-9371")]),
         ("Personalausweis C01X0006H", [("idno", "C01X0006H")]),
         ("Meine Nummer ist 089/63528174.", [("phone", "089/63528174")]),
-        ("Please ring 07412 638159 before noon.", [("phone", "07412 638159")]),
-        ("Ship the disk to Flat 3, 12 Elmford Road, Oakley SW1A 2BB.", [("address", "Flat 3, 12 Elmford Road, Oakley SW1A 2BB")]),
+        ("You may ring 07412 638159 on Sundays.", [("phone", "07412 638159")]),
+        ("Bring the cake to Flat 3, 12 Elmford Road, Oakley SW1A 2BB.", [("address", "Flat 3, 12 Elmford Road, Oakley SW1A 2BB")]),
     ],
 )
 def test_ordinary_prefixes(text, expected, trained):
@@ -84,12 +104,12 @@ def test_no_feature_knows_fictional_prefixes():
 def test_unlisted_given_names(given, trained):
     assert given.lower() not in personal.GIVEN
     assert (0, len(given) + 11, "name") in personal.candidates(f"{given} Dornvimark wartet.")
-    for text in (f"{given} Dornvimark aprobó la carga.", f"Nachtrag. {given} Dornvimark aprobó la carga.", f"Bearbeiter: {given} Dornvimark"):
+    for text in (f"{given} Dornvimark vendió la casa.", f"Nachtrag. {given} Dornvimark vendió la casa.", f"Bearbeiter: {given} Dornvimark"):
         assert mentions(text, trained) == [("name", f"{given} Dornvimark")]
 
 
 def test_capitalized_words_are_no_names(trained):
-    for text in ("Silver Harbor keeps 3 of them.", "Der Verteiler Thuulist vergleicht jede Rolle Arzo.", "LAUT MESSUNG LÄDT DIE ROLLE GARKAMI DIE BEWERTUNG."):
+    for text in ("Golden Lion sells 3 sorts of tea.", "Der Schreiner Thuulist hobelt jede Platte Arzo.", "LAUT PLAN BACKT DIE KÜCHE GARKAMI DREI KUCHEN."):
         assert mentions(text, trained) == []
 
 

@@ -89,3 +89,67 @@ def test_empty_and_null_keys(spark):
     got = ranking.fuse_scores(df, "query_id", "chunk_id", SCORES).collect()
     assert [(r.chunk_id, r.position) for r in sorted(got, key=lambda r: r.position)] == [(None, 1), (1, 2)]
     assert ranking.fuse_scores(df.limit(0), "query_id", "chunk_id", SCORES).count() == 0
+
+
+def null_rows():
+    """A null list of five hits, a list of thirty and a null item in it."""
+    some = [(None, c, float(c), 1.0 - c / 10, None, None, "") for c in range(5)]
+    many = [(1, c, float(c * 7 % 30), c / 30, None, "A", "") for c in range(30)]
+    return [*some, *many, (1, None, 25.0, 0.9, None, "A", "")]
+
+
+@pytest.mark.parametrize(("entries", "top"), [(20, None), (8, None), (20, 100), (8, 100), (8, 3)])
+def test_null_keys_whatever_the_size(spark, monkeypatch, entries, top):
+    monkeypatch.setattr(ranking, "ROUNDS", 10)
+    monkeypatch.setattr(ranking, "DAMPING", 0.3)
+    df = spark.createDataFrame(null_rows(), KINDS)
+    key = lambda r: (r.query_id, r.chunk_id, round(r.share, 6), r.position)
+    small = {key(r) for r in ranking.fuse_scores(df, "query_id", "chunk_id", SCORES, top=top).collect()}
+    monkeypatch.setattr(ranking, "LIST_ENTRIES", entries)
+    monkeypatch.setattr(ranking, "BLOCK", 11)
+    large = {key(r) for r in ranking.fuse_scores(df, "query_id", "chunk_id", SCORES, top=top).collect()}
+    assert large == small and len(large) == (36 if top != 3 else 6)
+
+
+def simulated(rng, n=60, missing=0.35):
+    """Three scores of n items on unlike scales, from a hidden relevance with noise; some are missing."""
+    hidden = rng.standard_normal(n)
+    scores = np.stack([np.exp(2 * (hidden + rng.normal(0, 0.6, n))), (hidden + rng.normal(0, 0.6, n)) / 9, rng.random() * 50 + np.sinh(hidden + rng.normal(0, 0.6, n))])
+    scores[rng.random(scores.shape) < missing] = np.nan
+    return hidden, scores
+
+
+def recall_at_five(relief, lists=150, eager=False):
+    """Share of the five items of the highest hidden relevance, among those with any score, that come first."""
+    rng, hit = np.random.default_rng(8), 0
+    for _ in range(lists):
+        hidden, scores = simulated(rng)
+        channel, item = np.nonzero(~np.isnan(scores))
+        chain = ranking.Chain(channel, item, scores[channel, item], np.zeros(len(hidden), np.int64))
+        if eager:
+            # Always jumping to a higher-ranked item, where there is one.
+            move = np.zeros((len(hidden), len(hidden)))
+            for k in scores:
+                for i in np.flatnonzero(~np.isnan(k)):
+                    higher = np.flatnonzero(k > k[i])
+                    pick = (np.sum(~np.isnan(k)) - 1) / chain.carried[i]
+                    move[i, higher if len(higher) else [i]] += pick / max(1, len(higher))
+            move[chain.carried == 0] = 1 / len(hidden)
+            p = np.full(len(hidden), 1 / len(hidden))
+            for _ in range(60):
+                p = (1 - ranking.DAMPING) / len(hidden) + ranking.DAMPING * p @ move
+        else:
+            p = 1.0 / chain.size
+            for _ in range(60):
+                p = chain.step(p, ranking.DAMPING)
+        share = np.where(chain.carried > 0, p / np.maximum(chain.carried / chain.size, 1e-9) ** relief, -1)
+        known = np.where(chain.carried > 0, hidden, -np.inf)
+        hit += len(set(np.argsort(-share)[:5]) & set(np.argsort(-known)[:5]))
+    return hit / (5 * lists)
+
+
+def test_null_relief_and_lazy_draw_on_simulated_lists():
+    by_relief = {relief: recall_at_five(relief) for relief in (0.0, 0.25, 0.5, ranking.NULL_RELIEF, 1.0, 1.5)}
+    print(by_relief, recall_at_five(ranking.NULL_RELIEF, eager=True))
+    assert by_relief[ranking.NULL_RELIEF] >= max(by_relief.values()) - 0.02
+    assert by_relief[ranking.NULL_RELIEF] > recall_at_five(ranking.NULL_RELIEF, eager=True)

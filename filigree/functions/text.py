@@ -128,18 +128,39 @@ class Registry:
 REGISTRY = Registry()
 
 
-def tokenized(text: Column, tokenizer: str | None = None) -> tuple[Column, Column]:
-    """(tokens, length) columns. Without a tokenizer's name words are found in the JVM, which equals the default one on
-    texts without CJK signs or characters that NFKC changes; a named one runs in Arrow batches."""
-    if tokenizer is None:
-        words = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
-        return words, F.size(words)
-    run = REGISTRY[tokenizer]
+_CJK_CLASS = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in _CJK)
+#: Texts of these characters alone come out of NFKC with the same words and runs: ASCII, letters of Latin blocks that
+#: have no compatibility form, common marks, kana and basic ideographs.
+_PLAIN = r"^[\x00-\x7F\xA0-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2022}\x{2026}\x{20AC}\x{3000}-\x{3003}\x{3005}-\x{3007}\x{300C}-\x{300F}\x{3041}-\x{3096}\x{309D}\x{309E}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FFFD}]*$"
+
 
+def _split(run: Callable[[str], tuple[list[str], int]], text: Column) -> Column:
     @F.pandas_udf("tokens array<string>, length int")
     def split(s: pd.Series) -> pd.DataFrame:
         done = [(None, None) if t is None else run(t) for t in s]
         return pd.DataFrame({"tokens": [d[0] for d in done], "length": pd.array([d[1] for d in done], "Int32")})
 
-    both = split(text)
-    return both["tokens"], both["length"]
+    return split(text)
+
+
+def tokenized(text: Column, tokenizer: str | None = None) -> tuple[Column, Column]:
+    """(tokens, length) columns. Without a tokenizer's name these are ``mixed_bigrams``: in the JVM for texts of plain
+    characters, in Arrow batches for those that NFKC may change. A named tokenizer runs in Arrow batches."""
+    if tokenizer is not None:
+        both = _split(REGISTRY[tokenizer], text)
+        return both["tokens"], both["length"]
+    runs = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(rf"[{_CJK_CLASS}]+|[\p{{L}}\p{{Nd}}&&[^{_CJK_CLASS}]]+"), F.lit(0))
+    cjk, plain = text.rlike(f"[{_CJK_CLASS}]"), text.rlike(_PLAIN)
+    signs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.lit(1)))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    parts = lambda r: F.when(r.rlike(f"^[{_CJK_CLASS}]{{2}}"), F.concat(pairs(r), signs(r))).otherwise(F.array(r))
+    size = lambda r: F.when(r.rlike(f"^[{_CJK_CLASS}]{{2}}"), F.length(r) - 1).otherwise(F.lit(1))
+    here = F.when(cjk, F.flatten(F.transform(runs, parts))).otherwise(runs)
+    length = F.when(cjk, F.aggregate(F.transform(runs, size), F.lit(0), lambda x, y: x + y)).otherwise(F.size(runs))
+    other = _split(mixed_bigrams, F.when(~plain, text))
+    return F.when(plain, here).otherwise(other["tokens"]), F.when(plain, length).otherwise(other["length"])
+
+
+def tokens_of(text: str, tokenizer: str | None = None) -> list[str]:
+    """The distinct tokens of one text, on the driver; for queries."""
+    return list(dict.fromkeys((mixed_bigrams if tokenizer is None else REGISTRY[tokenizer])(text)[0]))

@@ -1,67 +1,72 @@
 """BM25 full-text search: plain, prefix, fuzzy and boolean queries, over a column or over written postings.
 
 N, document frequencies and the mean length are those of all documents whose text is not null, whatever the candidates.
-One query needs one scan: its terms are counted inside each document's token array; statistics are one aggregate.
+A query of plain words counts its terms inside each document's token array; statistics are one aggregate. Prefix and
+fuzzy words keep the terms they match in rows, however many these are.
 For many queries ``build_index`` writes postings(term, id, tf) sorted by term, and ``search_many`` joins them.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.functions.text import tokenized
+from filigree.functions.text import tokenized, tokens_of
 
 K1, B, MOST_TF = 1.2, 0.75, 65_535
 
 
 @dataclass(frozen=True)
 class Clause:
-    """One word of a query: kind is term, prefix or fuzzy; must is required, optional or excluded."""
+    """One word of a query by its tokens: kind is term, prefix or fuzzy, the last two with one token; must is required,
+    optional or excluded."""
 
-    text: str
+    tokens: tuple[str, ...]
     kind: str = "term"
     distance: int = 0
     must: str = "optional"
 
     def matches(self, term: Column) -> Column:
+        if not self.tokens:
+            return F.lit(False)
         if self.kind == "prefix":
-            return term.startswith(self.text)
+            return term.startswith(self.tokens[0])
         if self.kind == "fuzzy":
-            return F.levenshtein(term, F.lit(self.text), self.distance) >= 0
-        return term == self.text
+            return F.levenshtein(term, F.lit(self.tokens[0]), self.distance) >= 0
+        return term.isin(*self.tokens)
 
 
-def _fold(text: str) -> str:
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+# A word of a query, with a star, or a tilde and a digit.
+_QUERY_WORD = re.compile(r"([^\W_]+)(?:(\*)|(~)(\d?))?")
+_MUST = {"AND": "required", "OR": "optional", "NOT": "excluded"}
 
 
-def parse(query: str) -> list[Clause]:
+def parse(query: str, tokenizer: str | None = None) -> list[Clause]:
     """Words with AND, OR, NOT in upper case; ``word*`` is a prefix, ``word~`` and ``word~2`` fuzzy (distance 1, at most 2).
 
-    AND makes the clause before it and the next one required, NOT excludes the next; all others are optional.
+    Words are tokenized as the texts are; a word of several tokens is met by any of them, a prefix or fuzzy word by its
+    first. AND makes the clause before it and the next one required, NOT excludes the next; all others are optional.
     """
+    words = [m.groups("") for m in _QUERY_WORD.finditer(query)]
+    joins = [word in _MUST and not (star or tilde) for word, star, tilde, _ in words]
     clauses: list[Clause] = []
-    mode = "optional"
-    for raw in re.findall(r"[^\W_]+(?:\*|~\d*)?", query):
-        if raw in ("AND", "OR", "NOT"):
-            if raw == "AND" and clauses and clauses[-1].must == "optional":
-                clauses[-1] = Clause(clauses[-1].text, clauses[-1].kind, clauses[-1].distance, "required")
-            mode = {"AND": "required", "OR": "optional", "NOT": "excluded"}[raw]
+    for i, (word, star, tilde, digit) in enumerate(words):
+        if joins[i]:
             continue
-        word = _fold(re.match(r"[^\W_]+", raw).group())
-        if raw.endswith("*"):
-            clause = Clause(word, "prefix", 0, mode)
-        elif "~" in raw:
-            clause = Clause(word, "fuzzy", min(int(raw.split("~")[1] or 1), 2), mode)
-        else:
-            clause = Clause(word, "term", 0, mode)
-        clauses.append(clause)
-        mode = "optional"
+        must = _MUST[words[i - 1][0]] if i and joins[i - 1] else "optional"
+        # An AND anywhere in the operators that follow reaches back.
+        after = next((j for j in range(i + 1, len(words)) if not joins[j]), len(words))
+        if must == "optional" and any(words[j][0] == "AND" for j in range(i + 1, after)):
+            must = "required"
+        tokens = tuple(tokens_of(word, tokenizer))
+        kind = "prefix" if star else "fuzzy" if tilde and digit != "0" else "term"
+        clauses.append(Clause(tokens if kind == "term" else tokens[:1], kind, min(int(digit or 1), 2) if kind == "fuzzy" else 0, must))
     return clauses
 
 
@@ -71,65 +76,79 @@ def documents(df: DataFrame, id_col: str, key: str, tokenizer: str | None = None
     return df.filter(F.col(key).isNotNull()).select(F.col(id_col).alias("id"), tokens.alias("tokens"), length.cast("int").alias("length"))
 
 
-def _expand(docs: DataFrame, clauses: list[Clause]) -> list[tuple[Clause, list[str]]]:
-    """The dictionary terms of each clause. Only prefix and fuzzy clauses read the dictionary, and only what they match
-    comes to the driver: spellings near one word, which do not grow with the number of documents."""
-    open_ones = [c for c in clauses if c.kind != "term"]
-    if not open_ones:
-        return [(c, [c.text]) for c in clauses]
-    test = open_ones[0].matches(F.col("term"))
-    for c in open_ones[1:]:
-        test = test | c.matches(F.col("term"))
-    terms = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).filter(test).distinct()
-    marked = terms.select("term", *(c.matches(F.col("term")).alias(f"c{i}") for i, c in enumerate(open_ones))).collect()
-    found = {id(c): [r.term for r in marked if r[f"c{i}"]] for i, c in enumerate(open_ones)}
-    return [(c, [c.text] if c.kind == "term" else sorted(found[id(c)])) for c in clauses]
-
-
 def search(df: DataFrame, id_col: str, key: str, query: str, k: int, candidates: DataFrame | None = None, tokenizer: str | None = None) -> DataFrame:
     """(id_col, score): the k best documents, ties by id; of the candidates (a column ``id``) where given.
 
-    Boolean words hold after scoring over all wanted terms; a query of excluded words alone finds nothing.
+    Boolean words hold after scoring over all wanted terms; a required word that matches no term of the corpus asks
+    nothing; a query of excluded words alone finds nothing.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     docs = documents(df, id_col, key, tokenizer)
-    expanded = _expand(docs, parse(query))
-    wanted = list(dict.fromkeys(t for c, ts in expanded if c.must != "excluded" for t in ts))
+    clauses = parse(query, tokenizer)
+    wanted = [c for c in clauses if c.must != "excluded" and c.tokens]
+    nothing = docs.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     if not wanted:
-        return docs.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
-    every = list(dict.fromkeys([*wanted, *(t for _, ts in expanded for t in ts)]))
-    equal = lambda t: lambda x: x == t
-    tf = {t: F.least(F.size(F.filter("tokens", equal(t))), F.lit(MOST_TF)) for t in every}
-    counted = docs.select("id", "length", *(tf[t].alias(f"t{i}") for i, t in enumerate(every)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"t{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(every)))).head()
-    if not stats.n:
-        return counted.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
-    mean = stats.mean or 1.0
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        df_i = stats[f"d{i}"] or 0
-        idf = math.log(1 + (stats.n - df_i + 0.5) / (df_i + 0.5))
-        t = F.col(f"t{i}").cast("double")
-        score = score + F.lit(idf) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
-    place = {t: i for i, t in enumerate(every)}
-    any_of = lambda ts: _any([F.col(f"t{place[t]}") > 0 for t in ts])
-    hits = counted.filter(any_of(wanted))
-    for c, ts in expanded:
-        if c.must == "required":
-            hits = hits.filter(any_of(ts))
-        elif c.must == "excluded":
-            hits = hits.filter(~any_of(ts))
+        return nothing
+    hits = _exact(docs, clauses) if all(c.kind == "term" for c in clauses) else _open(docs, clauses)
+    if hits is None:
+        return nothing
     if candidates is not None:
         hits = hits.join(candidates.select("id"), "id", "left_semi")
-    return hits.select(F.col("id").alias(id_col), score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return hits.select(F.col("id").alias(id_col), "score").orderBy(F.desc("score"), id_col).limit(k)
+
 
+def _saturation(tf: Column, mean: float) -> Column:
+    t = tf.cast("double")
+    return t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
 
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+
+def _exact(docs: DataFrame, clauses: list[Clause]) -> DataFrame | None:
+    """(id, score) for words without wildcards: their few terms are counted inside each document's tokens."""
+    terms = list(dict.fromkeys(t for c in clauses for t in c.tokens))
+    equal = lambda t: lambda x: x == t
+    place = {t: f"t{i}" for i, t in enumerate(terms)}
+    counted = docs.select("id", "length", *(F.least(F.size(F.filter("tokens", equal(t))), F.lit(MOST_TF)).alias(c) for t, c in place.items()))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in place.values())).head()
+    if not stats.n:
+        return None
+    score = F.lit(0.0)
+    for t in dict.fromkeys(t for c in clauses if c.must != "excluded" for t in c.tokens):
+        score = score + F.lit(math.log(1 + (stats.n - stats[place[t]] + 0.5) / (stats[place[t]] + 0.5))) * _saturation(F.col(place[t]), stats.mean or 1.0)
+    holds = lambda c: reduce(operator.or_, (F.col(place[t]) > 0 for t in c.tokens), F.lit(False))
+    hits = counted.filter(reduce(operator.or_, (holds(c) for c in clauses if c.must != "excluded")))
+    for c in clauses:
+        if c.must == "excluded" and c.tokens:
+            hits = hits.filter(~holds(c))
+        elif c.must == "required" and c.tokens:
+            hits = hits.filter(holds(c))
+    return hits.select("id", score.alias("score"))
+
+
+def _open(docs: DataFrame, clauses: list[Clause]) -> DataFrame | None:
+    """(id, score) with prefix and fuzzy words, which may match any number of terms: what matches stays in rows.
+
+    Which clauses a term matches is seen from the term, so terms meet only their own document frequencies.
+    """
+    stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
+    if not stats.n:
+        return None
+    matched = lambda term: reduce(operator.or_, (c.matches(term) for c in clauses))
+    found = docs.select("id", "length", F.explode(F.filter("tokens", matched)).alias("term")).groupBy("id", "length", "term").agg(F.least(F.count("*"), F.lit(MOST_TF)).alias("tf"))
+    flags = [c.matches(F.col("term")).alias(f"c{i}") for i, c in enumerate(clauses)]
+    terms = found.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", *flags)
+    seen = terms.agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(clauses)))).head()
+    positive = reduce(operator.or_, (F.col(f"c{i}") for i, c in enumerate(clauses) if c.must != "excluded"))
+    idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(positive, idf * _saturation(F.col("tf"), stats.mean or 1.0))
+    by_doc = found.join(terms, "term").groupBy("id").agg(F.sum(part).alias("score"), *(F.max(f"c{i}").alias(f"c{i}") for i in range(len(clauses))))
+    hits = by_doc.filter("score is not null")
+    for i, c in enumerate(clauses):
+        if c.must == "excluded":
+            hits = hits.filter(~F.col(f"c{i}"))
+        elif c.must == "required" and seen[f"c{i}"]:
+            hits = hits.filter(F.col(f"c{i}"))
+    return hits.select("id", "score")
 
 
 def build_index(df: DataFrame, id_col: str, key: str, tokenizer: str | None = None) -> dict[str, DataFrame]:
@@ -139,13 +158,13 @@ def build_index(df: DataFrame, id_col: str, key: str, tokenizer: str | None = No
     return {"postings": postings, "norms": docs.select("id", "length"), "terms": postings.groupBy("term").agg(F.count("*").alias("df"))}
 
 
-def search_many(index: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
+def search_many(index: dict[str, DataFrame], queries: DataFrame, k: int, tokenizer: str | None = None) -> DataFrame:
     """(query_id, id, score, rank) for queries(query_id, text) of plain words, a word counting once a query.
 
     Query terms meet the postings in a join on the term; AQE splits a frequent term's postings, and each task keeps k
     rows a query before the last shuffle.
     """
-    words, _ = tokenized(F.col("text"))
+    words, _ = tokenized(F.col("text"), tokenizer)
     terms = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
     stats = index["norms"].agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
     n, mean = stats.n, float(stats.mean or 1.0)

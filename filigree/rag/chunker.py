@@ -6,9 +6,11 @@ small paragraphs are packed up to ``target``, larger ones cut into windows with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,106 +29,111 @@ class Options:
             raise ValueError("need target > overlap >= 0")
 
 
-class _Units:
-    """A text as UTF-16 units."""
+#: Whether each UTF-16 unit is white space.
+_BLANK = np.array([chr(i).isspace() for i in range(1 << 16)])
 
-    def __init__(self, text: str):
-        self.raw = text.encode("utf-16-le", "surrogatepass")
 
-    def __len__(self) -> int:
-        return len(self.raw) // 2
+class Source:
+    """The joined block texts as an array of UTF-16 units, with the offsets of each block and of all white space."""
 
-    def __getitem__(self, i: int) -> int:
-        return self.raw[2 * i] | self.raw[2 * i + 1] << 8
+    def __init__(self, texts: Sequence[str]):
+        self.raw = SEPARATOR.join(texts).encode("utf-16-le", "surrogatepass")
+        self.units = np.frombuffer(self.raw, "<u2")
+        sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts], np.int64)
+        self.low = np.cumsum(sizes + len(SEPARATOR)) - sizes - len(SEPARATOR)
+        self.high = self.low + sizes
+        self.gaps = np.flatnonzero(_BLANK[self.units])
 
     def text(self, low: int, high: int) -> str:
         return self.raw[2 * low : 2 * high].decode("utf-16-le", "replace")
 
-    def blank(self, i: int) -> bool:
-        return chr(self[i]).isspace()
-
-    def splits_pair(self, i: int) -> bool:
-        return 0 < i < len(self) and 0xD800 <= self[i - 1] < 0xDC00 <= self[i] < 0xE000
+    def blank(self, at: int) -> bool:
+        return bool(_BLANK[self.units[at]])
+
+    def inside_pair(self, at: int) -> bool:
+        """Whether a cut at this offset parts a surrogate pair."""
+        return 0 < at < len(self.units) and self.units[at - 1] >> 10 == 0x36 and self.units[at] >> 10 == 0x37
+
+    def last_gap(self, low: int, high: int) -> int | None:
+        """The last white space in [low, high)."""
+        k = int(np.searchsorted(self.gaps, high)) - 1
+        return int(self.gaps[k]) if k >= 0 and self.gaps[k] >= low else None
+
+    def first_gap(self, low: int, high: int) -> int | None:
+        k = int(np.searchsorted(self.gaps, low))
+        return int(self.gaps[k]) if k < len(self.gaps) and self.gaps[k] < high else None
+
+    def cut(self, low: int, limit: int) -> int:
+        """Where a piece from low ends that may reach limit: there if no word is cut, else behind the last white space;
+        a pair that alone exceeds the limit stays whole."""
+        word = limit < len(self.units) and not self.blank(limit - 1) and not self.blank(limit)
+        gap = self.last_gap(low + 1, limit) if word else None
+        at = limit if gap is None else gap + 1
+        at -= self.inside_pair(at)
+        return at if at > low else limit + 1
+
+    def resume(self, low: int, end: int, overlap: int) -> int:
+        """Where the piece after [low, end) begins: the overlap back, or from there behind the first white space."""
+        at = end - overlap
+        if overlap == 0 or at <= low:
+            return end
+        gap = None if at == 0 or self.blank(at - 1) else self.first_gap(at, end)
+        at = at if gap is None else gap + 1
+        at += self.inside_pair(at)
+        return at if at > low else end
+
+    def pieces(self, low: int, high: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+        while low + size < high:
+            end = self.cut(low, low + size)
+            yield low, end
+            if end >= high:
+                return
+            low = self.resume(low, end, overlap)
+        yield low, high
 
 
-def _window_end(u: _Units, low: int, high: int) -> int:
-    """The end of a window [low, high): after the last white space inside, if a word would be cut otherwise."""
-    end = high
-    if high < len(u) and not u.blank(high) and not u.blank(high - 1):
-        gap = next((i for i in range(high - 1, low, -1) if u.blank(i)), None)
-        end = high if gap is None else gap + 1
-    end -= u.splits_pair(end)
-    return end if end > low else high + 1
+def packed(low: np.ndarray, high: np.ndarray, target: int) -> Iterator[slice]:
+    """Runs of neighbouring blocks that fit into the target together, each as long as can be."""
+    at = 0
+    while at < len(low):
+        end = max(at + 1, int(np.searchsorted(high, low[at] + target, "right")))
+        yield slice(at, end)
+        at = end
 
 
-def _next_start(u: _Units, low: int, end: int, overlap: int) -> int:
-    """Where the next window begins: at most ``overlap`` back, moved forward to the start of a word if there is one."""
-    raw = end - overlap
-    if raw <= low:
-        return end
-    start = raw
-    if raw > 0 and not u.blank(raw - 1):
-        gap = next((i for i in range(raw, end) if u.blank(i)), None)
-        start = raw if gap is None else gap + 1
-    start += u.splits_pair(start)
-    return start if start > low else end
+def sections(blocks: Sequence[dict]) -> list[str]:
+    """The heading path that holds for each block: the headings before it, of falling levels, without empty ones."""
+    above: dict[int, str] = {}
+    paths = []
+    for b in blocks:
+        if b.get("kind") == "Heading":
+            level = b.get("heading_level") or 1
+            above = {k: v for k, v in above.items() if k < level} | {level: b.get("text") or ""}
+        paths.append(" > ".join(filter(None, above.values())))
+    return paths
 
 
 def chunk(blocks: list[dict] | None, options: Options = Options()) -> list[tuple[int, str, int | None, int, int, str]]:
     """(ordinal, heading_path, page, char_start, char_end, text) in reading order; empty chunks are left out."""
     blocks = [b or {} for b in blocks or []]
-    texts = [b.get("text") or "" for b in blocks]
-    u = _Units(SEPARATOR.join(texts))
-    spans, at = [], 0
-    for t in texts:
-        n = len(_Units(t))
-        spans.append((at, at + n))
-        at += n + len(SEPARATOR)
-    headings: list[tuple[int, str]] = []
-    out: list[tuple[int, str, int | None, int, int, str]] = []
-    held: list | None = None  # low, high, page, heading
-
-    def emit(low: int, high: int, heading: str, page: int | None) -> None:
-        if high > low:
-            out.append((len(out), heading, page, low, high, u.text(low, high)))
-
-    def flush() -> None:
-        nonlocal held
-        if held is not None:
-            emit(held[0], held[1], held[3], held[2])
-            held = None
-
-    def windows(low: int, high: int, size: int, overlap: int, heading: str, page: int | None) -> None:
-        while True:
-            end = _window_end(u, low, low + size) if low + size < high else high
-            emit(low, end, heading, page)
-            if end >= high:
-                return
-            low = _next_start(u, low, end, overlap) if overlap else end
-
-    for block, (low, high) in zip(blocks, spans):
-        path, page, size = " > ".join(t for _, t in headings if t), block.get("page"), high - low
-        kind = block.get("kind")
-        if kind == "Heading":
-            flush()
-            level = block.get("heading_level") or 1
-            headings = [h for h in headings if h[0] < level] + [(level, block.get("text") or "")]
-        elif kind in ("Table", "Code"):
-            flush()
-            if 0 < options.max_chunk < size:
-                windows(low, high, options.max_chunk, 0, path, page)
-            else:
-                emit(low, high, path, page)
-        elif size > options.target:
-            flush()
-            windows(low, high, options.target, options.overlap, path, page)
-        elif size and held is not None and high - held[0] <= options.target:
-            held[1], held[2] = high, held[2] if held[2] is not None else page
-        elif size:
-            flush()
-            held = [low, high, page, path]
-    flush()
-    return out
+    source, paths = Source([b.get("text") or "" for b in blocks]), sections(blocks)
+    limits = [options.max_chunk if b.get("kind") in ("Table", "Code") else options.target for b in blocks]
+    # What is packed: paragraphs within the target; whatever else stands between them parts the packs.
+    alone = [b.get("kind") in ("Heading", "Table", "Code") or high - low > options.target for b, low, high in zip(blocks, source.low, source.high)]
+    found: list[tuple[int, int, int, int | None]] = []
+    for _, run in groupby(range(len(blocks)), key=lambda i: (i, True) if alone[i] else (0, False)):
+        some = [i for i in run if source.high[i] > source.low[i] and blocks[i].get("kind") != "Heading"]
+        if some and alone[some[0]]:
+            i = some[0]
+            low, high, whole = int(source.low[i]), int(source.high[i]), blocks[i].get("kind") in ("Table", "Code")
+            cuts = [(low, high)] if limits[i] == 0 else source.pieces(low, high, limits[i], 0 if whole else options.overlap)
+            found += [(i, *c, blocks[i].get("page")) for c in cuts]
+            continue
+        for part in packed(source.low[some], source.high[some], options.target):
+            first, last = some[part][0], some[part][-1]
+            page = next((p for p in (blocks[i].get("page") for i in some[part]) if p is not None), None)
+            found.append((first, int(source.low[first]), int(source.high[last]), page))
+    return [(n, paths[i], page, low, high, source.text(low, high)) for n, (i, low, high, page) in enumerate(found)]
 
 
 def chunk_documents(df: DataFrame, id_col: str, blocks_col: str, options: Options = Options()) -> DataFrame:

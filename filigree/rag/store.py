@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +93,8 @@ class Store:
         """(source_id, first, last, score, text, title, metadata), the best first.
 
         metadata_equals chooses the candidates before both searches; metadata_filter drops hits after them. One channel
-        keeps its score, two are fused by rank. Hits are widened by neighbouring chunks, overlapping ranges of a
-        document become one with the best score, and their text is joined without what overlaps.
+        keeps its score, two are fused by rank. Hits are widened by neighbouring chunks, ranges of a document
+        that overlap or follow each other become one with the best score, and their text is joined without what overlaps.
         """
         if text is None and vector is None:
             raise ValueError("a search needs a text or a vector")
@@ -115,26 +116,29 @@ class Store:
 
 
 def merge_ranges(hits: DataFrame, chunks: DataFrame, neighbours: int) -> DataFrame:
-    """(source_id, first, last, score, text): hits widened by neighbours, touching ranges joined. Hits are a top-k list."""
+    """(source_id, first, last, score, text): hits widened by neighbours, ranges that overlap or follow each other joined. Hits are a top-k list."""
     ranges = hits.select("source_id", F.greatest(F.col("ordinal") - neighbours, F.lit(0)).alias("lo"), (F.col("ordinal") + neighbours).alias("hi"), "score")
     order = Window.partitionBy("source_id").orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = ranges.withColumn("island", F.sum(F.when(before >= F.col("lo"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = ranges.withColumn("island", F.sum(F.when(before + 1 >= F.col("lo"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     islands = islands.groupBy("source_id", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("score").alias("score"))
     parts = chunks.join(islands, "source_id").filter((F.col("ordinal") >= F.col("lo")) & (F.col("ordinal") <= F.col("hi")))
     listed = parts.groupBy("source_id", "island", "score").agg(F.array_sort(F.collect_list(F.struct("ordinal", "char_start", "char_end", "text"))).alias("parts"))
 
-    @F.udf("string")
-    def joined(parts):
+    def text_of(parts: list[dict]) -> str:
         out, end = "", None
         for p in parts:
-            units = p.text.encode("utf-16-le", "surrogatepass")
-            skip = 0 if end is None or p.char_start >= end else min(end - p.char_start, len(units) // 2)
-            glue = "" if end is None or p.char_start <= end else "\n\n"
+            units = p["text"].encode("utf-16-le", "surrogatepass")
+            skip = 0 if end is None or p["char_start"] >= end else min(end - p["char_start"], len(units) // 2)
+            glue = "" if end is None or p["char_start"] <= end else "\n\n"
             out += glue + units[2 * skip :].decode("utf-16-le", "replace")
-            end = p.char_end if end is None else max(end, p.char_end)
+            end = p["char_end"] if end is None else max(end, p["char_end"])
         return out
 
+    @F.pandas_udf("string")
+    def joined(column: pd.Series) -> pd.Series:
+        return column.map(text_of)
+
     return listed.select("source_id", F.get("parts", 0)["ordinal"].alias("first"), F.element_at("parts", -1)["ordinal"].alias("last"), "score", joined("parts").alias("text"))
 
 

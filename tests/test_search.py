@@ -34,11 +34,27 @@ def test_boolean_prefix_fuzzy(spark):
         ft.search(d, "id", "text", "graph", 0)
 
 
+def test_queries_are_tokenized_like_texts(spark):
+    d = docs(spark, ["東京都庁の検索", "京都の検索", "Ｇraph ﬁle", "graph 東", "file"])
+    hit = lambda q, t=None: [r.id for r in ft.search(d, "id", "text", q, 10, tokenizer=t).collect()]
+    assert hit("東京都庁")[0] == 1 and sorted(hit("検索")) == [1, 2] and hit("庁") == [1] and sorted(hit("東")) == [1, 4]
+    assert hit("東京都庁", "mixed-bigram")[0] == 1 and sorted(hit("graph")) == [3, 4] and sorted(hit("ＦＩＬＥ")) == [3, 5]
+    assert hit("東京 AND 検索", "mixed-bigram") == [1] and hit("検索 NOT 東京", "mixed-bigram") == [2] and hit("zzz* AND 都庁") == [1, 2]
+    assert ft.parse("検索* 東京~")[0].tokens == ("検索",) and [c.kind for c in ft.parse("a* b~ c~0 d~9")] == ["prefix", "fuzzy", "term", "fuzzy"]
+    assert [c.must for c in ft.parse("a AND NOT b OR c AND d")] == ["required", "excluded", "required", "required"]
+
+
+def test_tokens_in_the_jvm_equal_the_tokenizer(spark):
+    texts = ["", " ", "東", "東京x1京", "a😀b ½ ﬁ", "e\u0301a", "ÀÖ ß İ", "ー々〇", "한국어 ok", "㈱ ＡＢ", "𠮷野家", None, "x" * 5000 + "都" * 3000]
+    got = {r.id: (sorted(r.tokens), r.length) for r in ft.documents(docs(spark, texts), "id", "text").collect()}
+    assert got == {i: (sorted(mixed_bigrams(t)[0]), mixed_bigrams(t)[1]) for i, t in enumerate(texts, 1) if t is not None}
+
+
 def test_tokenizers(spark):
     assert mixed_bigrams("Ｇraph 東京都 A1") == (["graph", "東京", "京都", "東", "京", "都", "a1"], 4)
     assert mixed_bigrams("都x", False) == (["都", "x"], 2) and mixed_bigrams("a😀b ½") == (["a", "b", "1", "2"], 4)
     assert normalize("  A\tＢ—c\x07 ") == "a b-c" and T.minimal("Äé") == "Äé"
-    assert T.variants()(["渡邉", "x"]) == ["渡邉", "渡辺", "渡邊", "x"] or "渡辺" in T.variants()(["渡邉"])
+    assert T.variants()(["渡邉", "x"]) == ["渡邉", "渡辺", "渡邊", "x"]
     REGISTRY.register("stop", lambda t: mixed_bigrams(t, False), T.stopwords(["the"]), T.lowercase)
     d = docs(spark, ["the 東京 graph", "京都 the"])
     assert [r.id for r in ft.search(d, "id", "text", "東京", 5, tokenizer="stop").collect()] == [1]
@@ -50,9 +66,9 @@ def test_knn(spark):
     d = spark.createDataFrame(rows, "id long, v array<float>")
     top = lambda m, k=9: [(r.id, round(r.score, 6)) for r in vs.top_k(d, "id", "v", [1.0, 0.0], k, m).collect()]
     assert top("cosine") == [(1, 1.0), (3, 1.0), (2, 0.0), (4, 0.0)] and top("dot", 1) == [(3, 2.0)]
-    assert top("euclidean", 2) == [(1, 0.0), (3, -1.0)] or top("euclidean", 2)[0] == (1, 0.0)
+    assert top("euclidean", 2) == [(1, 0.0), (3, -1.0)]
     batch = vs.batch_top_k(d, "id", "v", [(10, [1.0, 0.0]), (11, [0.0, 1.0])], 2).collect()
-    assert sorted((r.query_id, r.id, r["rank"]) for r in batch) == [(10, 1, 1), (10, 3, 2), (11, 1, 2), (11, 2, 1)] or (11, 2, 1) in {(r.query_id, r.id, r["rank"]) for r in batch}
+    assert sorted((r.query_id, r.id, r["rank"]) for r in batch) == [(10, 1, 1), (10, 3, 2), (11, 1, 2), (11, 2, 1)]
     assert [r.id for r in vs.apply_dyadic(d.filter("id < 5"), "id", "v", [1.0, 0.0], "distance", 1).collect()] == [2]
     with pytest.raises(Exception, match="NaN"):
         vs.apply_dyadic(d.filter("id < 5"), "id", "v", [1.0, 0.0], lambda a, b: a @ b * float("nan"), 1).collect()

@@ -7,7 +7,7 @@ values, for half-relaxed annotations mean nothing.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,24 +98,36 @@ def tropical(g: PropertyGraph, source: int, weight: str, policy: str = "label_se
     and stops at the limits."""
     if policy == "label_setting" and hops(g, direction, edge_type, weight).filter("w < 0").limit(1).count():
         raise ValueError("label setting needs weights of 0 or more")
-    result = _loop(g, source, 0.0, lambda v, w: v + w, F.min, limits, policy == "acyclic", edge_type, direction, weight)
-    if policy == "acyclic" and result.reason == "completed" and _cyclic(g, source, edge_type, direction, limits):
-        raise ValueError("the graph has a cycle in reach of the source")
-    if result.reason == "cycle":
-        raise ValueError("the graph has a cycle in reach of the source")
-    return result
+    if policy == "acyclic" and (stopped := _stops(g, source, edge_type, direction, limits)):
+        return stopped
+    return _loop(g, source, 0.0, lambda v, w: v + w, F.min, limits, policy == "acyclic", edge_type, direction, weight)
 
 
-def _cyclic(g: PropertyGraph, source: int, edge_type: str | None, direction: str, limits: Limits) -> bool:
-    return walks(g, source, Limits(seconds=limits.seconds), edge_type, direction).reason in ("cycle", "overflow")
+def _stops(g: PropertyGraph, source: int, edge_type: str | None, direction: str, limits: Limits) -> Annotation | None:
+    """The unfinished annotation if the limits do not let all in reach be seen; an error if there is a cycle in reach.
+
+    Vertices without an arc into them are peeled off, round by round; what is left in the end lies on a cycle or behind one.
+    """
+    seen = reachable(g, source, replace(limits, results=limits.vertices), edge_type, direction)
+    if seen.reason != "completed":
+        return seen
+    steps = hops(g, direction, edge_type, None).select("from", "to").distinct()
+    arcs = checkpoint(steps.join(seen.values.select(F.col("id").alias("from")), "from", "left_semi"))
+    left = arcs.count()
+    while left:
+        arcs = checkpoint(arcs.join(arcs.select(F.col("to").alias("from")).distinct(), "from", "left_semi"))
+        before, left = left, arcs.count()
+        if left == before:
+            raise ValueError("the graph has a cycle in reach of the source")
+    return None
 
 
 def viterbi(g: PropertyGraph, source: int, weight: str, limits: Limits = Limits(), edge_type: str | None = None, direction: str = "out") -> Annotation:
     """Greatest products of weights in [0, 1], on graphs without a cycle in reach."""
     if hops(g, direction, edge_type, weight).filter("w < 0 or w > 1").limit(1).count():
         raise ValueError("weights must lie in [0, 1]")
-    if _cyclic(g, source, edge_type, direction, limits):
-        raise ValueError("the graph has a cycle in reach of the source")
+    if stopped := _stops(g, source, edge_type, direction, limits):
+        return stopped
     return _loop(g, source, 1.0, lambda v, w: v * w, F.max, limits, True, edge_type, direction, weight)
 
 

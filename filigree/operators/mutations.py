@@ -1,10 +1,12 @@
 """Mutations: each returns a new graph over new plans; the old handle is the state before (rollback, savepoint).
 
-``Versions`` keeps committed states as numbered snapshot folders, the latest named by a pointer written last.
+``Versions`` keeps committed states as snapshot folders, numbered by markers that are written last.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filigree.graph import PropertyGraph, read_snapshot, write_snapshot
-from filigree.session import shared_path
+from filigree.session import checkpoint, shared_path
 
 
 def next_id(df: DataFrame) -> int:
@@ -21,8 +23,16 @@ def next_id(df: DataFrame) -> int:
 
 
 def _numbered(rows: DataFrame, first: int, order: list[str]) -> DataFrame:
-    """New ids from ``first``, in a total order. New rows are few beside the graph; they are numbered in one window."""
-    return rows.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1 + first).cast("long"))
+    """New ids from ``first``, in a total order: rows are cut into ranges, and each range begins where the one before
+    ends, so that no task numbers them all. Only a count per range comes to the driver."""
+    parts = checkpoint(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    begins, at = [], first
+    for r in parts.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():
+        begins.append((r["_p"], at))
+        at += r.n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(begins, "_p int, _first long"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return parts.join(starts, "_p").withColumn("id", (place + F.col("_first")).cast("long")).drop("_p", "_first")
 
 
 def add_vertices(g: PropertyGraph, rows: DataFrame) -> PropertyGraph:
@@ -205,7 +215,12 @@ class Builder:
 
 
 class Versions:
-    """Committed states in a folder; readers keep the version they opened."""
+    """Committed states in a folder; readers keep the version they opened.
+
+    A state is written under a name of its own; a marker, renamed into place last, makes it version n and says which
+    folder it is in, what batch of a feed it holds and which migrations it has seen. What a crash leaves before the
+    marker is never read and stands in nobody's way.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "versions")
@@ -216,22 +231,47 @@ class Versions:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
 
     def latest(self) -> int:
-        """0 before the first commit. A version counts once its marker exists, which is written last."""
+        """0 before the first commit."""
         fs, where, jvm = self._fs()
         if not fs.exists(where):
             return 0
         names = [s.getPath().getName() for s in fs.listStatus(where)]
         return max((int(n.removeprefix("done-")) for n in names if n.startswith("done-")), default=0)
 
-    def commit(self, g: PropertyGraph) -> int:
+    def about(self, number: int | None = None) -> dict:
+        """The marker of a version: folder, batch (-1 for none) and migrations."""
+        number = self.latest() if number is None else number
+        if not number:
+            return {"folder": None, "batch": -1, "migrations": []}
+        fs, _, jvm = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{number}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def write(self, g: PropertyGraph) -> str:
+        """The state under a fresh name, no version yet."""
+        folder = f"state-{uuid.uuid4().hex}"
+        write_snapshot(g, f"{self.path}/{folder}")
+        return folder
+
+    def commit(self, g: PropertyGraph, **about) -> int:
+        """g as the next version; ``about`` replaces parts of what the last version's marker says."""
         number = self.latest() + 1
-        write_snapshot(g, f"{self.path}/v{number}")
+        marker = {**self.about(number - 1), **about, "folder": self.write(g)}
         fs, _, jvm = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{number}"), False).close()
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        draft = path(f"draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(marker).encode()))
+        out.close()
+        if fs.exists(path(f"done-{number}")) or not fs.rename(draft, path(f"done-{number}")):
+            raise RuntimeError(f"version {number} was committed by another writer")
         return number
 
     def open(self, number: int | None = None) -> PropertyGraph:
-        return read_snapshot(self.spark, f"{self.path}/v{number or self.latest()}")
+        return read_snapshot(self.spark, f"{self.path}/{self.about(number)['folder']}")
 
 
 @dataclass
@@ -246,3 +286,11 @@ class Migrator:
             if number > applied:
                 g, history = step(g), [*history, (number, name)]
         return g, history
+
+    def apply(self, versions: Versions) -> list[tuple[int, str]]:
+        """Runs what the latest version has not seen, commits the result with its history, and says what was run."""
+        seen = [tuple(m) for m in versions.about()["migrations"]]
+        g, ran = self.run(versions.open(), max((number for number, _ in seen), default=0))
+        if ran:
+            versions.commit(g, migrations=[*seen, *ran])
+        return ran

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions.predicates import P
 from filigree.graph import PropertyGraph, induced
-from filigree.operators import directed_nexus, mutations, paths, stats
+from filigree.operators import annotations, directed_nexus, mutations, paths, stats
 from filigree.operators.match import EdgePattern, NexusPattern, VertexPattern, triangle_join, triangles
 from filigree.operators.tools import schema
 from filigree.operators.traversal import Source
@@ -107,7 +107,7 @@ _order("f17_edge_predicate", "select type, count(*) as n from e where quantity i
 # -- sub-traversals -------------------------------------------------------------------------------------------
 
 _order("j1_where", "select id from v where label = 'Customer' and exists (select 1 from e join v o on o.id = e.dst where e.src = v.id and e.type = 'PLACED' and o.status = 'F')")(lambda g, q: q.vertices().has_label("Customer").where(lambda s: s.out("PLACED").has("status", "F")).ids())
-_order("j2_not", "select id from v where label = 'Part' and not exists (select 1 from e where dst = v.id and type = 'HAS_PART')")(lambda g, q: q.vertices().has_label("Part").not_(lambda s: s.in_("HAS_PART")).ids())
+_domain("j2_not", "select id from v where label in ('Document', 'Chunk') and not exists (select 1 from e where src = v.id and type = 'CITES')")(lambda g, q: q.vertices().filter(F.col("label").isin("Document", "Chunk")).not_(lambda s: s.out("CITES")).ids())
 _domain("j3_and", "select id from v where exists (select 1 from e where src = v.id and type = 'CITES') and exists (select 1 from e where dst = v.id and type = 'MENTIONS')")(lambda g, q: q.vertices().and_(lambda s: s.out("CITES"), lambda s: s.in_("MENTIONS")).ids())
 _domain("j4_or", "select id from v where exists (select 1 from e where src = v.id and type = 'OWNED_BY') or exists (select 1 from e where dst = v.id and type = 'CITES')")(lambda g, q: q.vertices().or_(lambda s: s.out("OWNED_BY"), lambda s: s.in_("CITES")).ids())
 
@@ -147,9 +147,9 @@ for _n in ("p1_bfs", "p3_shortest", "p5_weighted", "p8_frontier_limit"):
     QUERIES[f"path_{_n[1:]}"] = QUERIES.pop(_n)
 
 _RANK = ", o as (select src, count(*) as d from e where src in (select id from v) and true group by 1), c as (select count(*) as n from v), r0 as (select id, 1.0::double / (select n from c) as r from v)"
-for _k in range(1, 6):
-    _RANK += f", r{_k} as (select v.id, 0.15 / (select n from c) + 0.85 * (coalesce(f.s, 0) + (select coalesce(sum(r), 0) from r{_k - 1} where id not in (select src from o)) / (select n from c)) as r from v left join (select e.dst, sum(p.r / o.d) as s from e join o on o.src = e.src join r{_k - 1} p on p.id = e.src group by 1) f on f.dst = v.id)"
-_domain("path_10_pagerank", f"{_RANK} select id, round(r * 1e6, 3) as rank from r5".replace(", o as", "@", 1))(lambda g, q: paths.pagerank(g, iterations=5).select("id", F.round(F.col("rank") * 1e6, 3).alias("rank")))
+for _k in range(1, 21):
+    _RANK += f", r{_k} as materialized (select v.id, 0.15 / (select n from c) + 0.85 * (coalesce(f.s, 0) + (select coalesce(sum(r), 0) from r{_k - 1} where id not in (select src from o)) / (select n from c)) as r from v left join (select e.dst, sum(p.r / o.d) as s from e join o on o.src = e.src join r{_k - 1} p on p.id = e.src group by 1) f on f.dst = v.id)"
+_domain("path_10_pagerank", f"{_RANK} select id, round(r * 1e6, 3) as rank from r20".replace(", o as", "@", 1))(lambda g, q: paths.pagerank(g).select("id", F.round(F.col("rank") * 1e6, 3).alias("rank")))
 ORACLE["path_10_pagerank"] = ORACLE["path_10_pagerank"].replace("\n@", ", o as")
 
 
@@ -193,8 +193,23 @@ ORACLE["m6_triangles"] = ORACLE["m6_triangles"].replace("\n,", ",")
 
 # -- directed nexuses, statistics, subgraphs, mutations -------------------------------------------------------
 
-_domain("g6_nexus_reach")(lambda g, q: directed_nexus.reach(g, q.vertices().has_label("Document").ids().withColumnRenamed("id", "vertex_id"), "Rule"))
-_domain("g7_derivations")(lambda g, q: directed_nexus.derivations(g, q.vertices().has_label("Document").ids().withColumnRenamed("id", "vertex_id"), None, "additive", "Rule"))
+_REACH = ", r0 as materialized (select distinct id as x from v where id % 4 <> 0)"
+for _k in range(1, 9):
+    _REACH += f", r{_k} as materialized (select x from r{_k - 1} union select h.vertex_id from i h join n on n.id = h.nexus_id where type = 'Rule' and h.role = 'head' and h.nexus_id in (select nexus_id from i where role = 'tail') and not exists (select 1 from i t where t.nexus_id = h.nexus_id and t.role = 'tail' and t.vertex_id not in (select x from r{_k - 1})))"
+_domain("g6_nexus_reach", f"{_REACH} select x as vertex_id from r8")(lambda g, q: directed_nexus.reach(g, _most(g), "Rule"))
+# Of every rule that fires, one of unit price: the least costs of its tails and 1, until nothing gets cheaper.
+_COST = ", t as (select nexus_id, count(*) as a from (select distinct nexus_id, vertex_id from i where role = 'tail') group by 1), h as (select distinct i.nexus_id, i.vertex_id from i join n on n.id = i.nexus_id where n.type = 'Rule' and i.role = 'head'), c0 as materialized (select distinct id as x, 0.0::double as c from v where id % 4 <> 0)"
+for _k in range(1, 9):
+    _COST += f", c{_k} as materialized (select x, min(c) as c from (select x, c from c{_k - 1} union all select h.vertex_id, 1 + f.s from h join (select q.nexus_id, sum(p.c) as s, count(*) as k from (select distinct nexus_id, vertex_id from i where role = 'tail') q join c{_k - 1} p on p.x = q.vertex_id group by 1) f on f.nexus_id = h.nexus_id join t on t.nexus_id = f.nexus_id and t.a = f.k) group by 1)"
+_domain("g7_derivations", f"{_COST} select x as vertex_id, c as cost from c8")(lambda g, q: directed_nexus.derivations(g, _most(g), None, "additive", "Rule").select("vertex_id", "cost"))
+_domain("g1_reachable", ", r(id) as (select min(id) from v where label = 'Team' union select dst from r join e on src = r.id) select id from r")(lambda g, q: annotations.reachable(g, _team(g), _SLOW).values.select("id"))
+# Citations towards greater ids have no cycle, and few walks.
+_WALKS = ", s as (select min(src) as id from e where type = 'CITES' and src < dst), r(id, c, p) as (select id, 0.0::double, 1.0::double from s union all select dst, c + 1 + e.id % 7, p * (1 + e.id % 7) / 8.0 from r join e on src = r.id where type = 'CITES' and src < dst)"
+_domain("g2_tropical", f"{_WALKS} select id, min(c) as value from r group by 1")(lambda g, q: annotations.tropical(_forward(g), _first(g), "w", "acyclic", _SLOW).values)
+_domain("g3_viterbi", f"{_WALKS} select id, round(max(p), 9) as value from r group by 1")(lambda g, q: annotations.viterbi(_forward(g), _first(g), "p", _SLOW).values.select("id", F.round("value", 9).alias("value")))
+_domain("g4_walks", f"{_WALKS} select id, count(*) as value from r group by 1")(lambda g, q: annotations.walks(_forward(g), _first(g), _SLOW).values)
+for _n in ("g1_reachable", "g2_tropical", "g3_viterbi", "g4_walks", "g6_nexus_reach", "g7_derivations"):
+    ORACLE[_n] = ORACLE[_n].replace("\n,", ",")
 _domain("a7_labels", "select 'label' as statistic, label as name, count(*) as n from v group by 2 union all select 'edge_type', type, count(*) from e group by 2 union all select 'nexus_type', type, count(*) from n group by 2 union all select 'arity', cast(a as varchar), count(*) from (select n.id, count(vertex_id) as a from n left join i on nexus_id = n.id group by 1) group by 2 union all select 'degree', case when d <= 0 then '0' when d <= 1 then '1' when d <= 3 then '3' when d <= 7 then '7' when d <= 15 then '15' when d <= 31 then '31' when d <= 63 then '63' when d <= 127 then '127' when d <= 255 then '255' else 'more' end, count(*) from (select v.id, count(x.id) as d from v left join (select src as id from e union all select dst from e where src <> dst) x on x.id = v.id group by 1) group by 2")(lambda g, q: stats.collect(g))
 _domain("a7_power_vertices", "select id, count(*) as degree from (select src as id from e union all select dst from e where src <> dst) join v using (id) group by 1 having count(*) > 100")(lambda g, q: stats.power_vertices(g, 100))
 _order("a7_properties", "select 'acctbal' as key, count(acctbal) as owners, count(distinct acctbal) as distinct_values from v union all select 'brand', count(brand), count(distinct brand) from v union all select 'name', count(name), count(distinct name) from v union all select 'price', count(price), count(distinct price) from v union all select 'priority', count(priority), count(distinct priority) from v union all select 'segment', count(segment), count(distinct segment) from v union all select 'size', count(size), count(distinct size) from v union all select 'status', count(status), count(distinct status) from v")(lambda g, q: stats.property_stats(g, exact=True).select("key", "owners", "distinct_values"))
@@ -202,25 +217,74 @@ _domain("a8_dangling_edges", "select id, 'src' as side, src as vertex from e whe
 _domain("a8_dangling_members", "select nexus_id, role, vertex_id from i where vertex_id not in (select id from v)")(lambda g, q: stats.dangling_members(g))
 _domain("io2_induced_edges", "select id from e where src in (select id from v where label = 'Chunk') and dst in (select id from v where label = 'Chunk')")(lambda g, q: induced(g, q.vertices().has_label("Chunk").ids()).edges.select("id"))
 _domain("io2_induced_nexuses", "select nexus_id as id from i group by 1 having bool_and(vertex_id in (select id from v where label in ('Chunk', 'Document')))")(lambda g, q: induced(g, q.vertices().filter(F.col("label").isin("Chunk", "Document")).ids()).nexuses.select("id"))
-_domain("io11_schema", "select 'vertex' as kind, label as name, 0 as k from v group by 2 union all select 'edge', type, 0 from e group by 2 union all select 'nexus', type, 0 from n group by 2")(lambda g, q: schema(g).select("kind", "name", F.size("properties").alias("k")))
-_domain("w1_delete_vertex", "select 'e' as kind, count(*) as n from e where src not in (select id from v where label = 'Team') and dst not in (select id from v where label = 'Team') union all select 'n', count(*) from n where id not in (select nexus_id from i join v on v.id = vertex_id where label = 'Team') union all select 'v', count(*) from v where label <> 'Team'")(
-    lambda g, q: _sizes(mutations.delete_vertices(g, q.vertices().has_label("Team").ids()))
+_order("io11_schema", "select 'vertex' as kind, label as name, case label when 'Region' then 'name' when 'Nation' then 'name' when 'Customer' then 'acctbal,name,segment' when 'Supplier' then 'acctbal,name' when 'Part' then 'brand,name,price,size' else 'price,priority,status' end as keys from v group by 2 union all select 'edge', type, case when count(quantity) > 0 then 'discount,quantity' else '' end from e group by 2")(lambda g, q: schema(g).filter("kind <> 'nexus'").select("kind", "name", F.array_join(F.array_sort("properties"), ",").alias("keys")))
+_domain("w1_delete_vertex", "select 'e' as kind, id from e where src not in (select id from v where label = 'Team') and dst not in (select id from v where label = 'Team') union all select 'n', id from n where id not in (select nexus_id from i join v on v.id = vertex_id where label = 'Team') union all select 'v', id from v where label <> 'Team'")(
+    lambda g, q: _ids(mutations.delete_vertices(g, q.vertices().has_label("Team").ids()))
+)
+_domain("w2_delete_edges", "select id from e where type <> 'CITES'")(lambda g, q: mutations.delete_edges(g, q.edges().filter(F.col("type") == "CITES").ids()).edges.select("id"))
+_domain("w2_connect", "select distinct a.src, b.dst from e a join e b on b.src = a.dst where a.type = 'CITES' and b.type = 'OWNED_BY'")(
+    lambda g, q: mutations.connect(g, g.edges.filter("type = 'CITES'").select("src", F.col("dst").alias("m")).join(g.edges.filter("type = 'OWNED_BY'").select(F.col("src").alias("m"), "dst"), "m").select("src", "dst").distinct(), "SEES")[0].edges.filter("type = 'SEES'").select("src", "dst")
+)
+_domain("w3_delete_nexuses", "select nexus_id, role, vertex_id from i where nexus_id not in (select id from n where type = 'Fact')")(lambda g, q: mutations.delete_nexuses(g, q.nexuses("Fact").ids()).incidence.select("nexus_id", "role", "vertex_id"))
+_domain("w4_set_property", "select id, case when label = 'Team' then label || '-' || id else label end as label from v")(lambda g, q: mutations.set_property(g, "vertex", "label", g.vertices.filter("label = 'Team'").select("id", F.concat_ws("-", "label", "id").alias("value"))).vertices.select("id", "label"))
+_domain("w4_set_values", "select id, case when label = 'Team' and id % 2 = 0 then 'b,c' when label = 'Team' then 'a,b,c' else '' end as tags from v")(
+    lambda g, q: _tags(mutations.remove_value(mutations.add_value(g.with_tables(vertices=g.vertices.withColumn("tags", F.array().cast("array<string>"))), "vertex", "tags", _teams(g, "a", "b", "c")), "vertex", "tags", _teams(g, "a").filter("id % 2 = 0")))
 )
+_domain("s8_nexus_seed", "select vertex_id as id from i where nexus_id = (select min(id) from n where type = 'Rule' and id in (select nexus_id from i))")(lambda g, q: q.nexus(g.incidence.join(g.nexuses.filter("type = 'Rule'").select(F.col("id").alias("nexus_id")), "nexus_id").agg(F.min("nexus_id")).first()[0]).members().ids())
 _domain("w6_merge_edges", "select distinct c.src, a.dst, 'SEES' as type from e c join e a on a.src = c.dst where c.type = 'CITES' and a.type = 'OWNED_BY' and c.src in (select id from v)")(
     lambda g, q: mutations.merge_edges(g, q.vertices().as_("a").out("CITES").out("OWNED_BY").as_("b").tuples("a", "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SEES").alias("type"))).edges.filter("type = 'SEES'").select("src", "dst", "type")
 )
 _domain("w5_merge_vertices", "select type as name, 'Kind' as label from e group by 1")(
     lambda g, q: mutations.merge_vertices(g.with_tables(vertices=g.vertices.withColumn("name", F.lit(None).cast("string"))), "Kind", "name", g.edges.select(F.col("type").alias("value"))).vertices.filter("label = 'Kind'").select("name", "label")
 )
-_domain("w7_merge_nexuses", "select count(*) as n from n")(lambda g, q: mutations.merge_nexuses(g, _whole(g)).nexuses.agg(F.count("*").alias("n")))
+_domain("w7_merge_nexuses", "select type, count(*) as n, sum(a) as members, sum(x) as total from (select n.id, type, count(vertex_id) as a, sum(vertex_id * 31 + length(role)) as x from n left join i on nexus_id = n.id group by 1, 2) group by 1 union all select 'Claim', count(*), sum(len(m)), sum(x) from (select distinct m, x from (select nexus_id, list(role || ':' || vertex_id order by role, vertex_id) as m, sum(vertex_id * 31 + length(role)) as x from i group by 1 having count(*) > 1))")(
+    lambda g, q: _nexus_sums(mutations.merge_nexuses(g, _whole(g).unionByName(_whole(g).withColumn("type", F.lit("Claim")))))
+)
 _domain("w9_replace", "select id - 1 as id, 'Crew' as label from v where label = 'Team'")(lambda g, q: mutations.replace_vertices(g, q.vertices().has_label("Team").ids().select(F.col("id").alias("old"), (F.col("id") - 1).alias("new")), "Crew").vertices.filter("label = 'Crew'").select("id", "label"))
 
 
-def _sizes(g: PropertyGraph) -> DataFrame:
-    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+def _ids(g: PropertyGraph) -> DataFrame:
+    one = lambda name, df: df.select(F.lit(name).alias("kind"), "id")
     return one("e", g.edges).unionByName(one("n", g.nexuses)).unionByName(one("v", g.vertices))
 
 
+def _teams(g: PropertyGraph, *values: str) -> DataFrame:
+    return g.vertices.filter("label = 'Team'").select("id", F.explode(F.array(*map(F.lit, values))).alias("value"))
+
+
+def _tags(g: PropertyGraph) -> DataFrame:
+    return g.vertices.select("id", F.array_join(F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))), ",").alias("tags"))
+
+
+def _nexus_sums(g: PropertyGraph) -> DataFrame:
+    """By type the number of nexuses, of their members, and a sum over both."""
+    weight = F.col("vertex_id") * 31 + F.length("role")
+    each = g.nexuses.select(F.col("id").alias("nexus_id"), "type").join(g.incidence, "nexus_id", "left").groupBy("nexus_id", "type").agg(F.count("vertex_id").alias("a"), F.sum(weight).alias("x"))
+    return each.groupBy("type").agg(F.count("*").alias("n"), F.sum("a").alias("members"), F.sum("x").alias("total"))
+
+
+_SLOW = annotations.Limits(seconds=3600)
+
+
+def _team(g: PropertyGraph) -> int:
+    return g.vertices.filter("label = 'Team'").agg(F.min("id")).first()[0]
+
+
+def _forward(g: PropertyGraph) -> PropertyGraph:
+    """Citations towards greater ids, with a weight and a probability."""
+    w = 1 + F.col("id") % 7
+    return g.with_tables(edges=g.edges.filter("type = 'CITES' and src < dst").withColumns({"w": w.cast("double"), "p": w / F.lit(8.0)}))
+
+
+def _first(g: PropertyGraph) -> int:
+    return _forward(g).edges.agg(F.min("src")).first()[0]
+
+
+def _most(g: PropertyGraph) -> DataFrame:
+    """Three vertices of four, from which rules fire in several rounds."""
+    return g.vertices.filter("id % 4 <> 0").select(F.col("id").alias("vertex_id"))
+
+
 def _whole(g: PropertyGraph) -> DataFrame:
     """The graph's own nexuses of two and more members, as they would be asked for again."""
     members = mutations.member_key(g.incidence).filter(F.size("members") > 1)

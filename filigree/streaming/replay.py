@@ -1,7 +1,8 @@
 """The change feed: logical mutations as rows, replayed into a versioned graph by Structured Streaming.
 
 A mutation is (seq, op, kind, id, src, dst, label, key, value, members). Each micro-batch is applied as a whole and
-committed as a new version; a batch that was committed before a failure is recognized by its number and not repeated.
+committed as a new version that holds the batch's number; Spark numbers batches by the stream's checkpoint, so a batch
+that was committed before a failure is recognized after a restart and not repeated.
 """
 
 from __future__ import annotations
@@ -52,10 +53,9 @@ def apply_batch(g: PropertyGraph, batch: DataFrame) -> PropertyGraph:
 
 def replay(spark: SparkSession, feed: DataFrame, versions: M.Versions, checkpoint_dir: str, trigger: dict | None = None):
     """A streaming query that applies each micro-batch of a feed to the latest version and commits the next one."""
-    base = versions.latest()
 
     def commit(batch: DataFrame, number: int) -> None:
-        if versions.latest() <= base + number:
-            versions.commit(apply_batch(versions.open(), batch))
+        if versions.about()["batch"] < number:
+            versions.commit(apply_batch(versions.open(), batch), batch=number)
 
     return feed.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint_dir).trigger(**(trigger or {"availableNow": True})).start()

@@ -34,12 +34,23 @@ def test_annotations(spark):
     for bad in (lambda: A.viterbi(cycle, 1, "w", slow), lambda: A.tropical(cycle, 1, "w", "acyclic", slow), lambda: A.tropical(graph(spark, [(1, 2, -1)]), 1, "w")):
         with pytest.raises(ValueError):
             bad()
+    assert values(A.tropical(g, 1, "w", "acyclic", slow)) == values(A.tropical(g, 1, "w", limits=slow))
     small = A.reachable(g, 1, A.Limits(vertices=2, seconds=300))
     assert small.values is None and small.reason == "vertex_limit" and A.reachable(g, 1, A.Limits(edges=2)).reason == "edge_limit"
     cut = A.reachable(g, 1, A.Limits(results=2, seconds=300))
     assert not cut.exact and cut.values.count() == 2
 
 
+def test_many_walks_are_no_cycle(spark, monkeypatch):
+    """A chain of diamonds has more walks than a count may hold, and no cycle."""
+    monkeypatch.setattr(A, "LONG_MAX", 20)
+    g = graph(spark, [e for k in range(0, 18, 3) for e in ((k, k + 1, 0.5), (k, k + 2, 1.0), (k + 1, k + 3, 1.0), (k + 2, k + 3, 1.0))])
+    slow = A.Limits(seconds=300)
+    assert A.walks(g, 0, slow).reason == "overflow"
+    assert values(A.viterbi(g, 0, "w", slow))[18] == 1.0 and values(A.tropical(g, 0, "w", "acyclic", slow))[18] == 9.0
+    assert A.viterbi(g, 0, "w", A.Limits(vertices=3, seconds=300)).reason == "vertex_limit"
+
+
 def rules(spark, some):
     n = spark.createDataFrame([(i, "Rule", float(c)) for i, (_, _, c) in enumerate(some, 1)], "id long, type string, cost double")
     i = spark.createDataFrame([(k, r, v) for k, (t, h, _) in enumerate(some, 1) for r, vs in (("tail", t), ("head", h)) for v in vs], "nexus_id long, role string, vertex_id long")

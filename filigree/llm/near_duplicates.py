@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.llm.meeting import by_key, close_pairs
 from filigree.session import checkpoint, shared_path
 
 SIMILARITY, MIN_WORDS = 0.8, 40
@@ -45,8 +46,8 @@ PARITY, RING = 192, 64
 RARE_SHARE, RARE_MOST = 0.003, 2_048
 #: A segment held by more texts than this is split: askers are spread over as many parts, and the holders repeated.
 HOT = 4_096
-#: Texts signed at once by a task, pairs checked at once, and meetings looked at once.
-_TEXTS, _PAIRS, _MEETINGS = 1_024, 2_048, 1 << 20
+#: Texts signed at once by a task, and pairs checked at once.
+_TEXTS, _PAIRS = 1_024, 2_048
 #: Words whose hash a task remembers at once.
 _REMEMBERED = 1 << 20
 #: Parts in which the nodes of one component meet its label.
@@ -289,36 +290,12 @@ def _counted(texts: DataFrame, size: int, counters, words: int = 0) -> tuple[np.
 
 
 def meetings(sign: np.ndarray, rep: np.ndarray, info: np.ndarray, parity: np.ndarray, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of texts that meet in signature rows ordered by sign, whole signs, and whose parities stay in the budget.
-
-    Looked at in blocks of about _MEETINGS, whatever the number of texts of a sign.
-    """
-    first = np.flatnonzero(np.append(True, sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, np.int64)
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sign))))
-    stored, asks = np.flatnonzero((info & STORED) > 0), np.flatnonzero((info & ASKS) > 0)
-    # Texts with a rare token ask and store: each meets those after it.
-    begin = np.searchsorted(stored, np.where((info[asks] & RARE) > 0, asks + 1, first[group[asks]]))
-    many = np.searchsorted(stored, np.append(first, len(sign)))[group[asks] + 1] - begin
-    begin, asks, many = begin[many > 0], asks[many > 0], many[many > 0]
-    ends = np.cumsum(many)
-    n, parity = info >> 3, np.ascontiguousarray(parity).view(np.uint64)
-    ours, theirs = [np.ascontiguousarray(parity[asks, k]) for k in range(parity.shape[1])], [np.ascontiguousarray(parity[stored, k]) for k in range(parity.shape[1])]
+    """Pairs of texts that meet in signature rows ordered by sign, whole signs, and whose parities stay in the budget."""
+    n = info >> 3
     # No partner leaves a larger budget than one of about the same length.
-    most = np.minimum(2 * (n[asks] - np.ceil(similarity * n[asks] - 1e-9)) + 2, 64 * parity.shape[1]).astype(np.int16)
-    # An asker with more holders than a block meets them in several.
-    for low in range(0, int(ends[-1]) if len(ends) else 0, _MEETINGS):
-        high = min(low + _MEETINGS, int(ends[-1]))
-        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right") + 1
-        inside = np.minimum(ends[i:j], high) - np.maximum(ends[i:j] - many[i:j], low)
-        y = np.arange(low, high) + np.repeat(begin[i:j] - (ends[i:j] - many[i:j]), inside)
-        apart = np.zeros(len(y), np.int16)
-        for k in range(min(2, parity.shape[1])):
-            apart += np.bitwise_count(np.repeat(ours[k][i:j], inside) ^ theirs[k][y])
-        keep = np.flatnonzero(apart <= np.repeat(most[i:j], inside))
-        x, y, apart = np.repeat(np.arange(i, j), inside)[keep], y[keep], apart[keep]
-        for k in range(2, parity.shape[1]):
-            apart = apart + np.bitwise_count(ours[k][x] ^ theirs[k][y])
-        x, y = asks[x], stored[y]
+    most = np.minimum(2 * (n - np.ceil(similarity * n - 1e-9)) + 2, 64 * parity.shape[1])
+    # Texts with a rare token ask and store: each meets those after it.
+    for x, y, apart in close_pairs(sign, (info & ASKS) > 0, (info & STORED) > 0, (info & RARE) > 0, parity, most):
         longer, shorter = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
         # Of the longer text at least ceil(similarity * n) words are shared, which leaves this many differences.
         keep = (apart <= longer + shorter - 2 * np.ceil(similarity * longer - 1e-9)) & (rep[x] != rep[y])
@@ -401,29 +378,12 @@ def similar_pairs(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 who, key, kind, parity = who[rows][order], key[order], kind[order], parities(*tokens(flat, counts), len(counts))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep[who]), pa.array((counts[who] * 8 + kind).astype(np.int32)), *(pa.array(parity[who, i]) for i in range(len(parts)))], ["sign", "rep", "info", *parts])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in meetings(*columns[:3], np.stack(columns[3:], axis=1), similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        open_: list[list[np.ndarray]] = []
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            # The last sign may go on in the next batch; rows before it are complete, with what is open.
-            cut = int(np.searchsorted(columns[0], columns[0][-1])) if batch.num_rows else 0
-            if cut:
-                yield from found([np.concatenate(c) for c in zip(*open_, [c[:cut] for c in columns])])
-                open_ = []
-            elif open_ and batch.num_rows and open_[-1][0][-1] != columns[0][0]:
-                yield from found([np.concatenate(c) for c in zip(*open_)])
-                open_ = []
-            if batch.num_rows:
-                open_.append([c[cut:] for c in columns])
-        if open_:
-            yield from found([np.concatenate(c) for c in zip(*open_)])
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b in meetings(*columns[:3], np.stack(columns[3:], axis=1), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     signed = reps.select("rep", "hashes").mapInArrow(sign, f"sign long, rep long, info int, {', '.join(f'{r} long' for r in parts)}")
-    met = checkpoint(signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(meet, "a long, b long").distinct())
+    met = checkpoint(signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(by_key(found), "a long, b long").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

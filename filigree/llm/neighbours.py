@@ -4,6 +4,8 @@ A unit vector is turned by a pseudo-rotation (three rounds of random signs and a
 the nearest signed axis. Each table joins as many such hashes as keep its buckets small. Vectors of a bucket are
 candidates of each other; a query may also probe the buckets of its next nearest axes. Candidates are reranked
 exactly, in double precision. A bucket of any size is worked through in blocks, every block against every other.
+Where only neighbours of a given similarity are wanted, buckets hold ids and bit sketches instead of vectors: signs of
+further rotations, whose distance tells the angle; vectors are fetched for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -16,15 +18,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.llm.meeting import by_key, close_pairs
 from filigree.session import checkpoint
 
 #: Vectors a bucket should hold on average, and at most in one block.
 BUCKET, BLOCK = 600, 2_000
+#: Ids of a bucket that meet in one task; larger buckets are cut into blocks.
+HOT = 20_000
 #: Share of pairs at the wanted similarity that may be missed, and the most tables to reach it with.
 MISS, MOST_TABLES = 5e-4, 24
 #: Vectors per group of which the probes are fitted; the fit only chooses how many buckets a query visits.
 FIT_ROWS, FIT_QUERIES = 3_000, 100
 _TRIALS = 400
+#: Bits of a sketch, and standard deviations above the mean distance of a pair at the wanted similarity that are let through.
+SKETCH_BITS, SLACK = 256, 6.0
+#: Candidates are told from other vectors by broadcast up to so many ids, beyond that by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 def valid(vector: str, dimensions: Column) -> Column:
@@ -90,6 +99,23 @@ def settings(count: int, d: int, similarity: float) -> tuple[int, int]:
     return hashes, max(2, math.ceil(math.log(MISS) / math.log1p(-min(p**hashes, 0.9999))))
 
 
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """The signs of rotations beyond those of any table, packed into 64-bit words."""
+    wide = 1 << max(1, (unit.shape[1] - 1).bit_length())
+    turned = np.concatenate([rotate(unit, -1 & 0xFFFF, part) for part in range(-(-SKETCH_BITS // wide))], axis=1)[:, :SKETCH_BITS]
+    return np.packbits(turned > 0, axis=1).view(np.uint64).reshape(len(unit), SKETCH_BITS // 64)
+
+
+def sketch_limit(d: int, similarity: float) -> int:
+    """The distance of sketches that a pair of the similarity all but never exceeds, by trials."""
+    rng = np.random.default_rng([d, 1])
+    a = normalized(rng.standard_normal((4 * _TRIALS, d)))
+    b = rng.standard_normal(a.shape)
+    b = normalized(b - (a * b).sum(1, keepdims=True) * a)
+    apart = np.bitwise_count(sketches(a) ^ sketches(similarity * a + math.sqrt(max(0.0, 1 - similarity**2)) * b)).sum(axis=1)
+    return min(SKETCH_BITS, math.ceil(apart.mean() + SLACK * apart.std() + 1))
+
+
 def fit_probes(sample: np.ndarray, k: int, tables: int, recall: float) -> int:
     """Buckets per table a query must visit, with one hash a table, for the wanted recall of the k nearest.
 
@@ -155,6 +181,82 @@ def _hashed(rows: DataFrame, plan: dict[str, tuple[int, int, int]], vectors: boo
     return rows.select("grp", "id", "vector", "query").mapInArrow(run, "grp string, tbl int, code long, id long, stored boolean, query boolean" + (", vector array<float>" if vectors else ""))
 
 
+def _near_pairs(unique: DataFrame, plan: dict[str, tuple[int, int, int]], dims: dict[str, int], least: float, everyone: bool) -> DataFrame:
+    """(grp, a, b, score) of pairs of at least the similarity ``least`` that share a bucket, a being a query."""
+    limits = {g: sketch_limit(d, least) for g, d in dims.items()}
+    names = {g: i for i, g in enumerate(sorted(plan))}
+    parts = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.array(batch.column("grp").to_pylist(), dtype=object)
+            ids, asks = batch.column("id").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
+            for group in dict.fromkeys(groups.tolist()):
+                hashes, tables, _ = plan[group]
+                at = np.flatnonzero(groups == group)
+                column = batch.column("vector").take(pa.array(at))
+                d = dims[group]
+                unit = normalized(_matrix(column, d))
+                bits = sketches(unit).view(np.int64)
+                info = np.full(len(at), limits[group] * 2, np.int32) + asks[at]
+                for t in range(tables):
+                    code = np.zeros(len(at), np.int64)
+                    for j in range(hashes):
+                        code = code * (4 * d) + axes(unit, t, j)[:, 0]
+                    # A key of its own for each group, table and code: the code in the low bits, spread by a odd factor.
+                    key = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93 * (names[group] * 4096 + t + 1) % (1 << 64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(info), pa.array(np.full(len(at), names[group], np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(parts)))], ["key", "id", "info", "g", *parts])
+
+    rows = unique.mapInArrow(hashed, f"key long, id long, info int, g int, {', '.join(f'{p} long' for p in parts)}")
+    # Buckets beyond HOT are cut into blocks, and every block meets every other in a task of its own.
+    hot = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")))
+    rows = rows.withColumn("role", F.lit(3))
+    if not hot.isEmpty():
+        rows = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        tasks = F.expr("array_union(transform(sequence(0, blocks - 1), j -> struct(own as i, j as j)), transform(sequence(0, blocks - 1), i -> struct(i as i, own as j)))")
+        rows = rows.withColumn("own", own).withColumn("t", F.explode(tasks))
+        role = F.when(F.col("t.i") == F.col("own"), 1).otherwise(0) + F.when(F.col("t.j") == F.col("own"), 2).otherwise(0)
+        rows = rows.withColumn("role", role).withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("key", "t.i", "t.j")).otherwise(F.col("key")))
+    rows = rows.select("key", "id", "info", "g", "role", *parts)
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, ids, info, g, role = columns[:5]
+        asks, stored = ((info & 1) > 0) & ((role & 1) > 0), (role & 2) > 0
+        # Where all ask, a row that asks and is stored meets the rows after it; both ways follow from one.
+        after = asks & stored & everyone
+        for x, y, _ in close_pairs(key, asks, stored, after, np.stack(columns[5:], axis=1), info >> 1):
+            keep = (ids[x] != ids[y]) & (g[x] == g[y])
+            a, b = ids[x[keep]], ids[y[keep]]
+            if everyone:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(g[x[keep]]), pa.array(a), pa.array(b)], ["g", "a", "b"])
+
+    met = checkpoint(rows.repartition("key").sortWithinPartitions("key").mapInArrow(by_key(found), "g int, a long, b long").distinct())
+    back = {i: g for g, i in names.items()}
+    known = unique.sparkSession.createDataFrame([(i, g) for i, g in back.items()], "g int, grp string") if back else None
+    if known is None:
+        return met.select(F.lit("").alias("grp"), "a", "b", F.lit(0.0).alias("score")).limit(0)
+    met = met.join(F.broadcast(known), "g").drop("g")
+    ids = checkpoint(met.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = unique.select("grp", "id", "vector").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["grp", "id"], "left_semi")
+    full = met.join(needed.withColumnsRenamed({"id": "a", "vector": "va"}), ["grp", "a"]).join(needed.withColumnsRenamed({"id": "b", "vector": "vb"}), ["grp", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            left, right = batch.column("va"), batch.column("vb")
+            sizes = np.diff(left.offsets.to_numpy())
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                score[at] = np.clip((normalized(_matrix(left.take(pa.array(at)), d)) * normalized(_matrix(right.take(pa.array(at)), d))).sum(axis=1), -1, 1)
+            keep = pa.array(score >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("grp", "a", "b")] + [pa.array(score).filter(keep)], ["grp", "a", "b", "score"])
+
+    pairs = full.select("grp", "a", "b", "va", "vb").mapInArrow(exact, "grp string, a long, b long, score double")
+    return pairs.unionByName(pairs.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "score")) if everyone else pairs
+
+
 def _rerank(k: int, least: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         vectors = table["vector"].combine_chunks()
@@ -197,7 +299,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, group_col: str, k: int
     doubled = checkpoint(reps.filter("n > 1"))
     # All but the later copies; the first stands for them.
     later = rows.join(doubled, copies).filter("id != rep").select("grp", "id", "rep", "query")
-    unique = rows.join(doubled.select(*copies, "rep", "asks"), copies, "left").filter("rep is null or id = rep").select("grp", "id", "vector", F.coalesce("asks", "query").alias("query"))
+    unique = rows.join(doubled.select(*copies, "rep", "asks"), copies, "left").filter("rep is null or id = rep").select("grp", "id", "vector", F.coalesce("asks", "query").alias("query"), F.col("query").alias("own"))
     unique = checkpoint(unique)
     facts = {r.grp: r for r in unique.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).collect()}
     plan: dict[str, tuple[int, int, int]] = {}
@@ -207,6 +309,21 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, group_col: str, k: int
         for g, r in facts.items():
             sample = unique.filter(F.col("grp") == g).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector").collect()
             plan[g] = (1, tables, fit_probes(np.array([x.vector for x in sample], float), k, tables, recall))
+    if least > -1.0:
+        found = _near_pairs(unique, plan, {g: r.d for g, r in facts.items()}, least, query is None)
+    else:
+        found = _visited(unique, plan, k)
+    best = Window.partitionBy("grp", "a").orderBy(F.desc("score"), "b")
+    near = found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k).drop("position")
+    if later.isEmpty():
+        result = near
+    else:
+        result = _with_copies(near, checkpoint(later), unique, k, least)
+    return result.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
+
+
+def _visited(unique: DataFrame, plan: dict[str, tuple[int, int, int]], k: int) -> DataFrame:
+    """(grp, a, b, score) of the k best stored vectors for each query in the buckets it visits."""
     bucket = ["grp", "tbl", "code"]
     sizes = _hashed(unique, plan, False).groupBy(*bucket).agg(F.count("*").alias("n"))
     big = sizes.filter(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
@@ -217,15 +334,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, group_col: str, k: int
     spread = spread.withColumn("own", own).withColumn("t", F.explode(tasks))
     spread = spread.withColumns({"query": F.col("query") & (F.col("t.i") == F.col("own")), "stored": F.col("stored") & (F.col("t.j") == F.col("own"))}).filter("query or stored")
     spread = spread.select(*bucket, F.col("t.i").alias("ti"), F.col("t.j").alias("tj"), "id", "stored", "query", "vector")
-    found = spread.groupBy(*bucket, "ti", "tj").applyInArrow(_rerank(k, least), "grp string, a long, b long, score double")
-    found = found.groupBy("grp", "a", "b").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("grp", "a").orderBy(F.desc("score"), "b")
-    near = found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k).drop("position")
-    if later.isEmpty():
-        result = near
-    else:
-        result = _with_copies(near, checkpoint(later), unique, k, least)
-    return result.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
+    found = spread.groupBy(*bucket, "ti", "tj").applyInArrow(_rerank(k, -1.0), "grp string, a long, b long, score double")
+    return found.groupBy("grp", "a", "b").agg(F.max("score").alias("score"))
 
 
 def _with_copies(near: DataFrame, later: DataFrame, unique: DataFrame, k: int, least: float) -> DataFrame:
@@ -241,5 +351,5 @@ def _with_copies(near: DataFrame, later: DataFrame, unique: DataFrame, k: int, l
     ranked = Window.partitionBy("grp", "a").orderBy(F.desc("score"), "b")
     lists = lists.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1).drop("place")
     alike = later.filter("query").select("grp", F.col("rep").alias("a"), "id").join(lists, ["grp", "a"]).select("grp", F.col("id").alias("a"), "b", "score")
-    asking = unique.filter("query").select("grp", F.col("id").alias("a"))
+    asking = unique.filter("own").select("grp", F.col("id").alias("a"))
     return lists.join(asking, ["grp", "a"], "left_semi").unionByName(alike).filter("a != b").filter(F.col("score") >= least)

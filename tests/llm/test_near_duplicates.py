@@ -6,6 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from filigree.llm import meeting
 from filigree.llm import near_duplicates as nd
 
 WORD = re.compile(r"[^\W_]+")
@@ -141,7 +142,7 @@ def test_codes_of_counts():
 
 
 def test_meetings_equal_all_pairs(monkeypatch):
-    monkeypatch.setattr(nd, "_MEETINGS", 7)
+    monkeypatch.setattr(meeting, "BLOCK", 7)
     rng = np.random.default_rng(3)
     sign, rep = np.sort(rng.integers(0, 12, 90)), rng.permutation(90)
     info, parity = (rng.integers(40, 60, 90) * 8 + rng.integers(1, 8, 90)).astype(np.int32), rng.choice([-1, 1], (90, 2)) * rng.integers(0, 1 << 7, (90, 2))

@@ -38,9 +38,9 @@ def test_rotation_keeps_angles():
     assert (nb.axes(x, 0, 0, 5)[:, :1] == nb.axes(x, 0, 0)).all()
 
 
-@pytest.mark.parametrize("block", [2_000, 20])
+@pytest.mark.parametrize("block", [20_000, 20])
 def test_similar_pairs_are_all_found(spark, monkeypatch, block):
-    monkeypatch.setattr(nb, "BLOCK", block)
+    monkeypatch.setattr(nb, "HOT", block)
     rows = make(2)
     df = spark.createDataFrame(rows + rows[:3], KINDS)
     got = {}
@@ -76,3 +76,34 @@ def test_empty_and_alone(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "a", ""), (2, [1.0, 0.0], "b", "")], KINDS)
     assert nb.nearest(df, "id", "vector", "grp", 3).count() == 0
     assert nb.nearest(df.limit(0), "id", "vector", "grp", 3, least=0.5).count() == 0
+
+
+def test_queries_of_similar_pairs(spark):
+    rows = make(4)
+    df = spark.createDataFrame(rows, KINDS)
+    got = {(r.grp, r.a, r.b) for r in nb.nearest(df, "id", "vector", "grp", 10, least=0.92, query=F.col("id") % 7 == 0).collect()}
+    expected = {(*k, b) for k, v in exact(rows, 10, 0.92).items() if k[1] % 7 == 0 for b in v}
+    assert len(got & expected) >= 0.99 * len(expected) and len(got) <= 1.01 * len(expected) and len(expected) > 50
+
+
+def test_sketches_tell_angles():
+    rng = np.random.default_rng(7)
+    for d in (5, 24, 64, 300):
+        a = nb.normalized(rng.standard_normal((3000, d)))
+        b = nb.normalized(a + rng.standard_normal((3000, d)) * 0.4 / np.sqrt(d))
+        alike = (a * b).sum(axis=1) >= 0.92
+        apart = np.bitwise_count(nb.sketches(a) ^ nb.sketches(b)).sum(axis=1)
+        assert alike.sum() > 1000 and (apart[alike] <= nb.sketch_limit(d, 0.92)).mean() >= 0.9999
+        assert np.bitwise_count(nb.sketches(a[:1]) ^ nb.sketches(a[1:])).sum(axis=1).mean() > nb.sketch_limit(d, 0.92) or d == 5
+
+
+@pytest.mark.parametrize("block", [20, 2_000])
+def test_visits_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(nb, "BLOCK", block)
+    rows = make(6, n=150)
+    df = spark.createDataFrame(rows, KINDS)
+    got = {}
+    for r in nb.nearest(df, "id", "vector", "grp", 5, recall=1.0).collect():
+        got.setdefault((r.grp, r.a), set()).add(r.b)
+    best = exact(rows, 5)
+    assert set(got) == set(best) and np.mean([len(got[k] & set(v)) / len(v) for k, v in best.items()]) > 0.9

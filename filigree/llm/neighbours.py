@@ -187,7 +187,11 @@ def _near_pairs(unique: DataFrame, plan: dict[str, tuple[int, int, int]], dims:
     names = {g: i for i, g in enumerate(sorted(plan))}
     parts = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in hashed(batches, False):
+            yield batch.select(["key"])
+
+    def hashed(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = np.array(batch.column("grp").to_pylist(), dtype=object)
             ids, asks = batch.column("id").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
@@ -197,7 +201,7 @@ def _near_pairs(unique: DataFrame, plan: dict[str, tuple[int, int, int]], dims:
                 column = batch.column("vector").take(pa.array(at))
                 d = dims[group]
                 unit = normalized(_matrix(column, d))
-                bits = sketches(unit).view(np.int64)
+                bits = sketches(unit).view(np.int64) if whole else np.zeros((len(at), len(parts)), np.int64)
                 info = np.full(len(at), limits[group] * 2, np.int32) + asks[at]
                 for t in range(tables):
                     code = np.zeros(len(at), np.int64)
@@ -207,9 +211,10 @@ def _near_pairs(unique: DataFrame, plan: dict[str, tuple[int, int, int]], dims:
                     key = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93 * (names[group] * 4096 + t + 1) % (1 << 64))).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(info), pa.array(np.full(len(at), names[group], np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(parts)))], ["key", "id", "info", "g", *parts])
 
+    keys = unique.mapInArrow(keys_only, "key long")
     rows = unique.mapInArrow(hashed, f"key long, id long, info int, g int, {', '.join(f'{p} long' for p in parts)}")
     # Buckets beyond HOT are cut into blocks, and every block meets every other in a task of its own.
-    hot = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")))
+    hot = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")))
     rows = rows.withColumn("role", F.lit(3))
     if not hot.isEmpty():
         rows = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

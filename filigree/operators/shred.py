@@ -148,6 +148,10 @@ def graph_entities(df: DataFrame, id_col: str = "export_id", json_col: str = "pa
     its place in the parent's list. Ids come as numbers or strings and become longs, or null when they are neither.
     """
     nodes = shred_json(df, id_col, json_col, under=("vertices", "edges", "nexuses"))
+    # The documents are parsed once, whatever tables are read.
+    stored = shared_path(df.sparkSession, "nodes")
+    nodes.write.option("compression", "zstd").parquet(stored)
+    nodes = df.sparkSession.read.schema(nodes.schema).parquet(stored)
     number = lambda *names: {n: F.expr(f"try_cast({n} as bigint)") for n in names}
     prop = {"prop_key": ["key"], "cardinality": ["cardinality"], "value_type": ["type"], "prop_value": ["value"]}
     out = {

@@ -210,13 +210,16 @@ class Traversal:
         joined = rows.join(i.select(F.col("nexus_id").alias("cur"), F.col("vertex_id").alias("next")), "cur").filter("next <> origin").withColumn("cur", F.col("next"))
         return self._moved(joined, "vertex")
 
-    def repeat(self, step: str, times: int, emit: bool = False, edge_type: str | None = None) -> Traversal:
-        """Every vertex reached from a start, once, at its breadth-first depth: depth ``times``, or 1 to it with emit."""
+    def repeat(self, step: str, times: int, emit: bool = False, edge_type: str | None = None, least: int = 1) -> Traversal:
+        """Every vertex reached from a start, once, at its breadth-first depth: depth ``times``, or ``least`` to it with
+        emit; at depth 0 a start reaches itself."""
+        if not 0 <= least <= max(times, 1):
+            raise ValueError("need 0 <= least <= times")
         from filigree.operators.paths import bfs
 
         starts = self._rows().select(F.col("cur").alias("start"))
-        reached = bfs(self.graph, starts.distinct(), times, step, edge_type)
-        reached = reached if emit else reached.filter(F.col("depth") == times)
+        reached = bfs(self.graph, starts.distinct(), times, step, edge_type, include_start=least == 0 or times == 0)
+        reached = reached.filter(F.col("depth") >= least) if emit else reached.filter(F.col("depth") == times)
         return self._moved(starts.join(reached, "start").select(F.col("end").alias("cur")), "vertex", keep=False)
 
     def shortest_path_to(self, target: int, max_depth: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:

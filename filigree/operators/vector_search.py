@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,14 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(gaps, 0))
 
 
+def _vectors(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that hold d numbers, and these as a matrix, from the column's buffers."""
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy() == d)
+    flat = column.take(pa.array(at)).flatten()
+    whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(axis=1)
+    return at[whole], flat.to_numpy(zero_copy_only=False).reshape(-1, d)[whole].astype(float)
+
+
 def batch_top_k(df: DataFrame, id_col: str, key: str, queries: list[tuple[int, list[float]]], k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, id_col, score, rank) of many queries in one scan of df.
 
@@ -76,12 +85,12 @@ def batch_top_k(df: DataFrame, id_col: str, key: str, queries: list[tuple[int, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[pd.DataFrame] = []
         for batch in batches:
-            held = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v]
+            found, vectors = _vectors(batch.column(1), matrix.shape[1])
+            held = batch.column(0).to_numpy(zero_copy_only=False)[found]
             for at in range(0, len(held), 4096):
-                part = held[at : at + 4096]
-                names, rows = np.array([i for i, _ in part], np.int64), np.array([v for _, v in part], float)
+                names, rows = held[at : at + 4096].astype(np.int64), vectors[at : at + 4096]
                 score = _scores(matrix, rows, metric)
-                n = min(k, len(part))
+                n = min(k, len(rows))
                 ok = np.where(np.isfinite(score), score, -np.inf)
                 # The n best by score, then id: everything not below the n-th value.
                 bar = -np.partition(-ok, n - 1, axis=1)[:, n - 1 : n]
@@ -120,6 +129,25 @@ def hybrid(df: DataFrame, id_col: str, text_key: str, text: str, vector_key: str
     return fuse([search(df, id_col, text_key, text, k), top_k(df, id_col, vector_key, query, k, metric)], id_col, k)
 
 
+def apply_monadic(df: DataFrame, key: str, op: Callable[[np.ndarray], np.ndarray], out: str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """df with ``out``, the result of a unary operator on each vector, over regions where given: a function of a matrix
+    of rows that gives a number or a vector for each. Null vectors give null; vectors of unlike length are taken apart."""
+    vectors = F.col(key) if ranges is None else regions(F.col(key), ranges)
+
+    @F.pandas_udf("array<double>")
+    def applied(v: pd.Series) -> pd.Series:
+        done: list = [None] * len(v)
+        sizes = np.array([-1 if x is None else len(x) for x in v])
+        for d in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == d)
+            result = np.asarray(op(np.array([v.iloc[i] for i in at], float).reshape(len(at), d)), float).reshape(len(at), -1)
+            for i, r in zip(at, result):
+                done[i] = r
+        return pd.Series(done)
+
+    return df.withColumn(out, applied(vectors.cast("array<double>")))
+
+
 def apply_dyadic(df: DataFrame, id_col: str, key: str, operand: list[float], op: str | Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
     """(id_col, score): the k highest results of a binary operator with a fixed vector, over regions where given.
 

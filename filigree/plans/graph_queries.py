@@ -131,7 +131,8 @@ _domain("e10_repeat_emit", f", {_BFS.format(2)} select x as id, count(*) as n fr
 _domain("e11_typed", "select e.dst as id from e join v on v.id = e.dst where type = 'MENTIONS' and label = 'Component' and src in (select id from v)")(lambda g, q: q.vertices().out("MENTIONS").has_label("Component").ids())
 _domain("e12_aliases", "select a.src as a, c.dst as c, count(*) as n from e a join e c on c.src = a.dst where a.type = 'HAS_CHUNK' and c.type = 'CITES' and a.src in (select id from v) group by all")(lambda g, q: q.vertices().as_("a").out("HAS_CHUNK").out("CITES").as_("c").tuples("a", "c").groupBy("a", "c").agg(F.count("*").alias("n")))
 _domain("e12_select", "select a.src as id from e a join e c on c.src = a.dst where a.type = 'HAS_CHUNK' and c.type = 'CITES' and a.src in (select id from v)")(lambda g, q: q.vertices().as_("a").out("HAS_CHUNK").out("CITES").select("a").ids())
-for _n in ("e10_repeat", "e10_repeat_emit"):
+_domain("e10_repeat_zero", f", {_BFS.format(2)} select id, count(*) as n from (select x as id from b union all select id from v where label = 'Release') group by 1")(lambda g, q: q.vertices().has_label("Release").repeat("out", 2, emit=True, least=0).ids().groupBy("id").agg(F.count("*").alias("n")))
+for _n in ("e10_repeat", "e10_repeat_emit", "e10_repeat_zero"):
     ORACLE[_n] = ORACLE[_n].replace("\n,", ",")
 
 # -- paths ----------------------------------------------------------------------------------------------------

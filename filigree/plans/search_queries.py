@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,9 @@ _note("v4_batch_knn", f"with {_BATCH_SQL}, s as (select query_id, vec_id, list_c
 )
 _note("v7_dyadic_distance", f"select vec_id from embeddings order by list_distance(embedding::double[], {_SQL_VECTOR}) desc, vec_id limit 10")(lambda spark, d: vector_search.apply_dyadic(read(spark, d, "embeddings"), "vec_id", "embedding", VECTOR, "distance", 10).select("vec_id"))
 _note("v7_dyadic_function", f"select vec_id from embeddings order by list_inner_product(embedding::double[], {_SQL_VECTOR}) desc, vec_id limit 10")(lambda spark, d: vector_search.apply_dyadic(read(spark, d, "embeddings"), "vec_id", "embedding", VECTOR, lambda rows, b: rows @ b, 10).select("vec_id"))
+_note("v10_monadic", "select vec_id, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as norm, round(list_sum(embedding[1:8]::double[]), 5) as head from embeddings")(
+    lambda spark, d: vector_search.apply_monadic(vector_search.apply_monadic(read(spark, d, "embeddings"), "embedding", lambda m: np.linalg.norm(m, axis=1), "n"), "embedding", lambda m: m.sum(axis=1), "h", [(0, 8)]).select("vec_id", F.round(F.get("n", 0), 5).alias("norm"), F.round(F.get("h", 0), 5).alias("head"))
+)
 _note("v8_regions", f"select vec_id, round(list_inner_product(embedding[1:8]::double[], ({_SQL_VECTOR})[1:8]) + list_inner_product(embedding[33:40]::double[], ({_SQL_VECTOR})[33:40]), 6) as score from embeddings")(
     lambda spark, d: read(spark, d, "embeddings").select("vec_id", F.round(vector_search.dot(regions(F.col("embedding"), [(0, 8), (32, 40)]), regions(F.array(*map(F.lit, VECTOR)), [(0, 8), (32, 40)])), 6).alias("score"))
 )

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -100,7 +101,9 @@ _NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x2010: 0x2
 
 _AT = regex.compile(r"[(\[]at[)\]]", regex.I)
 # Of each form of an address, what a text without it cannot hold, in lower case.
-_NEEDS = [regex.compile(x) for x in (r"\d[a-z]?[ \u00a0]", r"box", r"rue|avenue|all[ée]|chemin|boulevard|place|impasse|quai|route|cours|square", r"stra(?:ß|ss)e|str\.|allee|gasse|weg|platz|ring|damm|ufer|steig", r"calle|c/|avenida|avda|plaza|camino|paseo|carretera|ronda|rambla", r"[都道府県]")]
+_NEEDS = [re.compile(x) for x in (r"\d[a-z]?[ \u00a0]{1,2}\w", r"box[ \u00a0]", r"\d[^\n]{0,10}(?:rue|avenue|all.|alle.|chemin|boulevard|place|impasse|quai|route|cours|square)", r"(?:stra(?:ß|ss)e|str\.|allee|gasse|weg|platz|ring|damm|ufer|steig)[ \u00a0]{1,2}\d", r"(?:calle|c/|avenida|avda\.?|plaza|camino|paseo|carretera|ronda|rambla)[ \u00a0]", r"[都道府県]")]
+#: A code holds digits, and at most so many signs and gaps before and after one.
+_DIGITS, _REACH = re.compile(r"\d"), 40
 
 Span = tuple[int, int, str]
 
@@ -132,7 +135,32 @@ def _numbers(text: str) -> Iterator[Span]:
 
 def _codes(text: str) -> Iterator[Span]:
     """Runs of up to seven neighbouring groups with letters and at least four digits, 8 to 14 signs in all."""
-    for m in _CODE.finditer(text):
+    for low, high in _near_digits(text):
+        yield from _codes_in(text, low, high)
+
+
+def _near_digits(text: str) -> Iterator[tuple[int, int]]:
+    """The stretches of text within reach of a digit, to the end of a word."""
+    low, high = 0, -1
+
+    def end() -> int:
+        at = min(len(text), high)
+        while at < len(text) and text[at].isalnum():
+            at += 1
+        return at
+
+    for m in _DIGITS.finditer(text):
+        if high < 0 or m.start() - _REACH > high:
+            if high >= 0:
+                yield low, end()
+            low = max(0, m.start() - _REACH)
+        high = m.start() + _REACH
+    if high >= 0:
+        yield low, end()
+
+
+def _codes_in(text: str, low: int, high: int) -> Iterator[Span]:
+    for m in _CODE.finditer(text, low, high):
         parts = [(g.start() + m.start(), g.end() + m.start()) for g in _PART.finditer(m.group())]
         has = [any(c.isdigit() for c in text[a:b]) or b - a <= 2 for a, b in parts]
         for i, (start, _) in enumerate(parts):
@@ -286,10 +314,10 @@ _GENITIVE = regex.compile(r"['’]s\b")
 _NEXT_WORD, _LAST_WORD = regex.compile(r"[ \u00a0]{1,2}([\p{L}\p{M}]+)"), regex.compile(r"([\p{L}\p{M}]+)[\W_]{0,4}$")
 
 
-def name_features(text: str, span: Span, words: Words) -> list[float]:
-    """The words of a name in their context."""
+def name_features(text: str, span: Span, words: Words, first: list[float] | None = None) -> list[float]:
+    """The words of a name in their context; ``first`` is what the words tell, where that is known."""
     start, end, _ = span
-    out = first_features(text, span, words)
+    out = first_features(text, span, words) if first is None else first
     before, after = fold(text[max(0, start - _BEFORE) : start]), text[end : end + 30]
     line = before.rsplit("\n", 1)[-1]
     left, right = before[-1:] or "\n", after[:1] or "\n"
@@ -405,14 +433,27 @@ def find(texts: list[str | None], trained: Recognizer) -> list[list[tuple[int, i
             for s in candidates(t):
                 spans[s[2]].append((i, s))
     scored: list[tuple[float, int, int, int, str]] = []
+    # Numbers are looked at as phone and as identity number; their features are the same.
+    seen: dict[tuple[int, int, int], list[float]] = {}
     for kind, model in trained.models.items():
         for at in range(0, len(spans[kind]), 20_000):
             part = spans[kind][at : at + 20_000]
             if kind == "name":
-                raw = trained.first.raw(np.array([first_features(texts[i], s, trained.words) for i, s in part], float))
-                part = [x for x, r in zip(part, raw) if r >= trained.least]
+                first = [first_features(texts[i], s, trained.words) for i, s in part]
+                keep = np.flatnonzero(trained.first.raw(np.array(first, float)) >= trained.least)
+                part = [part[j] for j in keep]
+                rows = [name_features(texts[i], s, trained.words, first[j]) for j, (i, s) in zip(keep, part)]
+            elif kind in ("phone", "idno"):
+                rows = []
+                for i, s in part:
+                    key = (i, s[0], s[1])
+                    if key not in seen:
+                        seen[key] = features(texts[i], s)
+                    rows.append(seen[key])
+            else:
+                rows = [features(texts[i], s) for i, s in part]
             if part:
-                p = model.predict(np.array([trained.features(texts[i], s) for i, s in part], float))
+                p = model.predict(np.array(rows, float))
                 scored += [(float(q), i, s[0], s[1], kind) for q, (i, s) in zip(p, part) if q >= model.cut]
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     taken: dict[int, list[tuple[int, int]]] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,28 +51,28 @@ def _is_cjk(c: str) -> bool:
     return any(low <= ord(c) <= high for low, high in _CJK)
 
 
+@lru_cache(maxsize=1)
+def _runs() -> re.Pattern[str]:
+    """Runs of CJK signs, and of other letters and digits of the basic plane."""
+    word = [_is_word(chr(i)) and not _is_cjk(chr(i)) for i in range(1 << 16)]
+    edges = [i for i in range(1 << 16) if word[i] != (i > 0 and word[i - 1])]
+    ranges = "".join(f"{re.escape(chr(low))}-{re.escape(chr(high - 1))}" for low, high in zip(edges[::2], [*edges[1::2], 1 << 16][: len(edges[::2])]))
+    cjk = "".join(f"{chr(low)}-{chr(high)}" for low, high in _CJK)
+    return re.compile(f"[{cjk}]+|[{ranges}]+")
+
+
 def mixed_bigrams(text: str, unigrams: bool = True) -> tuple[list[str], int]:
     """(tokens, length for norms): words are runs of letters and digits; runs of CJK signs give overlapping bigrams, a
     lone one itself. ``unigrams`` adds every sign of a longer run, which the length does not count."""
-    text, tokens, length, i = ascii_lower(unicodedata.normalize("NFKC", text)), [], 0, 0
-    while i < len(text):
-        if _is_cjk(text[i]):
-            j = i
-            while j < len(text) and _is_cjk(text[j]):
-                j += 1
-            run = text[i:j]
+    tokens, length = [], 0
+    for run in _runs().findall(ascii_lower(unicodedata.normalize("NFKC", text))):
+        if _is_cjk(run[0]):
             pairs = [run[k : k + 2] for k in range(len(run) - 1)] or [run]
             tokens += pairs + (list(run) if unigrams and len(run) > 1 else [])
             length += len(pairs)
-        elif _is_word(text[i]):
-            j = i
-            while j < len(text) and _is_word(text[j]) and not _is_cjk(text[j]):
-                j += 1
-            tokens.append(text[i:j])
-            length += 1
         else:
-            j = i + 1
-        i = j
+            tokens.append(run)
+            length += 1
     return tokens, length
 
 
@@ -143,22 +144,25 @@ def _split(run: Callable[[str], tuple[list[str], int]], text: Column) -> Column:
     return split(text)
 
 
-def tokenized(text: Column, tokenizer: str | None = None) -> tuple[Column, Column]:
-    """(tokens, length) columns. Without a tokenizer's name these are ``mixed_bigrams``: in the JVM for texts of plain
+def tokenized(text: Column, tokenizer: str | None = None, held: Column | None = None) -> tuple[Column, Column]:
+    """(tokens, length) columns; ``held`` is a column with the tokens, where there is one already. Without a tokenizer's name these are ``mixed_bigrams``: in the JVM for texts of plain
     characters, in Arrow batches for those that NFKC may change. A named tokenizer runs in Arrow batches."""
     if tokenizer is not None:
         both = _split(REGISTRY[tokenizer], text)
         return both["tokens"], both["length"]
-    runs = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(rf"[{_CJK_CLASS}]+|[\p{{L}}\p{{Nd}}&&[^{_CJK_CLASS}]]+"), F.lit(0))
-    cjk, plain = text.rlike(f"[{_CJK_CLASS}]"), text.rlike(_PLAIN)
+    folded, ascii_only = F.translate(text, _UPPER, _LOWER), F.octet_length(text) == F.char_length(text)
+    plain, cjk = ascii_only | text.rlike(_PLAIN), ~ascii_only & text.rlike(f"[{_CJK_CLASS}]")
+    words = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    runs = F.regexp_extract_all(folded, F.lit(rf"[{_CJK_CLASS}]+|[\p{{L}}\p{{Nd}}&&[^{_CJK_CLASS}]]+"), F.lit(0))
     signs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.lit(1)))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
     parts = lambda r: F.when(r.rlike(f"^[{_CJK_CLASS}]{{2}}"), F.concat(pairs(r), signs(r))).otherwise(F.array(r))
     size = lambda r: F.when(r.rlike(f"^[{_CJK_CLASS}]{{2}}"), F.length(r) - 1).otherwise(F.lit(1))
-    here = F.when(cjk, F.flatten(F.transform(runs, parts))).otherwise(runs)
-    length = F.when(cjk, F.aggregate(F.transform(runs, size), F.lit(0), lambda x, y: x + y)).otherwise(F.size(runs))
     other = _split(mixed_bigrams, F.when(~plain, text))
-    return F.when(plain, here).otherwise(other["tokens"]), F.when(plain, length).otherwise(other["length"])
+    tokens = F.when(~plain, other["tokens"]).when(cjk, F.flatten(F.transform(runs, parts))).otherwise(words)
+    length = F.when(~plain, other["length"]).when(cjk, F.aggregate(F.transform(runs, size), F.lit(0), lambda x, y: x + y))
+    # Without CJK signs every token counts; callers that hold the tokens need not find them again.
+    return tokens, F.coalesce(length, F.size(tokens) if held is None else F.size(held))
 
 
 def tokens_of(text: str, tokenizer: str | None = None) -> list[str]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.text import tokenized, tokens_of
+from filigree.session import checkpoint
 
 K1, B, MOST_TF = 1.2, 0.75, 65_535
 
@@ -72,8 +73,9 @@ def parse(query: str, tokenizer: str | None = None) -> list[Clause]:
 
 def documents(df: DataFrame, id_col: str, key: str, tokenizer: str | None = None) -> DataFrame:
     """(id, tokens, length) of every document; a null text is none, an empty one counts with length 0."""
-    tokens, length = tokenized(F.col(key), tokenizer)
-    return df.filter(F.col(key).isNotNull()).select(F.col(id_col).alias("id"), tokens.alias("tokens"), length.cast("int").alias("length"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(id_col).alias("id"), F.col(key).cast("string").alias("_text"))
+    tokens, length = tokenized(F.col("_text"), tokenizer, F.col("tokens"))
+    return rows.withColumn("tokens", tokens).select("id", "tokens", length.cast("int").alias("length"))
 
 
 def search(df: DataFrame, id_col: str, key: str, query: str, k: int, candidates: DataFrame | None = None, tokenizer: str | None = None) -> DataFrame:
@@ -108,7 +110,8 @@ def _exact(docs: DataFrame, clauses: list[Clause]) -> DataFrame | None:
     terms = list(dict.fromkeys(t for c in clauses for t in c.tokens))
     equal = lambda t: lambda x: x == t
     place = {t: f"t{i}" for i, t in enumerate(terms)}
-    counted = docs.select("id", "length", *(F.least(F.size(F.filter("tokens", equal(t))), F.lit(MOST_TF)).alias(c) for t, c in place.items()))
+    # Statistics and scores read what is counted; the texts are tokenized once.
+    counted = checkpoint(docs.select("id", "length", *(F.least(F.size(F.filter("tokens", equal(t))), F.lit(MOST_TF)).alias(c) for t, c in place.items())))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in place.values())).head()
     if not stats.n:
         return None
@@ -130,11 +133,13 @@ def _open(docs: DataFrame, clauses: list[Clause]) -> DataFrame | None:
 
     Which clauses a term matches is seen from the term, so terms meet only their own document frequencies.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
+    matched = lambda term: reduce(operator.or_, (c.matches(term) for c in clauses))
+    # Statistics, frequencies and scores read what matched; the texts are tokenized once.
+    some = checkpoint(docs.select("id", "length", F.filter("tokens", matched).alias("terms")))
+    stats = some.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
     if not stats.n:
         return None
-    matched = lambda term: reduce(operator.or_, (c.matches(term) for c in clauses))
-    found = docs.select("id", "length", F.explode(F.filter("tokens", matched)).alias("term")).groupBy("id", "length", "term").agg(F.least(F.count("*"), F.lit(MOST_TF)).alias("tf"))
+    found = some.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.least(F.count("*"), F.lit(MOST_TF)).alias("tf"))
     flags = [c.matches(F.col("term")).alias(f"c{i}") for i, c in enumerate(clauses)]
     terms = found.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", *flags)
     seen = terms.agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(clauses)))).head()
@@ -152,10 +157,12 @@ def _open(docs: DataFrame, clauses: list[Clause]) -> DataFrame | None:
 
 
 def build_index(df: DataFrame, id_col: str, key: str, tokenizer: str | None = None) -> dict[str, DataFrame]:
-    """postings(term, id, tf), norms(id, length) and terms(term, df), as plans; write them sorted by term to keep them."""
+    """postings(term, id, tf), norms(id, length) and terms(term, df), written once to the shared folder, from where many
+    searches read them; copy them elsewhere to keep them."""
     docs = documents(df, id_col, key, tokenizer)
     postings = docs.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
-    return {"postings": postings, "norms": docs.select("id", "length"), "terms": postings.groupBy("term").agg(F.count("*").alias("df"))}
+    postings = checkpoint(postings)
+    return {"postings": postings, "norms": checkpoint(docs.select("id", "length")), "terms": checkpoint(postings.groupBy("term").agg(F.count("*").alias("df")))}
 
 
 def search_many(index: dict[str, DataFrame], queries: DataFrame, k: int, tokenizer: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigree.llm import near_duplicates, neighbours, packing, personal, ranking, splitting, tokens
@@ -62,6 +62,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).dropDuplicates(["item_kind", "item_id", "block_no", "piece_no"])
 
 
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item reach from and to, and whether all keep the limit and the overlap and leave no gap."""
+    item = ["item_kind", "item_id", "block_no"]
+    before = F.lag("char_end").over(Window.partitionBy(*item).orderBy("piece_no"))
+    pieces = p5_pieces(spark, d).withColumn("before", before)
+    joined = F.col("before").isNull() | F.col("char_start").between(F.col("before") - 100, F.col("before"))
+    fits = (F.col("char_end") - F.col("char_start")).between(1, 800) & joined
+    out = pieces.groupBy(*item).agg(F.min("char_start").cast("long").alias("first_start"), F.max("char_end").cast("long").alias("last_end"), F.bool_and(fits).alias("fits"))
+    return out.filter("last_end > 0")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(_read(spark, d, "documents"), "doc_id", "text")
 
@@ -81,7 +92,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.recognize(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "redacted", F.size("mentions").alias("mentions"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p6_nearest": p6_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p6_nearest": p6_nearest, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_cover": p5_cover, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _UNITS = "(length({0}) + length(regexp_replace({0}, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')))"
 ORACLE = {
@@ -97,4 +108,9 @@ with items as (
   select 'block' as item_kind, ingest_id as item_id, cast(generate_subscripts(blocks, 1) - 1 as bigint) as block_no, unnest(blocks).text as x from ingested_documents
   union all select 'chunk', chunk_id, -1, text from chunk_drafts)
 select distinct item_kind, item_id, block_no from items where {_UNITS.format('x')} > 800""",
+    "p5_cover": f"""
+with items as (
+  select 'block' as item_kind, ingest_id as item_id, cast(generate_subscripts(blocks, 1) - 1 as bigint) as block_no, unnest(blocks).text as x from ingested_documents
+  union all select 'chunk', chunk_id, -1, text from chunk_drafts)
+select distinct item_kind, item_id, block_no, 0 as first_start, {_UNITS.format('x')} as last_end, true as fits from items where length(x) > 0""",
 }

@@ -27,8 +27,6 @@ from filigree.session import shared_path
 TOKENIZERS = "/opt/tokenizers"
 #: Words in the lexicon at most: the bound of what the driver holds and the automaton contains.
 LEXICON_WORDS = 32_768
-#: Texts whose words are counted to choose the lexicon, drawn at random from all; ids do not depend on the choice.
-SAMPLE_TEXTS = 20_000
 #: Words remembered by a worker at most before it starts afresh.
 _MEMO_WORDS = 200_000
 # Fixed value: the public pattern that splits text before the merges of the 50k byte-level vocabulary.
@@ -163,8 +161,9 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         raw = [w.encode() for w in new]
         found = self.lexicon.numbers(raw) if self.lexicon else np.full(len(new), -1)
-        missed = iter(self.merge.encode_ordinary_batch([w for w, n in zip(new, found) if n < 0], num_threads=1) if (found < 0).any() else ())
-        ids = [next(missed) if n < 0 else self.lexicon.ids[self.lexicon.offsets[n] : self.lexicon.offsets[n + 1]] for n in found]
+        # Word by word: the library's batch call hands each word to a pool of threads, which costs more than its merges.
+        merge = self.merge.encode_ordinary
+        ids = [merge(w) if n < 0 else self.lexicon.ids[self.lexicon.offsets[n] : self.lexicon.offsets[n + 1]] for w, n in zip(new, found)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
@@ -210,13 +209,12 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, text_col: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", size: int = LEXICON_WORDS) -> np.ndarray:
-    """The transducer of the ``size`` most frequent words of SAMPLE_TEXTS texts (ties by word), each met at least twice."""
-    count = df.count()
-    sample = df if count <= SAMPLE_TEXTS else df.sample(fraction=SAMPLE_TEXTS / count, seed=1)
-    top = word_counts(sample, text_col).filter("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    frequent = [r.word for r in top]
-    ids = merger(folder, name).encode_ordinary_batch(frequent, num_threads=1) if frequent else []
-    return compile_lexicon({w.encode(): x for w, x in zip(frequent, ids)})
+    """The transducer of the ``size`` most frequent words of all texts (ties by word), each met at least twice."""
+    top = word_counts(df, text_col).filter("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word")
+    # As Arrow the tasks' tops meet in one more task; collect would send each of them to the driver.
+    frequent = top.toArrow().column("word").to_pylist()
+    merge = merger(folder, name).encode_ordinary
+    return compile_lexicon({w.encode(): merge(w) for w in frequent})
 
 
 def publish(spark: SparkSession, data: np.ndarray):

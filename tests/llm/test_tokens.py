@@ -62,6 +62,16 @@ def test_corpus(spark, plain):
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_lexicon_counts_all_texts(spark):
+    """A word that two of many texts hold is met twice, and the most frequent words are those of all texts."""
+    n = 12_000
+    df = spark.range(2 * n).selectExpr(f"cast(id % {n} as string) as text").unionAll(spark.range(3).selectExpr("' again' as text"))
+    for size, expected in ((tokens.LEXICON_WORDS, [" again", *map(str, range(n))]), (1, [" again"])):
+        lexicon = tokens.Lexicon(tokens.build_lexicon(df, "text", size=size))
+        assert len(lexicon.offsets) - 1 == len(expected)
+        assert (lexicon.numbers([w.encode() for w in expected]) >= 0).all()
+
+
 def test_memo_starts_afresh(monkeypatch, plain):
     monkeypatch.setattr(tokens, "_MEMO_WORDS", 3)
     encoder = tokens.Encoder(None)

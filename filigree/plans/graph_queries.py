@@ -258,10 +258,10 @@ def _tags(g: PropertyGraph) -> DataFrame:
 
 
 def _nexus_sums(g: PropertyGraph) -> DataFrame:
-    """By type the number of nexuses, of their members, and a sum over both."""
-    weight = F.col("vertex_id") * 31 + F.length("role")
+    """By type the number of nexuses, of their members, and a sum over both, which outgrows a long."""
+    weight = (F.col("vertex_id") * 31 + F.length("role")).cast("decimal(20,0)")
     each = g.nexuses.select(F.col("id").alias("nexus_id"), "type").join(g.incidence, "nexus_id", "left").groupBy("nexus_id", "type").agg(F.count("vertex_id").alias("a"), F.sum(weight).alias("x"))
-    return each.groupBy("type").agg(F.count("*").alias("n"), F.sum("a").alias("members"), F.sum("x").alias("total"))
+    return each.groupBy("type").agg(F.count("*").alias("n"), F.sum("a").alias("members"), F.sum("x").cast("decimal(38,0)").alias("total"))
 
 
 _SLOW = annotations.Limits(seconds=3600)

@@ -6,6 +6,7 @@ values, for half-relaxed annotations mean nothing.
 
 from __future__ import annotations
 
+import itertools
 import time
 from dataclasses import dataclass, replace
 
@@ -21,12 +22,18 @@ LONG_MAX = 2**63 - 1
 
 @dataclass(frozen=True)
 class Limits:
-    vertices: int = 100_000
-    edges: int = 1_000_000
-    results: int = 100_000
-    relaxations: int = 10_000_000
-    updates: int = 10_000_000
-    seconds: float = 10.0
+    """What a search may use before it ends unfinished; None is no limit."""
+
+    vertices: int | None = 100_000
+    edges: int | None = 1_000_000
+    results: int | None = 100_000
+    relaxations: int | None = 10_000_000
+    updates: int | None = 10_000_000
+    seconds: float | None = 10.0
+
+
+#: The whole graph, however large.
+WHOLE = Limits(None, None, None, None, None, None)
 
 
 @dataclass(frozen=True)
@@ -48,11 +55,11 @@ def _loop(g: PropertyGraph, source: int, start, step, better, limits: Limits, ac
     """
     spark, began = g.vertices.sparkSession, time.monotonic()
     steps = checkpoint(hops(g, direction, edge_type, weight).select("from", "to", "w"))
-    if steps.limit(limits.edges + 1).count() > limits.edges:
+    if limits.edges is not None and steps.limit(limits.edges + 1).count() > limits.edges:
         return Annotation(None, "edge_limit", False, 0)
     total = spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(start).cast("double" if isinstance(start, float) else "decimal(38,0)").alias("value"))
     frontier, relaxed, updated, vertices = total, 0, 0, None
-    for k in range(1, 1_000_000):
+    for k in itertools.count(1):
         moved = frontier.join(steps, F.col("id") == F.col("from")).select(F.col("to").alias("id"), step(F.col("value"), F.col("w")).alias("value"))
         grouped = moved.groupBy("id").agg((better or F.sum)("value").alias("value"), F.count("*").alias("_n"))
         if better is not None:
@@ -75,13 +82,13 @@ def _loop(g: PropertyGraph, source: int, start, step, better, limits: Limits, ac
                 return Annotation(None, "overflow", False, k)
         vertices = total.count()
         for name, now, most in (("vertex_limit", vertices, limits.vertices), ("relaxation_limit", relaxed, limits.relaxations), ("update_limit", updated, limits.updates)):
-            if now > most:
+            if most is not None and now > most:
                 return Annotation(None, name, False, k)
         if acyclic and k > vertices:
             return Annotation(None, "cycle", False, k)
-        if time.monotonic() - began > limits.seconds:
+        if limits.seconds is not None and time.monotonic() - began > limits.seconds:
             return Annotation(None, "time_limit", False, k)
-    exact = total.count() <= limits.results
+    exact = limits.results is None or total.count() <= limits.results
     values = total if exact else total.orderBy("id").limit(limits.results)
     if better is None:
         values = values.select("id", F.col("value").cast("long").alias("value"))

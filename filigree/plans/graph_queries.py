@@ -203,12 +203,12 @@ _COST = ", t as (select nexus_id, count(*) as a from (select distinct nexus_id,
 for _k in range(1, 9):
     _COST += f", c{_k} as materialized (select x, min(c) as c from (select x, c from c{_k - 1} union all select h.vertex_id, 1 + f.s from h join (select q.nexus_id, sum(p.c) as s, count(*) as k from (select distinct nexus_id, vertex_id from i where role = 'tail') q join c{_k - 1} p on p.x = q.vertex_id group by 1) f on f.nexus_id = h.nexus_id join t on t.nexus_id = f.nexus_id and t.a = f.k) group by 1)"
 _domain("g7_derivations", f"{_COST} select x as vertex_id, c as cost from c8")(lambda g, q: directed_nexus.derivations(g, _most(g), None, "additive", "Rule").select("vertex_id", "cost"))
-_domain("g1_reachable", ", r(id) as (select min(id) from v where label = 'Team' union select dst from r join e on src = r.id) select id from r")(lambda g, q: annotations.reachable(g, _team(g), _SLOW).values.select("id"))
+_domain("g1_reachable", ", r(id) as (select min(id) from v where label = 'Team' union select dst from r join e on src = r.id) select id from r")(lambda g, q: annotations.reachable(g, _team(g), annotations.WHOLE).values.select("id"))
 # Citations towards greater ids have no cycle, and few walks.
 _WALKS = ", s as (select min(src) as id from e where type = 'CITES' and src < dst), r(id, c, p) as (select id, 0.0::double, 1.0::double from s union all select dst, c + 1 + e.id % 7, p * (1 + e.id % 7) / 8.0 from r join e on src = r.id where type = 'CITES' and src < dst)"
-_domain("g2_tropical", f"{_WALKS} select id, min(c) as value from r group by 1")(lambda g, q: annotations.tropical(_forward(g), _first(g), "w", "acyclic", _SLOW).values)
-_domain("g3_viterbi", f"{_WALKS} select id, round(max(p), 9) as value from r group by 1")(lambda g, q: annotations.viterbi(_forward(g), _first(g), "p", _SLOW).values.select("id", F.round("value", 9).alias("value")))
-_domain("g4_walks", f"{_WALKS} select id, count(*) as value from r group by 1")(lambda g, q: annotations.walks(_forward(g), _first(g), _SLOW).values)
+_domain("g2_tropical", f"{_WALKS} select id, min(c) as value from r group by 1")(lambda g, q: annotations.tropical(_forward(g), _first(g), "w", "acyclic", annotations.WHOLE).values)
+_domain("g3_viterbi", f"{_WALKS} select id, round(max(p), 9) as value from r group by 1")(lambda g, q: annotations.viterbi(_forward(g), _first(g), "p", annotations.WHOLE).values.select("id", F.round("value", 9).alias("value")))
+_domain("g4_walks", f"{_WALKS} select id, count(*) as value from r group by 1")(lambda g, q: annotations.walks(_forward(g), _first(g), annotations.WHOLE).values)
 for _n in ("g1_reachable", "g2_tropical", "g3_viterbi", "g4_walks", "g6_nexus_reach", "g7_derivations"):
     ORACLE[_n] = ORACLE[_n].replace("\n,", ",")
 _domain("a7_labels", "select 'label' as statistic, label as name, count(*) as n from v group by 2 union all select 'edge_type', type, count(*) from e group by 2 union all select 'nexus_type', type, count(*) from n group by 2 union all select 'arity', cast(a as varchar), count(*) from (select n.id, count(vertex_id) as a from n left join i on nexus_id = n.id group by 1) group by 2 union all select 'degree', case when d <= 0 then '0' when d <= 1 then '1' when d <= 3 then '3' when d <= 7 then '7' when d <= 15 then '15' when d <= 31 then '31' when d <= 63 then '63' when d <= 127 then '127' when d <= 255 then '255' else 'more' end, count(*) from (select v.id, count(x.id) as d from v left join (select src as id from e union all select dst from e where src <> dst) x on x.id = v.id group by 1) group by 2")(lambda g, q: stats.collect(g))
@@ -264,9 +264,6 @@ def _nexus_sums(g: PropertyGraph) -> DataFrame:
     return each.groupBy("type").agg(F.count("*").alias("n"), F.sum("a").alias("members"), F.sum("x").cast("decimal(38,0)").alias("total"))
 
 
-_SLOW = annotations.Limits(seconds=3600)
-
-
 def _team(g: PropertyGraph) -> int:
     return g.vertices.filter("label = 'Team'").agg(F.min("id")).first()[0]
 

@@ -34,3 +34,14 @@ def test_sums_over_members_outgrow_a_long(spark, domain):
     total = sum((big + k) * 31 + 7 + (big + 9) * 31 + 6 for k in range(3))
     assert total > 2**63
     assert sorted((r.type, r.n, r.members, int(r.total)) for r in QUERIES["w7_merge_nexuses"](spark, d).collect()) == [("Claim", 3, 6, total), ("Fact", 3, 6, total)]
+
+
+def test_reachability_has_no_limit(spark, domain):
+    """More vertices than the limit an interactive search has."""
+    n = 100_050
+    d = domain(
+        graph_vertices=spark.createDataFrame([(0, "Team", None, None)], SCHEMAS["graph_vertices"]),
+        graph_edges=spark.range(1, n).select(F.col("id").alias("edge_id"), (F.col("id") % 3 * (F.col("id") > 9).cast("long")).alias("source_vertex_id"), F.col("id").alias("target_vertex_id"), F.lit("CITES").alias("edge_type")),
+    )
+    got = QUERIES["g1_reachable"](spark, d)
+    assert got.count() == got.distinct().count() == n

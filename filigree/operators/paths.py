@@ -42,21 +42,36 @@ def bfs(g: PropertyGraph, starts: DataFrame, max_depth: int, direction: str = "o
     return visited if include_start else visited.filter("depth > 0")
 
 
+def _halves(g: PropertyGraph, sources: DataFrame, targets: DataFrame, max_depth: int, direction: str, edge_type: str | None) -> tuple[DataFrame, DataFrame]:
+    """(source, mid, a) and (target, mid, b): what each end reaches in half the depth, itself included."""
+    back = {"out": "in", "in": "out", "both": "both"}[direction]
+    half = (max_depth + 1) // 2
+    ahead = bfs(g, sources.select(F.col("source").alias("start")).distinct(), half, direction, edge_type, True)
+    behind = bfs(g, targets.select(F.col("target").alias("start")).distinct(), max_depth - half, back, edge_type, True)
+    return ahead.select(F.col("start").alias("source"), F.col("end").alias("mid"), F.col("depth").alias("a")), behind.select(F.col("start").alias("target"), F.col("end").alias("mid"), F.col("depth").alias("b"))
+
+
+def _least(met: DataFrame) -> DataFrame:
+    """The middle of a shortest path lies as deep from both ends, or one deeper from its source; no other meeting counts."""
+    return met.filter("a - b in (0, 1)").groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("distance"))
+
+
 def shortest_paths(g: PropertyGraph, pairs: DataFrame, max_depth: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:
     """(source, target, distance) in hops of the given pairs, met from both ends; unreachable pairs drop out.
 
-    The side whose next frontier is asked for alternates, so each side goes half as deep as a one-sided search.
+    Each end is searched to half the depth. For all pairs of two sets of vertices use ``shortest_between``.
     """
-    back = {"out": "in", "in": "out", "both": "both"}[direction]
-    half = (max_depth + 1) // 2
-    ahead = bfs(g, pairs.select(F.col("source").alias("start")).distinct(), half, direction, edge_type, True)
-    behind = bfs(g, pairs.select(F.col("target").alias("start")).distinct(), max_depth - half, back, edge_type, True)
-    met = (
-        pairs.distinct()
-        .join(ahead.select(F.col("start").alias("source"), F.col("end").alias("mid"), F.col("depth").alias("a")), "source")
-        .join(behind.select(F.col("start").alias("target"), F.col("end").alias("mid"), F.col("depth").alias("b")), ["target", "mid"])
-    )
-    return met.groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("distance")).filter(F.col("distance") <= max_depth)
+    ahead, behind = _halves(g, pairs, pairs, max_depth, direction, edge_type)
+    return _least(pairs.select("source", "target").distinct().join(ahead, "source").join(behind, ["target", "mid"]))
+
+
+def shortest_between(g: PropertyGraph, sources: DataFrame, targets: DataFrame, max_depth: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:
+    """(source, target, distance) in hops from every one of sources(source) to every one of targets(target) in reach.
+
+    The halves meet in the middle; pairs that no path links are never made.
+    """
+    ahead, behind = _halves(g, sources, targets, max_depth, direction, edge_type)
+    return _least(ahead.join(behind, "mid"))
 
 
 def weighted_paths(g: PropertyGraph, sources: DataFrame, weight: str, direction: str = "out", edge_type: str | None = None, max_distance: float | None = None, targets: DataFrame | None = None, max_rounds: int | None = None, potential: DataFrame | None = None) -> DataFrame:

@@ -138,7 +138,7 @@ for _n in ("e10_repeat", "e10_repeat_emit", "e10_repeat_zero"):
 # -- paths ----------------------------------------------------------------------------------------------------
 
 _domain("p1_bfs", f", {_BFS.format(3)} select s as start, x as end, d as depth from b".replace("as end", 'as "end"'))(lambda g, q: paths.bfs(g, q.vertices().has_label("Release").ids().withColumnRenamed("id", "start"), 3))
-_domain("p3_shortest", ", r(s, x, d) as (select id, id, 0 from v where label = 'Team' union select s, e.dst, d + 1 from r join e on e.src = x where d < 4) select s as source, x as target, min(d) as distance from r join v on v.id = x where v.label = 'Release' group by 1, 2")(lambda g, q: paths.shortest_paths(g, _pairs(q, "Team", "Release"), 4))
+_domain("p3_shortest", ", r(s, x, d) as (select id, id, 0 from v where label = 'Team' union select s, e.dst, d + 1 from r join e on e.src = x where d < 4) select s as source, x as target, min(d) as distance from r join v on v.id = x where v.label = 'Release' group by 1, 2")(lambda g, q: paths.shortest_between(g, q.vertices().has_label("Team").ids().withColumnRenamed("id", "source"), q.vertices().has_label("Release").ids().withColumnRenamed("id", "target"), 4))
 _domain("p5_weighted", ", m as (select src, dst, min(1 + id % 7) as w from e group by 1, 2), r(s, x, c, k) as (select id, id, 0::double, 0 from v where label = 'Team' union select s, m.dst, c + w, k + 1 from r join m on m.src = x where k < 12 and c + w <= 6) select s as source, x as target, min(c) as distance from r group by 1, 2")(
     lambda g, q: paths.weighted_paths(g.with_tables(edges=g.edges.withColumn("w", (1 + F.col("id") % 7).cast("double"))), q.vertices().has_label("Team").ids().withColumnRenamed("id", "source"), "w", max_distance=6.0).select("source", "target", "distance")
 )
@@ -153,13 +153,6 @@ for _k in range(1, 21):
 _domain("path_10_pagerank", f"{_RANK} select id, round(r * 1e6, 3) as rank from r20".replace(", o as", "@", 1))(lambda g, q: paths.pagerank(g).select("id", F.round(F.col("rank") * 1e6, 3).alias("rank")))
 ORACLE["path_10_pagerank"] = ORACLE["path_10_pagerank"].replace("\n@", ", o as")
 
-
-def _pairs(q: Source, a: str, b: str) -> DataFrame:
-    """All pairs of the two labels' vertices of one graph; both labels are small."""
-    left, right = q.vertices().has_label(a).ids(), q.vertices().has_label(b).ids()
-    return left.select(F.col("id").alias("source"), F.lit(1).alias("k")).join(right.select(F.col("id").alias("target"), F.lit(1).alias("k")), "k").drop("k")
-
-
 # -- projection, order, aggregates, branches ------------------------------------------------------------------
 
 _order("r2_values", "select id, acctbal, segment from v where label in ('Supplier')")(lambda g, q: q.vertices().has_label("Supplier").values("acctbal", "segment"))

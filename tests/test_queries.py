@@ -28,6 +28,25 @@ def domain(spark, tmp_path):
     return write
 
 
+def most_rows(df):
+    """The rows of df, and the most rows that any operator of its plan gave."""
+    rows = df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        else:
+            if node.metrics().contains("numOutputRows"):
+                yield node.metrics().apply("numOutputRows").value()
+            for i in range(node.children().size()):
+                yield from walk(node.children().apply(i))
+
+    return rows, max(walk(df._jdf.queryExecution().executedPlan()))
+
+
 def test_sums_over_members_outgrow_a_long(spark, domain):
     big = 1 << 57
     d = domain(graph_nexuses=[(k, "Fact", [("subject", big + k), ("object", big + 9)]) for k in range(3)])
@@ -45,3 +64,18 @@ def test_reachability_has_no_limit(spark, domain):
     )
     got = QUERIES["g1_reachable"](spark, d)
     assert got.count() == got.distinct().count() == n
+
+
+def test_pairs_without_a_path_are_never_made(spark, domain):
+    n = 400
+    teams, releases, middle = (list(range(base, base + n)) for base in (1000, 2000, 3000))
+    links = [*zip(teams, middle), *zip(middle, releases), (teams[0], releases[0]), *zip(releases[:4], releases[1:5])]
+    d = domain(
+        graph_vertices=[(v, label, None, None) for label, vs in (("Team", teams), ("Release", releases), ("Chunk", middle)) for v in vs],
+        graph_edges=[(k, a, b, "CITES") for k, (a, b) in enumerate(links)],
+    )
+    rows, most = most_rows(QUERIES["path_3_shortest"](spark, d))
+    want = {(t, r): 2 for t, r in zip(teams, releases)} | {(teams[0], releases[k]): k + 1 for k in range(4)}
+    want |= {(teams[k], releases[j]): 2 + j - k for k in (1, 2, 3) for j in range(k, 5) if 2 + j - k <= 4}
+    assert {(r.source, r.target): r.distance for r in rows} == want and len(rows) == len(want)
+    assert most < 20 * n

@@ -3,7 +3,7 @@
 N, document frequencies and the mean length are those of all documents whose text is not null, whatever the candidates.
 A query of plain words counts its terms inside each document's token array; statistics are one aggregate. Prefix and
 fuzzy words keep the terms they match in rows, however many these are.
-For many queries ``build_index`` writes postings(term, id, tf) sorted by term, and ``search_many`` joins them.
+For many queries ``build_index`` writes the terms of each document with their counts, and ``search_many`` joins them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.text import tokenized, tokens_of
-from filigree.session import checkpoint
+from filigree.session import checkpoint, shared_path
 
 K1, B, MOST_TF = 1.2, 0.75, 65_535
 
@@ -157,28 +157,44 @@ def _open(docs: DataFrame, clauses: list[Clause]) -> DataFrame | None:
 
 
 def build_index(df: DataFrame, id_col: str, key: str, tokenizer: str | None = None) -> dict[str, DataFrame]:
-    """postings(term, id, tf), norms(id, length) and terms(term, df), written once to the shared folder, from where many
-    searches read them; copy them elsewhere to keep them."""
-    docs = documents(df, id_col, key, tokenizer)
-    postings = docs.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
-    postings = checkpoint(postings)
-    return {"postings": postings, "norms": checkpoint(docs.select("id", "length")), "terms": checkpoint(postings.groupBy("term").agg(F.count("*").alias("df")))}
+    """postings(term, id, tf, length), norms(id, length) and terms(term, df), read from one file set in the shared folder;
+    copy it elsewhere to keep it.
+
+    A document's tokens are sorted and counted where they are, without a shuffle, and lie in its row as terms with their
+    counts; Parquet keeps a term once per file, and an id and a length once per document.
+    """
+    held = documents(df, id_col, key, tokenizer).select("id", "length", F.sort_array("tokens").alias("s"))
+    # A term begins where a token differs from the one before it, and its count ends where the next begins.
+    begins = F.filter(F.transform("s", lambda t, i: F.when(~t.eqNullSafe(F.get("s", i - 1)), i)), lambda i: i.isNotNull())
+    held = held.withColumn("b", begins)
+    entry = lambda i, k: F.struct(F.get("s", i).alias("term"), F.least(F.coalesce(F.get("b", k + 1), F.size("s")) - i, F.lit(MOST_TF)).alias("tf"))
+    path = shared_path(df.sparkSession, "postings")
+    held.select("id", "length", F.transform("b", entry).alias("terms")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    postings = rows.select("id", "length", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "length")
+    return {"postings": postings, "norms": rows.select("id", "length"), "terms": postings.groupBy("term").agg(F.count("*").alias("df"))}
 
 
 def search_many(index: dict[str, DataFrame], queries: DataFrame, k: int, tokenizer: str | None = None) -> DataFrame:
     """(query_id, id, score, rank) for queries(query_id, text) of plain words, a word counting once a query.
 
-    Query terms meet the postings in a join on the term; AQE splits a frequent term's postings, and each task keeps k
-    rows a query before the last shuffle.
+    Queries of the same words are searched once and share the result. Their terms meet the postings in a join on the
+    term; AQE splits a frequent term's postings, and each task keeps k rows a search before the last shuffle.
     """
     words, _ = tokenized(F.col("text"), tokenizer)
-    terms = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
+    each = queries.select("query_id", F.array_distinct(words).alias("words"))
+    # A query may come in several rows, and a word then counts once a row.
+    asked = checkpoint(each.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("words"))).alias("words")))
+    searches = checkpoint(asked.select("words").distinct().withColumn("_s", F.monotonically_increasing_id()))
+    terms = searches.select("_s", F.explode("words").alias("term"))
     stats = index["norms"].agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
     n, mean = stats.n, float(stats.mean or 1.0)
-    # Norms and frequencies are attached only to postings some query asks for.
-    hits = terms.join(index["postings"], "term").join(index["terms"].join(terms.select("term").distinct(), "term", "left_semi"), "term").join(index["norms"], "id")
+    # Only postings that some query asks for are counted, and written for the scores to read.
+    found = checkpoint(index["postings"].join(terms.select("term").distinct(), "term", "left_semi"))
+    hits = terms.join(found, "term").join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
     t = F.col("tf").cast("double")
     part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / mean))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    scored = hits.groupBy("_s", "id").agg(F.sum(part).alias("score"))
+    order = Window.partitionBy("_s").orderBy(F.desc(F.round("score", 9)), "id")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return asked.join(searches, "words").join(best, "_s").select("query_id", "id", "score", "rank")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from filigree.operators import fulltext
 from filigree.plans.catalog import QUERIES
 
 PROPERTIES = "array<struct<prop_key: string, cardinality: string, value_type: string, prop_value: string>>"
@@ -79,3 +80,23 @@ def test_pairs_without_a_path_are_never_made(spark, domain):
     want |= {(teams[k], releases[j]): 2 + j - k for k in (1, 2, 3) for j in range(k, 5) if 2 + j - k <= 4}
     assert {(r.source, r.target): r.distance for r in rows} == want and len(rows) == len(want)
     assert most < 20 * n
+
+
+def test_equal_queries_are_searched_once(spark, tmp_path):
+    texts = [" ".join(["vector"] * (1 + i % 7) + ["b", f"w{i}"] * (1 + i % 5)) for i in range(300)] + ["", None, "reader vector-reader"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows, most = most_rows(QUERIES["t13_batch_search"](spark, str(tmp_path)))
+    want = {}
+    for place, word in ((0, "vector"), (2, "reader")):
+        best = fulltext.search(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text", word, 5).collect()
+        want |= {(q, rank): r.doc_id for q in range(place, 3000, 10) for rank, r in enumerate(best, 1)}
+    assert {(r.query_id, r["rank"]): r.id for r in rows} == want and len(rows) == len(want) == 300 * 6
+    assert most < 10_000
+
+
+def test_postings_count_terms_within_a_document(spark):
+    texts = ["b a b", "", None, "a", "c b c b c"]
+    index = fulltext.build_index(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    assert sorted((r.id, r.term, r.tf) for r in index["postings"].collect()) == [(0, "a", 1), (0, "b", 2), (3, "a", 1), (4, "b", 2), (4, "c", 3)]
+    assert sorted(map(tuple, index["norms"].collect())) == [(0, 3), (1, 0), (3, 1), (4, 5)] and sorted(map(tuple, index["terms"].collect())) == [("a", 2), ("b", 2), ("c", 1)]
